@@ -1,0 +1,101 @@
+"""Universal geographic codes as native columns.
+
+A string is groups ended by `-`: the first and every new state carry two letters and C or Z, the last is the
+purge time DDHHMM. The shape is one pattern; the rules over the sequence (one kind, no state again, numbers
+ascending in a state, ALL and 000 alone in theirs) are a fold over the groups.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+_GROUP = r"(?:[0-9]{3}(?:>[0-9]{3})?|ALL)-"
+#: A string that may go on over lines; each but the last ends in `-`.
+BLOCK = rf"^[ \t\f]*([A-Z]{{2}}[CZ]{_GROUP}(?:\n?(?:[A-Z]{{2}}[CZ])?{_GROUP})*\n?[0-9]{{6}}-)[ \t\f]*(?:\n|$)"
+#: What the first line of a block begins with.
+BEGINNING = r"^[ \t\f]*[A-Z]{2}[CZ](?:[0-9]{3}[->]|ALL-)"
+
+_PURGE = r"(?:0[1-9]|[12][0-9]|3[01])(?:[01][0-9]|2[0-3])[0-5][0-9]"
+
+
+def _codes(groups: Column) -> Column:
+    """Groups as structs of state (null: as before), kind, start and end (null: ALL or 000), text."""
+
+    def one(g: Column) -> Column:
+        prefixed = g.rlike("^[A-Z]{2}[CZ]")
+        rest = F.when(prefixed, F.substring(g, 4, 100)).otherwise(g)
+        special = rest.isin("ALL", "000")
+        return F.struct(
+            F.when(prefixed, F.substring(g, 1, 2)).alias("state"),
+            F.when(prefixed, F.substring(g, 3, 1)).alias("kind"),
+            F.when(~special, F.substring(rest, 1, 3).cast("int")).alias("start"),
+            F.when(~special, F.when(rest.contains(">"), F.substring(rest, 5, 3)).otherwise(rest).cast("int")).alias("end"),
+            rest.contains(">").alias("range"),
+            rest.alias("text"),
+        )
+
+    return F.transform(groups, one)
+
+
+def _folded(groups: Column) -> Column:
+    """Whether the groups keep the rules, and the expanded codes."""
+    start = F.struct(
+        F.lit("").alias("state"),
+        F.lit("").alias("kind"),
+        F.array().cast("array<string>").alias("seen"),
+        F.lit(-1).alias("last"),
+        F.lit(False).alias("special"),
+        F.lit(True).alias("ok"),
+        F.array().cast("array<string>").alias("out"),
+    )
+
+    def step(acc: Column, c: Column) -> Column:
+        new = c["state"].isNotNull()
+        state, kind = F.coalesce(c["state"], acc["state"]), F.when(acc["kind"] == "", c["kind"]).otherwise(acc["kind"])
+        last = F.when(new, F.lit(-1)).otherwise(acc["last"])
+        special = F.when(new, F.lit(False)).otherwise(acc["special"])
+        named = c["start"].isNull()
+        fits = F.when(named, ~special & (last < 0)).otherwise(~special & (c["start"] > last) & (~c["range"] | ((kind == "Z") & (c["end"] > c["start"]))))
+        ok = acc["ok"] & F.coalesce(c["kind"] == kind, F.lit(True)) & ~(new & F.array_contains(acc["seen"], c["state"])) & fits
+        codes = F.when(named, F.array(F.concat(state, kind, c["text"]))).when(
+            c["end"] >= c["start"], F.transform(F.sequence(c["start"], F.greatest(c["end"], c["start"])), lambda n: F.concat(state, kind, F.lpad(n.cast("string"), 3, "0")))
+        )
+        return F.struct(
+            state.alias("state"),
+            kind.alias("kind"),
+            F.when(new, F.concat(acc["seen"], F.array(c["state"]))).otherwise(acc["seen"]).alias("seen"),
+            F.coalesce(c["end"], last).alias("last"),
+            (special | named).alias("special"),
+            F.coalesce(ok, F.lit(False)).alias("ok"),
+            F.concat(acc["out"], F.coalesce(codes, F.array().cast("array<string>"))).alias("out"),
+        )
+
+    return F.aggregate(_codes(groups), start, step)
+
+
+def _groups(compact: Column) -> Column:
+    """Groups without the purge time and the empty end."""
+    every = F.split(compact, "-")
+    return F.slice(every, 1, F.greatest(F.size(every) - 2, F.lit(0)))
+
+
+def block(text: Column) -> Column:
+    """The block that a text begins with, null if there is none that keeps all rules."""
+    found = F.regexp_extract(text, BLOCK, 1)
+    compact = F.replace(found, F.lit("\n"), F.lit(""))
+    purge = F.substring(compact, -7, 6)
+    return F.when((found != "") & purge.rlike(f"^{_PURGE}$") & _folded(_groups(compact))["ok"], found)
+
+
+def parsed(text: Column) -> Column:
+    """A whole string as struct(kind, ugcs, purge), null if it is not valid."""
+    lines = F.regexp_replace(F.btrim(text, F.lit(" \t\n\r\f")), "\r{0,2}\n", "\n")
+    valid = F.when(block(lines) == lines, F.replace(lines, F.lit("\n"), F.lit("")))
+    fold = _folded(_groups(valid))
+    return F.when(valid.isNotNull(), F.struct(F.when(fold["kind"] == "C", "county").otherwise("zone").alias("kind"), fold["out"].alias("ugcs"), F.substring(valid, -7, 6).alias("purge")))
+
+
+def expanded(valid_block: Column) -> Column:
+    """Every code of a valid block, ranges written out."""
+    return _folded(_groups(F.replace(valid_block, F.lit("\n"), F.lit(""))))["out"]

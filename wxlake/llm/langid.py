@@ -99,7 +99,7 @@ def fit(labelled: DataFrame, train_docs: int = 2000, order: int = 3, least: int
     for lang, n in sorted(sizes.items()):
         one = (F.col("lang") == lang) & common.sample_below("doc_id", train_docs / n)
         chosen = one if chosen is None else chosen | one
-    counts = rows.where(chosen).select("lang", "text").mapInArrow(_grams(order), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
+    counts = rows.where(chosen).select("lang", "text").transform(common.mapped, _grams(order), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     return build(sorted(sizes), counts["lang"].to_numpy(), counts["gram"].to_numpy(np.int64), counts["n"].to_numpy(np.int64), least)
 
 
@@ -180,7 +180,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
                 names=["doc_id", "lang_pred", "score", "bits_per_byte"],
             )
 
-    return given.mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, bits_per_byte double")
+    return given.transform(common.mapped, run, f"doc_id {kind}, lang_pred string, score double, bits_per_byte double")
 
 
 def known_language(docs: DataFrame, model: Model | None, least_score: float = 0.5) -> DataFrame:
@@ -202,4 +202,4 @@ def known_language(docs: DataFrame, model: Model | None, least_score: float = 0.
             good = np.array(batch.column(len(columns)).to_pylist(), bool) & (1 / odds >= least_score)
             yield batch.select(range(len(columns))).filter(pa.array(good))
 
-    return given.mapInArrow(run, kinds)
+    return given.transform(common.mapped, run, kinds)

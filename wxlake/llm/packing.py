@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
-from .words import WordIds
+from .words import bytes_of
 
 END = 0
 PIECES = "start long, piece int, length long, ids_crc32 long"
@@ -36,11 +36,10 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = 2048) -> DataFrame:
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds.of(tokenizer)
         end = np.array([END], "<u4").tobytes()
         for batch in batches:
             row, start, length, crc = [], [], [], []
-            for i, ids in enumerate(words.bytes_of(batch.column(1).to_pylist())):
+            for i, ids in enumerate(bytes_of(tokenizer, batch.column(1).to_pylist())):
                 ids += end
                 for at in range(0, len(ids), 4 * size):
                     part = ids[at : at + 4 * size]
@@ -51,7 +50,7 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = 2048) -> DataFrame:
             start = pa.array(start, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), start, pa.array(np.asarray(start) // size, pa.int32()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "start", "piece", "length", "ids_crc32"])
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, {PIECES}")
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).transform(common.mapped, run, f"doc_id {kind}, {PIECES}")
 
 
 def _best_fit(have: np.ndarray, room: int) -> list[int]:
@@ -170,4 +169,4 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 2048, bucket_rows: int = 2
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence), pa.array(offset)], names=[*batch.schema.names[:5], "sequence_id", "offset"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return ranked.mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.transform(common.mapped, run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

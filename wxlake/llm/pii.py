@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common
+
 KINDS = ("email", "ip", "card", "phone")
 LABELERS = ("pattern", "value", "gazetteer", "context")
 SPANS = "array<struct<kind:string,start:long,end:long,base:boolean,votes:string,shape:string>>"
@@ -175,7 +177,7 @@ def candidates(docs: DataFrame) -> DataFrame:
             found = [[dict(zip(names, s, strict=True)) for s in spans_of(t)] for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, _SPANS)], names=["doc_id", "found"])
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, found {SPANS}")
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).transform(common.mapped, run, f"doc_id {kind}, found {SPANS}")
 
 
 @dataclass
@@ -249,8 +251,6 @@ def fit(found: DataFrame) -> Model:
 
 def personal_data(docs: DataFrame) -> tuple[DataFrame, Model]:
     """doc_id, base and spans (arrays of kind, start, end as structs) of every document, and the model."""
-    from . import common
-
     found = common.written(candidates(docs), "spans")
     model = fit(found)
     kind = dict(docs.dtypes)["doc_id"]
@@ -269,7 +269,7 @@ def personal_data(docs: DataFrame) -> tuple[DataFrame, Model]:
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(out[f"n_{k}"], pa.int64()) for k in KINDS), pa.array(out["base"], pa.string()), pa.array(out["spans"], pa.string())], names=list(out))
 
     counts = ", ".join(f"n_{k} long" for k in KINDS)
-    return found.mapInArrow(run, f"doc_id {kind}, {counts}, base string, spans string"), model
+    return found.transform(common.mapped, run, f"doc_id {kind}, {counts}, base string, spans string"), model
 
 
 def masked(text: str | None, model: Model) -> str | None:
@@ -297,7 +297,7 @@ def mask(docs: DataFrame, model: Model) -> DataFrame:
             text = pa.array([masked(t, held.value) for t in batch.column(place).to_pylist()], batch.schema.field(place).type)
             yield batch.set_column(place, batch.schema.field(place), text)
 
-    out = docs.mapInArrow(run, docs.schema)
+    out = docs.transform(common.mapped, run, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 

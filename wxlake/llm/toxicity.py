@@ -97,7 +97,8 @@ def _frequencies(raw: np.ndarray, offsets: np.ndarray, chosen: np.ndarray) -> np
             text, h, _ = _hashes(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
             good = chosen[lo:hi][text]
             pair = np.unique((text[good] << SPACE_BITS) | h[good])
-            out += np.bincount(pair & ((1 << SPACE_BITS) - 1), minlength=1 << SPACE_BITS).astype(np.int32)
+            own, count = np.unique(pair & ((1 << SPACE_BITS) - 1), return_counts=True)
+            out[own] += count.astype(np.int32)
     return out
 
 
@@ -140,7 +141,7 @@ def nnpu(text: np.ndarray, feature: np.ndarray, value: np.ndarray, positive: np.
     return w[:-1], float(w[-1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, prior: float | None = None, most_positive: int = 4000, most_unlabelled: int = 12000, features: int = 2000) -> Model | None:
+def fit(docs: DataFrame, labels: DataFrame, prior: float | None = None, most_positive: int = 2500, most_unlabelled: int = 7500, features: int = 2000) -> Model | None:
     """Learn from docs (doc_id, text) and labels (doc_id, toxic). Without `prior` it is the share of toxic
     documents among the labelled ones, or 0.1 if only toxic ones are labelled."""
     verdict = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic"))
@@ -170,11 +171,11 @@ def learn(raw: np.ndarray, offsets: np.ndarray, positive: np.ndarray, unlabelled
     if not n_pos or not n_unl:
         return None
     in_pos = _frequencies(raw, offsets, positive)
-    p, u = in_pos / n_pos, _frequencies(raw, offsets, unlabelled) / n_unl
-    z = (p - u) / np.sqrt(np.maximum(u, 0.5 / n_unl) * (1 / n_pos + 1 / n_unl))
-    z[(in_pos < LEAST_POSITIVES) | (p < LEAST_RATIO * u)] = 0
+    some = np.flatnonzero(in_pos >= LEAST_POSITIVES)
+    p, u = in_pos[some] / n_pos, _frequencies(raw, offsets, unlabelled)[some] / n_unl
+    z = np.where(p < LEAST_RATIO * u, 0, (p - u) / np.sqrt(np.maximum(u, 0.5 / n_unl) * (1 / n_pos + 1 / n_unl)))
     best = np.argsort(-z, kind="stable")[:features]
-    best = best[z[best] >= LEAST_Z]
+    best = some[best[z[best] >= LEAST_Z]]
     slot = np.zeros(1 << SPACE_BITS, np.uint16)
     slot[best] = np.arange(1, len(best) + 1)
     found = []
@@ -197,7 +198,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
             s = held.value.scores(*common.text_bytes(batch.column(1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, score double, predicted int")
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).transform(common.mapped, run, f"doc_id {kind}, score double, predicted int")
 
 
 def not_toxic(docs: DataFrame, model: Model | None, limit: float = 0.5) -> DataFrame:
@@ -211,4 +212,4 @@ def not_toxic(docs: DataFrame, model: Model | None, limit: float = 0.5) -> DataF
         for batch in batches:
             yield batch.filter(pa.array(held.value.scores(*common.text_bytes(batch.column(place))) < limit))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.transform(common.mapped, run, docs.schema)
