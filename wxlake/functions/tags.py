@@ -1,107 +1,101 @@
-"""Hazard tags of a segment's lines as native columns."""
+"""Hazard tags of a segment's lines, for the segmenter."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-from . import codes
-from .vtec import trimmed
-
-
-def upper(text: Column) -> Column:
-    """ASCII upper case; upper() would also change other letters."""
-    return F.translate(text, "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
-
-
-def _number(line: Column, prefix: str, unit: str, kind: str) -> Column:
-    """The number between the first `prefix` and the next `unit`, null if it is none."""
-    dots = prefix.replace(".", r"\.")
-    text = F.regexp_extract(line, rf"^.*?{dots}(.*?){unit}", 1)
-    plain = F.regexp_replace(F.trim(text), "^[<>]+", "")
-    shape = r"^[+]?[0-9]+$" if kind == "int" else r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$"
-    return F.when(plain.rlike(shape), plain.try_cast(kind))
-
-
-def segment_tags(lines: Column) -> Column:
-    """array<struct<kind, num, text>> in line order; a line may yield several, and the same tag may recur."""
-
-    def of(line: Column) -> Column:
-        u = upper(trimmed(line))
-        hail = F.coalesce(_number(u, "HAIL...", "IN", "float"), _number(u, "MAX HAIL SIZE...", "IN", "float"))
-        wind = F.coalesce(_number(u, "WIND...", "MPH", "int"), _number(u, "MAX WIND GUST...", "MPH", "int"))
-        wind = F.when(wind <= 65535, wind)
-
-        def tag(hit: Column, kind: str, text: str | None = None, num: Column | None = None) -> Column:
-            return F.when(hit, F.struct(F.lit(kind).alias("kind"), (F.lit(None) if num is None else num).cast("float").alias("num"), F.lit(text).cast("string").alias("text")))
-
-        damage = [tag(u.contains(w) & u.contains("DAMAGE THREAT"), "damage_threat", w) for w in ("CONSIDERABLE", "SIGNIFICANT", "DESTRUCTIVE", "CATASTROPHIC")]
-        squall = [tag(u.contains(f"SNOW SQUALL IMPACT...{w}"), "damage_threat", w) for w in ("SIGNIFICANT", "GENERAL")]
-        tornado = [tag(u.contains(f"TORNADO...{w}"), "tornado", w) for w in ("OBSERVED", "RADAR INDICATED", "POSSIBLE")]
-        flood = [tag(u.contains("FLASH FLOOD...OBSERVED"), "flash_flood_observed"), tag(u.startswith("FLASH FLOOD EMERGENCY"), "flash_flood_emergency")]
-        numbers = [tag(hail.isNotNull(), "hail_inches", None, hail), tag(wind.isNotNull(), "wind_mph", None, wind)]
-        return F.array_compact(F.array(*tornado, *flood, *numbers, *damage, *squall))
-
-    # Most lines have no dots and no threat; only the others are searched for tags.
-    some = F.filter(lines, lambda x: upper(x).rlike(r"\.\.\.|DAMAGE THREAT|FLASH FLOOD EMERGENCY"))
-    return F.flatten(F.transform(some, of))
-
-
-def text_tags(lines: Column) -> Column:
-    """Tags of the form NAME...VALUE with raw and normalised parts, measurement and 1-based line number."""
-
-    def of(line: Column, i: Column) -> Column:
-        raw = F.trim(trimmed(line))
-        name = F.trim(F.regexp_replace(F.trim(F.substring_index(raw, "...", 1)), r"^\*+", ""))
-        value = F.trim(F.substring(raw, F.length(F.substring_index(raw, "...", 1)) + 4, 1 << 20))
-        plain = lambda c: upper(F.regexp_replace(F.trim(c), r"\s+", " "))
-        compact = upper(F.regexp_replace(value, r"[ \t\n\r\f]", ""))
-        measure = lambda unit: F.regexp_replace(F.regexp_extract(compact, f"^(.*?){unit}", 1), "^[<>]+", "")
-        text = F.when(plain(name) == "MAX HAIL SIZE", measure("IN")).when(plain(name) == "MAX WIND GUST", measure("MPH"))
-        number = F.round(F.when(text.rlike(r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)$"), text.try_cast("float")), 2).cast("float")
-        unit = F.when(number.isNotNull(), F.when(plain(name) == "MAX HAIL SIZE", "in").otherwise("mph"))
-        tag = F.struct(
-            F.translate(F.lower(plain(name)), " ", "_").alias("kind"),
-            raw.alias("raw_line"),
-            name.alias("raw_name"),
-            value.alias("raw_value"),
-            plain(value).alias("normalized_value"),
-            number.alias("numeric_value"),
-            unit.alias("unit"),
-            (i + 1).alias("line_number"),
-        )
-        return F.when(raw.contains("...") & plain(name).isin(*codes.TEXT_TAGS), tag)
-
-    return F.array_compact(F.transform(lines, of))
-
-
-def actions(pvtec: Column) -> Column:
-    """One action tag for each P-VTEC, with its 1-based place."""
-    return F.transform(pvtec, lambda v, i: F.struct(F.lit("pvtec").alias("source"), v["action"].alias("action"), codes.looked_up(v["action"], codes.ACTIONS).alias("normalized_action"), v["raw"].alias("raw"), (i + 1).alias("vtec_index")))
-
-
-def _last(tags: Column, hit, field: str) -> Column:
-    return F.try_element_at(F.filter(tags, hit), F.lit(-1))[field]
-
-
-def rolled_up(segment: Column, text: Column, pvtec: Column, timeline: bool = False) -> Column:
-    """Tags as columns: of each kind the last counts, and segment tags override text tags.
-
-    A timeline keeps any tornado value of a text tag, the other reports only the three known ones. Segments with a
-    flash-flood code have no damage threat; a catastrophic one is an emergency.
+import re
+
+from .codes import ACTIONS, TEXT_TAGS
+
+_SPACE = " \t\n\r\f"
+_FLOAT = re.compile(r"[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?\Z")
+_INT = re.compile(r"\+?[0-9]+\Z")
+#: Values of a tornado tag that every report knows.
+TORNADO = ("OBSERVED", "RADAR INDICATED", "POSSIBLE")
+_THREATS = ("tstm_damage_threat", "tornado_damage_threat", "flash_flood_damage_threat")
+
+
+def upper(text: str) -> str:
+    """ASCII upper case."""
+    return "".join(chr(ord(c) - 32) if "a" <= c <= "z" else c for c in text) if not text.isupper() else text
+
+
+def _number(line: str, prefix: str, unit: str, shape: re.Pattern) -> str | None:
+    """The number between the first `prefix` and the next `unit`."""
+    _, found, rest = line.partition(prefix)
+    inner, ended, _ = rest.partition(unit)
+    plain = inner.strip().lstrip("<>")
+    return plain if found and ended and shape.match(plain) else None
+
+
+def of_line(line: str) -> list[tuple[str, float | None, str | None]]:
+    """Segment tags (kind, number, text) of one line."""
+    u = upper(line.strip(_SPACE))
+    if "..." not in u and "DAMAGE THREAT" not in u and not u.startswith("FLASH FLOOD EMERGENCY"):
+        return []
+    out: list = [("tornado", None, w) for w in TORNADO if f"TORNADO...{w}" in u]
+    out += [("flash_flood_observed", None, None)] if "FLASH FLOOD...OBSERVED" in u else []
+    out += [("flash_flood_emergency", None, None)] if u.startswith("FLASH FLOOD EMERGENCY") else []
+    hail = _number(u, "HAIL...", "IN", _FLOAT) or _number(u, "MAX HAIL SIZE...", "IN", _FLOAT)
+    wind = _number(u, "WIND...", "MPH", _INT) or _number(u, "MAX WIND GUST...", "MPH", _INT)
+    out += [("hail_inches", float(hail), None)] if hail else []
+    out += [("wind_mph", float(wind), None)] if wind and int(wind) < 1 << 16 else []
+    if "DAMAGE THREAT" in u:
+        out += [("damage_threat", None, w) for w in ("CONSIDERABLE", "SIGNIFICANT", "DESTRUCTIVE", "CATASTROPHIC") if w in u]
+    return out + [("damage_threat", None, w) for w in ("SIGNIFICANT", "GENERAL") if f"SNOW SQUALL IMPACT...{w}" in u]
+
+
+def text_tag(line: str, number: int) -> dict | None:
+    """A tag NAME...VALUE with raw and normalised parts and its measurement."""
+    raw = line.strip()
+    name, dots, value = raw.partition("...")
+    name, value = name.strip().lstrip("*").strip(), value.strip()
+    known = upper(" ".join(name.split()))
+    if not dots or known not in TEXT_TAGS:
+        return None
+    unit = {"MAX HAIL SIZE": ("IN", "in"), "MAX WIND GUST": ("MPH", "mph")}.get(known)
+    size = None
+    if unit:
+        text, ended, _ = upper("".join(value.split())).partition(unit[0])
+        text = text.lstrip("<>")
+        size = round(float(text), 2) if ended and _FLOAT.match(text) else None
+    return {"kind": known.lower().replace(" ", "_"), "raw_line": raw, "raw_name": name, "raw_value": value, "normalized_value": upper(" ".join(value.split())), "numeric_value": size, "unit": unit[1] if size is not None else None, "line_number": number}
+
+
+def rolled_up(lines: list[str], phenomena: list[str]) -> tuple[dict, list[dict]]:
+    """Tags as columns, and the text tags. Of each kind the last counts, and segment tags override text tags.
+
+    tornado_any keeps any value of a text tag, tornado_tag only the known ones. Segments with a flash-flood code have
+    no damage threat; a catastrophic one is an emergency.
     """
-    known = ("OBSERVED", "RADAR INDICATED", "POSSIBLE")
-    tornado = _last(text, lambda t: (t["kind"] == "tornado") & (F.lit(timeline) | t["normalized_value"].isin(*known)), "normalized_value")
-    threats = ("tstm_damage_threat", "tornado_damage_threat", "flash_flood_damage_threat")
-    damage = F.coalesce(_last(segment, lambda t: t["kind"] == "damage_threat", "text"), _last(text, lambda t: t["kind"].isin(*threats), "normalized_value"))
-    flood = F.exists(pvtec, lambda v: v["phenomenon"] == "FF")
-    hail = _last(text, lambda t: (t["kind"] == "max_hail_size") & t["numeric_value"].isNotNull(), "numeric_value")
-    wind = _last(text, lambda t: (t["kind"] == "max_wind_gust") & t["numeric_value"].isNotNull(), "numeric_value")
-    return F.struct(
-        F.coalesce(_last(segment, lambda t: t["kind"] == "tornado", "text"), tornado).alias("tornado_tag"),
-        F.exists(segment, lambda t: t["kind"] == "flash_flood_observed").alias("flash_flood_observed"),
-        (F.exists(segment, lambda t: t["kind"] == "flash_flood_emergency") | F.coalesce(flood & (damage == "CATASTROPHIC"), F.lit(False))).alias("flash_flood_emergency"),
-        F.round(F.coalesce(_last(segment, lambda t: t["kind"] == "hail_inches", "num"), hail), 2).cast("float").alias("hail_inches"),
-        F.round(F.coalesce(_last(segment, lambda t: t["kind"] == "wind_mph", "num"), wind)).cast("int").alias("wind_mph"),
-        F.when(~flood, damage).alias("damage_threat"),
-    )
+    texts = [t for i, x in enumerate(lines) if "..." in x and (t := text_tag(x, i + 1))]
+    out = dict.fromkeys(("tornado_tag", "tornado_any", "hail_inches", "wind_mph", "damage_threat")) | {"flash_flood_observed": False, "flash_flood_emergency": False}
+    for t in texts:
+        if t["kind"] == "tornado":
+            out["tornado_any"] = t["normalized_value"]
+            if t["normalized_value"] in TORNADO:
+                out["tornado_tag"] = t["normalized_value"]
+        elif t["kind"] == "max_hail_size" and t["numeric_value"] is not None:
+            out["hail_inches"] = t["numeric_value"]
+        elif t["kind"] == "max_wind_gust" and t["numeric_value"] is not None:
+            out["wind_mph"] = int(t["numeric_value"] + 0.5)
+        elif t["kind"] in _THREATS:
+            out["damage_threat"] = t["normalized_value"]
+    for kind, number, text in [t for x in lines for t in of_line(x)]:
+        if kind == "tornado":
+            out["tornado_tag"] = out["tornado_any"] = text
+        elif kind == "hail_inches":
+            out["hail_inches"] = round(number, 2)
+        elif kind == "wind_mph":
+            out["wind_mph"] = int(number)
+        elif kind == "damage_threat":
+            out["damage_threat"] = text
+        else:
+            out[kind] = True
+    if "FF" in phenomena:
+        out["flash_flood_emergency"] |= out["damage_threat"] == "CATASTROPHIC"
+        out["damage_threat"] = None
+    return out, texts
+
+
+def actions(codes: list[dict]) -> list[dict]:
+    return [{"action": c["action"], "normalized_action": ACTIONS[c["action"]], "raw": c["raw"], "vtec_index": i + 1} for i, c in enumerate(codes)]

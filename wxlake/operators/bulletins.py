@@ -1,10 +1,8 @@
 """Raw texts to bulletins, segments and event codes, as DataFrame transformations.
 
-    bulletins(df)   one row a text: heading, identifier, family, body, or the error that rejects it
+    products(df)    one row a text: heading, identifier, family, body, or the error that rejects it
     segments(df)    one row a segment: geography, codes, lines, polygon, motion, tags
     codes_of(df)    one row an event code
-
-Errors are data: a rejected text keeps its row with error_kind and error_field, and has no segments.
 """
 
 from __future__ import annotations
@@ -12,189 +10,39 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import codes, geotext, tags, times, ugc, vtec
-
-SOH, ETX, SEPARATOR = "\x01", "\x03", "\r\r\n"
-_SPACE = " \t\n\r\f"
-_HEADING = r"^([A-Z]{4}[0-9]{2})[ \t\r\f]+([A-Z]{4})[ \t\r\f]+([0-9]{6})(?:[ \t\r\f]+([A-Z0-9]{3}))?$"
-
-
-def _trim(c: Column) -> Column:
-    return F.btrim(c, F.lit(_SPACE))
-
-
-def _one_break_less(c: Column) -> Column:
-    return F.regexp_replace(c, r"(\r\r\n|\r\n|\n)\z", "")
-
-
-def _error(kind: str, field: str, at: Column | int | None = None) -> Column:
-    return F.struct(F.lit(kind).alias("kind"), F.lit(field).alias("field"), (F.lit(at) if not isinstance(at, Column) else at).cast("long").alias("offset"))
-
-
-def _heading_error(line: Column) -> Column:
-    """The first rule that a heading breaks, in the order of its tokens' count, then their shapes."""
-    token = F.filter(F.split(line, r"[ \t\n\r\f]+"), lambda t: t != "")
-    get = lambda i: F.try_element_at(token, F.lit(i))
-    return (
-        F.when(get(1).isNull(), _error("MissingField", "ttaaii"))
-        .when(get(2).isNull(), _error("MissingField", "cccc"))
-        .when(get(3).isNull(), _error("MissingField", "yygggg"))
-        .when(get(5).isNotNull(), _error("InvalidField", "wmo heading token count"))
-        .when(~get(1).rlike("^[A-Z]{4}[0-9]{2}$"), _error("InvalidField", "ttaaii"))
-        .when(~get(2).rlike("^[A-Z]{4}$"), _error("InvalidField", "cccc"))
-        .when(~get(3).rlike("^[0-9]{6}$"), _error("InvalidField", "yygggg"))
-        .when(~get(4).rlike("^[A-Z0-9]{3}$"), _error("InvalidField", "bbb"))
-    )
-
-
-def bulletins(df: DataFrame, text: str = "raw") -> DataFrame:
-    """Add the bulletin's columns. A null text counts as bytes that are not UTF-8."""
-    raw = F.col(text)
-    framed = raw.startswith(SOH)
-    size = F.octet_length(raw)
-    frame_error = (
-        F.when(raw.isNull(), _error("InvalidUtf8", "utf-8"))
-        .when(framed & (size < 5), _error("UnexpectedEof", "framed message"))
-        .when(framed & (F.substring(raw, 2, 3) != SEPARATOR), _error("InvalidControl", "leading SOH separator", 1))
-        .when(framed & ~raw.endswith(ETX), _error("InvalidControl", "missing trailing ETX", size - 1))
-    )
-    inner = F.when(framed, F.regexp_extract(raw, r"(?s)^.{4}(.*).$", 1)).otherwise(raw)
-    out = df.withColumns({"frame_kind": F.when(framed, "framed").otherwise("bare"), "_frame": frame_error, "bulletin": _one_break_less(inner)})
-    # A first line of three digits is the sequence number; line ends are LF with up to two CR before it.
-    sequence = F.regexp_extract("bulletin", r"^[ \t\r\f]*([0-9]{3})[ \t\r\f]*\n", 1)
-    after = F.when(sequence != "", F.regexp_extract("bulletin", r"(?s)^[^\n]*\n(.*)$", 1)).otherwise(F.col("bulletin"))
-    out = out.withColumns({"sequence_number": F.nullif(sequence, F.lit("")).cast("int"), "_rest": F.regexp_replace(after, r"^[\r\n]+", "")})
-    has_line = F.col("_rest").contains("\n")
-    out = out.withColumns({"heading": F.when(has_line, _trim(F.substring_index("_rest", "\n", 1))), "_rest": F.regexp_replace(F.regexp_extract("_rest", r"(?s)^[^\n]*\n(.*)$", 1), r"^[\r\n]+", "")})
-    error = F.coalesce(F.col("_frame"), F.when(F.col("heading").isNull(), _error("UnexpectedEof", "wmo heading line")), F.when(~F.col("heading").rlike(_HEADING), _heading_error(F.col("heading"))))
-    named = _trim(F.regexp_extract("_rest", r"^([^\n]*)\n", 1))
-    awips = F.when(named.rlike("^[A-Z0-9]{5,6}$"), named)
-    out = out.withColumns({"_error": error, "awips_id": awips})
-    good = F.col("_error").isNull()
-    part = lambda i: F.when(good, F.nullif(F.regexp_extract("heading", _HEADING, i), F.lit("")))
-    body = F.when(F.col("awips_id").isNotNull(), F.regexp_extract("_rest", r"(?s)^[^\n]*\n(.*)$", 1)).otherwise(F.col("_rest"))
-    return out.withColumns(
-        {
-            "ttaaii": part(1),
-            "cccc": part(2),
-            "yygggg": part(3),
-            "bbb": part(4),
-            "heading": F.when(good, F.col("heading")),
-            "awips_id": F.when(good, F.col("awips_id")),
-            "nnn": F.when(good, F.substring("awips_id", 1, 3)),
-            "xxx": F.when(good, F.substring("awips_id", 4, 3)),
-            "body": F.when(good, _one_break_less(body)),
-            "error_kind": F.col("_error.kind"),
-            "error_field": F.col("_error.field"),
-            "error_offset": F.col("_error.offset"),
-        }
-    ).drop("_frame", "_rest", "_error")
-
-
-def lines_of(body: Column) -> Column:
-    """Lines without their CRs; the last may be empty."""
-    return F.split(body, "\r*\n|\r+$")
-
-
-def _blocks(lines: Column) -> Column:
-    """Geography blocks as structs of first line, last line (0-based) and text, none inside another."""
-    some = F.filter(F.sequence(F.lit(0), F.greatest(F.size(lines) - 1, F.lit(0))), lambda i: F.try_element_at(lines, i + 1).rlike(ugc.BEGINNING))
-
-    def at(i: Column) -> Column:
-        # A block goes on over lines that end in '-'; it is searched in what remains of the body.
-        found = ugc.block(F.array_join(F.slice(lines, i + 1, F.size(lines)), "\n"))
-        return F.struct(i.alias("first"), (i + F.length(found) - F.length(F.replace(found, F.lit("\n"), F.lit("")))).alias("last"), found.alias("ugc"))
-
-    every = F.filter(F.transform(some, at), lambda b: b["ugc"].isNotNull())
-    none = F.slice(every, 1, 0)
-    return F.aggregate(every, none, lambda acc, b: F.when((F.size(acc) == 0) | (b["first"] > F.coalesce(F.try_element_at(acc, F.lit(-1))["last"], F.lit(-1))), F.concat(acc, F.array(b))).otherwise(acc))
-
-
-def _kinds(lines: Column) -> Column:
-    """One letter a line (blank, P-VTEC, H-VTEC, other), which turns the rules for code lines into a pattern."""
-    return F.array_join(F.transform(lines, lambda x: F.when(_trim(x) == "", "b").when(~_trim(x).startswith("/"), "o").when(vtec.is_p_vtec(x), "p").when(vtec.is_h_vtec(x), "h").otherwise("o")), "")
-
-
-def _not_blank(x: Column) -> Column:
-    return _trim(x) != ""
-
-
-def _leading_codes(lines: Column) -> Column:
-    """P-VTEC structs at the head of a segment's lines."""
-    return F.transform(F.filter(F.slice(lines, 1, F.length(F.regexp_extract(_kinds(lines), "^[bp]*", 0))), _not_blank), vtec.p_vtec)
-
-
-def products(parsed: DataFrame) -> DataFrame:
-    """Add parts (ugc and lines of each segment), mnd_header, family and the product's errors to bulletins().
-
-    One malformed polygon or motion line rejects the whole product. Everything happens within the row.
+from ..functions import codes, segmenter, times
+
+def products(df: DataFrame, text: str = "raw") -> DataFrame:
+    """Add the columns of the text's bulletin: heading and its parts, body, parts (segments), family, error.
+
+    Errors are data: a rejected text keeps its row with error_kind and error_field, and has no parts. A null text
+    counts as bytes that are not UTF-8.
     """
-    out = parsed.withColumn("_lines", F.when(F.col("error_kind").isNull(), lines_of(F.col("body"))))
-    out = out.withColumn("_blocks", F.when(F.col("_lines").isNotNull(), _blocks(F.col("_lines"))))
-    lines, blocks = F.col("_lines"), F.col("_blocks")
-    ends = F.filter(F.sequence(F.lit(0), F.greatest(F.size(lines) - 1, F.lit(0))), lambda i: _trim(F.try_element_at(lines, i + 1)) == "$$")
-
-    def part(b: Column, i: Column) -> Column:
-        after = F.coalesce(F.try_element_at(blocks, i + 2)["first"], F.size(lines))
-        stop = F.try_element_at(F.filter(ends, lambda e: (e > b["last"]) & (e < after)), F.lit(1))
-        content = F.slice(lines, b["last"] + 2, F.greatest(F.coalesce(stop, after) - b["last"] - 1, F.lit(0)))
-        return F.struct(b["ugc"].alias("ugc"), content.alias("lines"), stop.isNotNull().alias("dollars"))
-
-    out = out.withColumn("parts", F.transform(blocks, part))
-    # The first preamble line; lines after a `$$` come later than any block.
-    header = F.try_element_at(F.filter(F.slice("_lines", 1, F.coalesce(F.try_element_at("_blocks", F.lit(1))["first"], F.size("_lines"))), _not_blank), F.lit(1))
-    text = F.transform("parts", lambda x: F.array_join(x["lines"], "\n"))
-    # Polygons come before motions within a segment.
-    wrong = F.array_compact(F.flatten(F.transform(text, lambda t: F.array(F.when(~geotext.polygon(t)["ok"], "LAT...LON"), F.when(~geotext.motion(t)["ok"], "TIME...MOT...LOC")))))
-    out = out.withColumns({"mnd_header": header, "_wrong": F.try_element_at(wrong, F.lit(1))})
-    first_code = F.try_element_at(F.flatten(F.transform("parts", lambda x: _leading_codes(x["lines"]))), F.lit(1))
-    rejected = F.col("_wrong").isNotNull()
-    return out.withColumns(
-        {
-            "family": F.when(F.col("error_kind").isNull() & ~rejected, family(F.col("nnn"), F.when(F.col("nnn").isNull(), first_code), F.col("mnd_header"))),
-            "error_kind": F.coalesce("error_kind", F.when(rejected, "InvalidField")),
-            "error_field": F.coalesce("error_field", F.col("_wrong")),
-            "parts": F.when(~rejected, F.col("parts")),
-        }
-    ).drop("_lines", "_blocks", "_wrong")
+    out = df.withColumn("_s", segmenter.parsed(text))
+    first = F.try_element_at(F.flatten(F.transform("_s.parts", lambda x: x["pvtec"])), F.lit(1))
+    known = F.when(F.col("_s.error_kind").isNull(), family(F.col("_s.nnn"), first, F.col("_s.mnd_header")))
+    return out.select(*df.columns, *(F.col(f"_s.{n}") for n in segmenter.BULLETIN.names), known.alias("family"))
 
 
 def segments(parsed: DataFrame, keys: list[str]) -> DataFrame:
     """One row a segment of products(), with the key columns; segment_index is 1-based."""
-    rows = parsed.select(*keys, F.posexplode("parts").alias("_at", "_p")).select(*keys, (F.col("_at") + 1).alias("segment_index"), F.col("_p.ugc").alias("ugc_raw"), F.col("_p.lines").alias("_content"), F.col("_p.dollars").alias("separated_by_dollars"))
-    rows = rows.withColumn("_kinds", _kinds(F.col("_content")))
-    n_p = F.length(F.regexp_extract("_kinds", "^[bp]*", 0))
-    n_h = F.length(F.regexp_extract("_kinds", "^[bp]*([bh]*)", 1))
-    rows = rows.withColumns(
-        {
-            "pvtec": F.transform(F.filter(F.slice("_content", 1, n_p), _not_blank), vtec.p_vtec),
-            "hvtec": F.transform(F.filter(F.slice("_content", n_p + 1, n_h), _not_blank), vtec.h_vtec),
-            "body_lines": F.slice("_content", n_p + n_h + 1, F.size("_content")),
-            "contains_andand": F.exists("_content", lambda x: _trim(x) == "&&"),
-        }
-    )
-    text = F.array_join("body_lines", "\n")
-    rows = rows.withColumns({"headline": F.try_element_at(F.filter("body_lines", _not_blank), F.lit(1)), "lat_lon": geotext.polygon(text), "motion": geotext.motion(text), "ugcs": ugc.expanded(F.col("ugc_raw"))})
-    return rows.drop("_content", "_kinds")
-
-
-def with_tags(parts: DataFrame, timeline: bool = False) -> DataFrame:
-    """Add the segment tags, text tags, action tags and their roll-up."""
-    out = parts.withColumns({"segment_tags": tags.segment_tags(F.col("body_lines")), "text_tags": tags.text_tags(F.col("body_lines")), "actions": tags.actions(F.col("pvtec"))})
-    return out.withColumn("tags", tags.rolled_up(F.col("segment_tags"), F.col("text_tags"), F.col("pvtec"), timeline))
+    rows = parsed.select(*keys, F.posexplode("parts").alias("_at", "_p")).withColumn("segment_index", F.col("_at") + 1)
+    names = {"ugc": "ugc_raw", "lines": "body_lines", "dollars": "separated_by_dollars", "ampersands": "contains_andand"}
+    return rows.select(*keys, "segment_index", *(F.col(f"_p.{n}").alias(names.get(n, n)) for n in segmenter._SEGMENT.names))
 
 
 def codes_of(parts: DataFrame, columns: list[str]) -> DataFrame:
-    """One row an event code, with the given columns; vtec_index is 1-based."""
+    """One row an event code (struct vtec) with its times, and the given columns; vtec_index is 1-based."""
     rows = parts.select(*columns, F.posexplode("pvtec").alias("_at", "vtec"))
-    return rows.withColumn("vtec_index", F.col("_at") + 1).drop("_at")
+    start, end = (times.vtec_time(F.col(f"vtec.{c}")).alias(f"valid_{c}") for c in ("start", "end"))
+    return rows.withColumns({"vtec_index": F.col("_at") + 1, "vtec": F.struct("vtec.*", start, end)}).drop("_at")
 
 
 def family(nnn: Column, first_code: Column, header: Column) -> Column:
     """Product family: by identifier, else by the first event code, else by the title line."""
     title = F.lit("unknown")
     for words, name in reversed(codes.TITLE_FAMILIES.items()):
-        title = F.when(tags.upper(header).contains(words), name).otherwise(title)
+        title = F.when(F.translate(header, "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ").contains(words), name).otherwise(title)
     by_code = F.when(first_code["significance"] == "A", "watch").otherwise(F.coalesce(codes.looked_up(first_code["phenomenon"], codes.PHENOMENON_FAMILIES), F.lit("unknown")))
     return F.when(nnn.isNotNull(), codes.product_family(nnn)).when(first_code.isNotNull(), by_code).otherwise(F.coalesce(title, F.lit("unknown")))
 
