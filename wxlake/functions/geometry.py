@@ -14,6 +14,11 @@ from pyspark.sql import functions as F
 EPSILON = 1e-9
 
 
+def _let(value: Column, f) -> Column:
+    """f of a value that is computed once: without it, each mention would repeat the value's whole expression."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def _same(a: Column, b: Column) -> Column:
     return (F.abs(a["x"] - b["x"]) <= EPSILON) & (F.abs(a["y"] - b["y"]) <= EPSILON)
 
@@ -26,16 +31,14 @@ def _closed_up(points: Column) -> Column:
     """Points without repeated neighbours and without a last one that repeats the first."""
     none = F.slice(points, 1, 0)
     kept = F.aggregate(points, none, lambda acc, p: F.when((F.size(acc) > 0) & _same(_last(acc), p), acc).otherwise(F.concat(acc, F.array(p))))
-    first = F.try_element_at(kept, F.lit(1))
-    return F.when((F.size(kept) > 1) & _same(first, _last(kept)), F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0)))).otherwise(kept)
+    return _let(kept, lambda k: F.when((F.size(k) > 1) & _same(F.try_element_at(k, F.lit(1)), _last(k)), F.slice(k, 1, F.greatest(F.size(k) - 1, F.lit(0)))).otherwise(k))
 
 
 def ring(points: Column) -> Column:
     """array<struct<x double, y double>> (x: longitude), null if fewer than three points are left."""
     planar = F.transform(points, lambda p: F.struct(p["lon"].cast("double").alias("x"), p["lat"].cast("double").alias("y")))
     known = F.forall(planar, lambda p: p["x"].isNotNull() & p["y"].isNotNull() & (F.abs(p["x"]) < 1e308) & (F.abs(p["y"]) < 1e308))
-    out = _closed_up(planar)
-    return F.when(known & (F.size(out) >= 3), out)
+    return F.when(known, _let(_closed_up(planar), lambda r: F.when(F.size(r) >= 3, r)))
 
 
 def _turned(points: Column, by: int) -> Column:
@@ -71,7 +74,7 @@ def crosses_itself(points: Column) -> Column:
     n = F.size(points)
     edges = F.transform(_edges(points), lambda e, i: F.struct(e["a"].alias("a"), e["b"].alias("b"), i.alias("i")))
     apart = lambda e, f: (f["i"] > e["i"] + 1) & ~((e["i"] == 0) & (f["i"] == n - 1))
-    return F.exists(edges, lambda e: F.exists(edges, lambda f: apart(e, f) & _meet(e, f)))
+    return _let(edges, lambda every: F.exists(every, lambda e: F.exists(every, lambda f: apart(e, f) & _meet(e, f))))
 
 
 def signed_area(points: Column) -> Column:
@@ -88,24 +91,25 @@ def is_convex(points: Column) -> Column:
 
 def area(polygon: Column) -> Column:
     """Square degrees, null for no simple polygon."""
-    r = ring(polygon)
-    return F.when(r.isNotNull() & ~crosses_itself(r), F.abs(signed_area(r)))
+    return _let(ring(polygon), lambda r: F.when(r.isNotNull() & ~crosses_itself(r), F.abs(signed_area(r))))
 
 
 def contains(polygon: Column, lat: Column, lon: Column) -> Column:
     """Whether the polygon holds the point, its border included; null for no simple polygon with an area."""
-    r = ring(polygon)
-    p = F.struct(lon.cast("double").alias("x"), lat.cast("double").alias("y"))
-    border = F.exists(_edges(r), lambda e: (F.abs(_cross(e["a"], e["b"], p)) <= EPSILON) & _between(e["a"], p, e["b"]))
 
-    def hit(e: Column) -> Column:
+    def hit(e: Column, p: Column) -> Column:
         # Each edge is seen from its end back to its start, so that equal edges round alike everywhere.
         a, b = e["b"], e["a"]
         spans = (a["y"] > p["y"]) != (b["y"] > p["y"])
         return F.when(spans, p["x"] < a["x"] + (p["y"] - a["y"]) * (b["x"] - a["x"]) / (b["y"] - a["y"])).otherwise(False)
 
-    odd = F.size(F.filter(_edges(r), hit)) % 2 == 1
-    return F.when(r.isNotNull() & ~crosses_itself(r) & (F.abs(signed_area(r)) > EPSILON) & p["x"].isNotNull() & p["y"].isNotNull(), border | odd)
+    def decided(r: Column, p: Column) -> Column:
+        border = F.exists(_edges(r), lambda e: (F.abs(_cross(e["a"], e["b"], p)) <= EPSILON) & _between(e["a"], p, e["b"]))
+        odd = F.size(F.filter(_edges(r), lambda e: hit(e, p))) % 2 == 1
+        return F.when(r.isNotNull() & ~crosses_itself(r) & (F.abs(signed_area(r)) > EPSILON) & p["x"].isNotNull() & p["y"].isNotNull(), border | odd)
+
+    point = F.struct(lon.cast("double").alias("x"), lat.cast("double").alias("y"))
+    return _let(F.struct(ring(polygon).alias("r"), point.alias("p")), lambda v: decided(v["r"], v["p"]))
 
 
 def _clipped(points: Column, e: Column, left: Column) -> Column:
@@ -130,11 +134,14 @@ def _clipped(points: Column, e: Column, left: Column) -> Column:
 
 def overlap_area(one: Column, other: Column) -> Column:
     """Square degrees that two convex polygons share; null if one is not simple and convex."""
-    a, b = ring(one), ring(other)
-    fit = a.isNotNull() & b.isNotNull() & ~crosses_itself(a) & ~crosses_itself(b) & is_convex(a) & is_convex(b)
-    left = signed_area(b) >= 0
-    shared = F.aggregate(_edges(b), a, lambda acc, e: _clipped(acc, e, left))
-    return F.when(fit, F.when(F.size(shared) < 3, F.lit(0.0)).otherwise(F.abs(signed_area(shared))))
+
+    def shared(a: Column, b: Column) -> Column:
+        fit = a.isNotNull() & b.isNotNull() & ~crosses_itself(a) & ~crosses_itself(b) & is_convex(a) & is_convex(b)
+        left = signed_area(b) >= 0
+        inner = F.aggregate(_edges(b), a, lambda acc, e: _clipped(acc, e, left))
+        return F.when(fit, _let(inner, lambda c: F.when(F.size(c) < 3, F.lit(0.0)).otherwise(F.abs(signed_area(c)))))
+
+    return _let(F.struct(ring(one).alias("a"), ring(other).alias("b")), lambda v: shared(v["a"], v["b"]))
 
 
 def nonnegative(x: Column) -> Column:

@@ -230,3 +230,7 @@ def parsed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     """parse() of a text column."""
     for texts in batches:
         yield pd.DataFrame([parse(t) for t in texts], columns=BULLETIN.names).astype({n: "Int32" for n in _INTS})
+
+
+#: Filters on parsed columns would otherwise be pushed below the call and make it run again for each of them.
+parsed = parsed.asNondeterministic()

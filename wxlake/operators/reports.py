@@ -238,7 +238,7 @@ def lead_times(rows: DataFrame, events: DataFrame) -> DataFrame:
     # The border counts as inside, and so does what lies beyond it by no more than EPSILON.
     gap = 1e-6
     cells = F.flatten(F.transform(_cells(F.array_min(lats) - gap, F.array_max(lats) + gap), lambda y: F.transform(_cells(F.array_min(lons) - gap, F.array_max(lons) + gap), lambda x: F.struct(y.alias("y"), x.alias("x")))))
-    placed = warns.where(timed & shaped & valid).select("record_key", F.col("event_id").alias("warning_event_id"), "start", "end", F.coalesce("issued_at", "wrapper_issue", "start").alias("lead_start"), "polygon", F.explode(cells).alias("cell"))
+    placed = warns.where(timed & shaped).select("record_key", F.col("event_id").alias("warning_event_id"), "start", "end", F.coalesce("issued_at", "wrapper_issue", "start").alias("lead_start"), "polygon", F.explode(cells).alias("cell"))
     points = events.select("event", "event_time", F.col("lat").cast("float").cast("double").alias("lat"), F.col("lon").cast("float").cast("double").alias("lon"))
     spot = F.struct(F.floor("lat").cast("int").alias("y"), F.floor("lon").cast("int").alias("x"))
     hits = points.withColumn("cell", spot).join(placed, "cell").where(geometry.contains(F.col("polygon"), F.col("lat"), F.col("lon")))

@@ -9,8 +9,13 @@ rejects its file; per_frame=True rejects that frame alone, as the timeline repor
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .stanza import stanza
 
@@ -18,7 +23,8 @@ from .stanza import stanza
 MOST_FRAME_BYTES = 1 << 20
 SKIPPED = (".git", "target", "__pycache__")
 FRAMED_ENDINGS = ("sbn", "pid201", "bin", "dat", "ldm")
-_FRAME = "(?s)\x01[^\x03]*\x03"
+SOH = b"\x01"
+_FRAME = re.compile(rb"\x01[^\x03]*\x03")
 
 
 def _root(spark: SparkSession, path: str) -> str:
@@ -72,26 +78,28 @@ def looks_like_frames(content: Column) -> Column:
     return F.when((start > 0) & (end > 0), start < end).otherwise(start == 1)
 
 
-def frames(content: Column) -> Column:
-    """struct(chunks, junk, pending): frames from a start byte to the next end byte with their byte ranges; the junk
-    before the first; and what follows the last one. Bytes are one character each while frames are sought."""
-    wide = F.decode(content, "ISO-8859-1")
-    found = F.regexp_extract_all(wide, F.lit(_FRAME), F.lit(0))
-    between = F.split(wide, _FRAME)
-    # A place is what all gaps and frames before it sum up to.
-    gaps = F.transform(F.slice(between, 1, F.size(found)), lambda g: F.length(g).cast("long"))
-    sizes = F.transform(found, lambda x: F.length(x).cast("long"))
-    total = lambda a, n: F.aggregate(F.slice(a, 1, n), F.lit(0).cast("long"), lambda acc, x: acc + x)
-
-    def chunk(x: Column, i: Column) -> Column:
-        start = total(gaps, i + 1) + total(sizes, i)
-        return F.struct(start.alias("start"), (start + F.length(x)).alias("end"), F.encode(x, "ISO-8859-1").alias("bytes"))
-
-    # Without a frame, what precedes a start byte is junk, and all of it if there is none.
-    first = F.element_at(between, 1)
-    junk = F.when(F.size(found) > 0, F.length(first)).when(F.instr(wide, "\x01") > 0, F.instr(wide, "\x01") - 1).otherwise(F.length(wide))
-    pending = F.when(F.size(found) > 0, F.length(F.element_at(between, -1))).otherwise(F.length(wide) - junk)
-    return F.struct(F.transform(found, chunk).alias("chunks"), junk.cast("long").alias("junk"), pending.cast("long").alias("pending"))
+_CHUNK = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("bytes", T.BinaryType())])
+FRAMES = T.StructType([T.StructField("chunks", T.ArrayType(_CHUNK)), T.StructField("junk", T.LongType()), T.StructField("pending", T.LongType())])
+
+
+def framed(content: bytes | None) -> dict:
+    """Frames from a start byte to the next end byte with their byte ranges; the junk before the first; and what follows
+    the last one. Without a frame, what precedes a start byte is junk, and all of it if there is none."""
+    content = content or b""
+    chunks = [{"start": m.start(), "end": m.end(), "bytes": m[0]} for m in _FRAME.finditer(content)]
+    first = content.find(SOH)
+    junk = chunks[0]["start"] if chunks else first if first >= 0 else len(content)
+    return {"chunks": chunks, "junk": junk, "pending": len(content) - (chunks[-1]["end"] if chunks else junk)}
+
+
+@F.pandas_udf(FRAMES)
+def _frames(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    for contents in batches:
+        yield pd.DataFrame([framed(c) for c in contents], columns=FRAMES.names)
+
+
+#: As for parsed bulletins, filters must not make the call run again.
+frames = _frames.asNondeterministic()
 
 
 def with_kind(files: DataFrame) -> DataFrame:
