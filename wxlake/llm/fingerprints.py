@@ -111,10 +111,12 @@ def edited_pairs(docs: DataFrame, k: int = 128, words: int = 5, rows: int = 4000
     nxt = ring.select("bucket", F.lead("bucket").over(across).alias("to")).select("bucket", F.coalesce("to", F.lit(first)).alias("to"))
     beyond = nxt.join(ring.select(F.col("bucket").alias("to"), "head"), "to").select("bucket", "head")
     w = Window.partitionBy("bucket").orderBy(*order)
-    near = ranged.withColumn("fp", fingerprint(F.col("text"), k, words))
-    near = near.select("bucket", "doc_id", "text", "fp", F.lead("text").over(w).alias("next"), F.lead("fp").over(w).alias("next_fp"))
-    last = near.where("next is null").drop("next", "next_fp").join(beyond, "bucket").select("doc_id", "text", "fp", F.col("head").alias("next"), fingerprint(F.col("head"), k, words).alias("next_fp"))
-    both = near.where("next is not null").select("doc_id", "text", "fp", "next", "next_fp").unionByName(last)
+    # Only texts are shuffled, once; fingerprints are made behind the exchange, which the window and the join with
+    # the next ranges' heads both use.
+    near = ranged.repartition("bucket").withColumn("fp", fingerprint(F.col("text"), k, words))
+    near = near.select("bucket", "doc_id", "text", "fp", F.lead("text").over(w).alias("follows"), F.lead("fp").over(w).alias("follows_fp"))
+    beyond = beyond.select("bucket", "head", fingerprint(F.col("head"), k, words).alias("head_fp"))
+    both = near.join(beyond, "bucket").select("doc_id", "text", "fp", F.coalesce("follows", "head").alias("next"), F.coalesce("follows_fp", "head_fp").alias("next_fp"))
     n = F.char_length("text")
     third = F.floor(n / 3).cast("int")
     edited = F.concat(F.expr("left(text, char_length(text) - cast(floor(char_length(text) / 3) as int))"), F.substring(F.col("next"), F.lit(1), third))
