@@ -15,7 +15,7 @@ import numpy as np
 
 RARE_SPACE = re.compile(r"[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 #: Words of a generation: the two last generations are kept, and a word that is met again stays.
-GENERATION = 50_000
+GENERATION = 200_000
 
 
 #: Letters of lower-cased Latin text; a run of them is one piece to the tokenizer, and so is what lies between.
@@ -102,15 +102,14 @@ class Words:
 
     def look_up(self, words: list[str]) -> list:
         """The made values of pieces, in order."""
-        found = list(map(self.young.get, words))
-        if None in found:
-            missing = dict.fromkeys([w for w, v in zip(words, found, strict=True) if v is None])
+        missing = [w for w in dict.fromkeys(words) if w not in self.young]
+        if missing:
             known = {w: v for w in missing if (v := self.old.get(w)) is not None}
             known.update(self._fresh([w for w in missing if w not in known]))
-            found = [known[w] if v is None else v for w, v in zip(words, found, strict=True)]
             self.young.update(known)
-            if len(self.young) > GENERATION:
-                self.old, self.young = self.young, {}
+        found = list(map(self.young.__getitem__, words))
+        if len(self.young) > GENERATION:
+            self.old, self.young = self.young, {}
         return found
 
 
