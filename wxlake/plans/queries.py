@@ -54,7 +54,8 @@ def lead_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = F.timestamp_seconds(F.unix_seconds(F.max("ts")) - 3600)
     place = lambda c: (F.first(c) * 10 + 35) / 1000
     points = facts.groupBy(F.col("user_id").alias("event")).agg(last.alias("event_time"), place("lat").alias("lat"), (-place("lon")).alias("lon"))
-    rows = reports.lead_times(reports.records(render.texts(facts), AT), points)
+    records = reports.records(render.texts(facts), AT).drop("bulletin").persist()  # used by the flags and by the join
+    rows = reports.lead_times(records, points)
     times_of = [text(F.col(c)).alias(c) for c in ("first_valid_warning_lead_start", "first_valid_warning_interval_start", "first_valid_warning_interval_end")]
     return rows.select("event", "warning_records", "point_warning_records", "event_warning_records", "point_warning_interval_count", "point_warning_duration_seconds", "first_valid_warning_record_key", *times_of, "lead_time_seconds", "missed_event", "false_alarm_interval_count", "false_alarm_duration_seconds", F.array_join("quality_flags", ",").alias("quality_flags"))
 
@@ -109,7 +110,7 @@ def scan_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bare files and framed streams of the same messages, scanned together; a stream with a bad frame fails."""
     bulletins = render.messages(spark, sf_dir)
     bare = bulletins.select("path", F.encode("raw", "UTF-8").alias("content"))
-    inputs = bare.unionByName(render.streams(bulletins).select("path", "content")).withColumn("hint", files.hint_of(F.col("path")))
+    inputs = bare.unionByName(render.streams(bulletins).select("path", "content")).withColumn("hint", files.hint_of(F.col("path"))).persist()  # read once for each kind of input
     return reports.scan_counts(files.inspected(files.messages(inputs)))
 
 
