@@ -56,8 +56,8 @@ def paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
     nodes: conv_id, node (long, unique in its conversation), parent, score.
     """
     given = nodes.select("conv_id", "node", "parent", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
-    known = given.select("conv_id", F.col("node").alias("parent")).distinct()
-    rooted = given.join(known.withColumn("there", F.lit(True)), (given.conv_id.eqNullSafe(known.conv_id)) & (given.parent == known.parent), "left").select(given.conv_id, "node", F.when(F.col("there"), given.parent).alias("up"), "score")
+    known = given.select(F.col("conv_id").alias("c"), F.col("node").alias("x")).distinct()
+    rooted = given.join(known, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("parent") == F.col("x")), "left").select("conv_id", "node", F.col("x").alias("up"), "score")
     leaves = given.join(given.select(F.col("conv_id").alias("c"), F.col("parent").alias("p")).where("p is not null").distinct(), (F.col("conv_id").eqNullSafe(F.col("c"))) & (F.col("node") == F.col("p")), "left_anti").select("conv_id", F.col("node").alias("leaf"))
     # jump: the ancestor 2**i above, how many nodes and what score lie from the node to below that ancestor.
     jump = common.settle(rooted.select("conv_id", "node", "up", F.lit(1).cast("long").alias("n"), "score"))
@@ -68,9 +68,9 @@ def paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
         both = jump.join(far, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("up") == F.col("x")), "left")
         jump = common.settle(both.select("conv_id", "node", F.col("up2").alias("up"), (F.col("n") + F.coalesce("n2", F.lit(0))).alias("n"), (F.col("score") + F.coalesce("score2", F.lit(0.0))).alias("score")))
         steps.append(jump)
-    whole = jump.where("up is null").select("conv_id", F.col("node").alias("leaf"), "n", F.col("score").alias("path_score"))
+    whole = jump.where("up is null").select(F.col("conv_id").alias("c"), F.col("node").alias("x"), "n", F.col("score").alias("path_score"))
     best = Window.partitionBy("conv_id").orderBy(F.col("path_score").desc(), "leaf")
-    chosen = leaves.join(whole, leaves.conv_id.eqNullSafe(whole.conv_id) & (leaves.leaf == whole.leaf)).select(leaves.conv_id, leaves.leaf, "n", "path_score")
+    chosen = leaves.join(whole, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("leaf") == F.col("x"))).select("conv_id", "leaf", "n", "path_score")
     chosen = common.settle(chosen.withColumn("branch", F.row_number().over(best)).where(F.col("branch") <= branches))
     front = chosen.select("conv_id", "branch", "path_score", F.col("leaf").alias("node"), (F.col("n") - 1).alias("depth"))
     for i, step in reversed(list(enumerate(steps))):
