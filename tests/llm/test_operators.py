@@ -221,6 +221,20 @@ def test_personal_data_equals_the_patterns(spark):
     assert all(x.n_chars == (None if x.text is None else len(x.text)) for x in masked.values())
 
 
+def test_cards_inside_longer_runs_are_masked(spark):
+    card, spaced = "4465758382889437", "4465 7583 8288 9437"
+    runs = [f"{card} {card}", f"{card}-{card} {card}", f"+1 212-555-0123 {card}", f"12 {card}", f"{spaced} {spaced}", f"7 {spaced}", "7536784127813050 4111111111111111"]
+    texts = [f"paid with {r} today" for r in runs] + [f"paid with {card} today"] * 20 + [f"table {i} 1234567890123456 {i} 98765" for i in range(20)]
+    docs = docs_of(spark, texts)
+    out = {x.doc_id: x.text for x in pii.mask(docs, pii.fit(pii.candidates(docs))).collect()}
+    for i, r in enumerate(runs):
+        assert "<CARD>" in out[i] and not re.search("[0-9]{4}", re.sub("[ -]", "", out[i])), (r, out[i])
+    assert out[2] == "paid with <PHONE> <CARD> today" and all("1234567890123456" in out[i] for i in range(27 + 1, 47))
+    # Linear in the run, however the digits are grouped.
+    for long in ("1 " * 20_000, "1234-" * 20_000, "9" * 5_000, f"{card} " * 5_000):
+        assert len(pii.find(long)[1]) <= 7 * (long.count(" ") + long.count("-") + 1)
+
+
 def test_em_recovers_reliabilities():
     r = np.random.default_rng(4)
     truth = r.random(20_000) < 0.3

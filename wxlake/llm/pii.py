@@ -1,8 +1,8 @@
 """Personal data by weak supervision: emails, IP addresses, payment cards and phone numbers.
 
 One pass over the whole texts finds base spans (strict patterns and checks, always kept) and wider
-candidates, and lets four labelers vote on each: the strict pattern, a value check (ranges, check digit,
-digit count), a gazetteer (top-level domains, issuer and area prefixes) and the context (cue words before
+candidates (also inside runs of digits that fail as a whole), and lets four labelers vote on each: the
+strict pattern, a value check (ranges, check digit, digit count), a gazetteer (top-level domains, issuer and area prefixes) and the context (cue words before
 the span, boundaries). A labeler votes yes (1), no (0) or abstains (-). Spark counts the vote patterns;
 expectation-maximisation estimates each labeler's reliability for both classes from the counts, and its
 posteriors train a logistic span classifier over votes and shape. Wider candidates that the classifier
@@ -43,6 +43,9 @@ _SPELLED = re.compile(r"(?<![\w.])[A-Za-z0-9._-]{1,64}\x20?[\[(]at[\])]\x20?[A-Z
 _INTERNATIONAL = re.compile(r"\+[0-9]{1,3}[\x20.-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[\x20.-][0-9]{2,4}){2,3}(?![0-9])")
 _NATIONAL = re.compile(r"(?<![0-9+.-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9])")
 _DIGIT = re.compile(r"[0-9]")
+_GROUP = re.compile(r"[0-9]+")
+# The usual groups of a card number: none, fours, or 4-6-4 and 4-6-5.
+_PRINTED = re.compile(r"[0-9]{13,19}|[0-9]{4}(?:[\x20-][0-9]{4}){2,3}(?:[\x20-][0-9]{1,3})?|[0-9]{4}[\x20-][0-9]{6}[\x20-][0-9]{4,5}")
 
 # Fixed values of the gazetteers.
 TOP_LEVEL = frozenset("com net org edu gov mil int info biz io co uk de fr es it nl eu ch at be pl ru cn jp kr in br au ca us me dev app example test".split())
@@ -94,6 +97,19 @@ def _good_card(s: str) -> bool:
     return 13 <= len(d) <= 19 and luhn(d)
 
 
+def _series(at: int, run: str) -> Iterator[tuple[int, int]]:
+    """Series of whole digit groups of 13 to 19 digits, at most seven from each group."""
+    groups = [m.span() for m in _GROUP.finditer(run)]
+    for i, (start, _) in enumerate(groups):
+        n = 0
+        for a, end in groups[i : i + 19]:
+            n += end - a
+            if n > 19:
+                break
+            if n >= 13:
+                yield at + start, at + end
+
+
 def _good_phone(s: str) -> bool:
     return 9 <= len(_digits(s)) <= 15
 
@@ -113,7 +129,10 @@ def find(text: str) -> tuple[dict[str, list[tuple[int, int]]], list[tuple[str, i
                     base[kind].append(m.span())
                 elif kind == "phone":  # it may have run into other numbers
                     wide += [("phone", m.start() + a.start(), m.start() + a.end()) for a in _INTERNATIONAL.finditer(m[0])]
-                elif kind != "card" or 12 <= len(_digits(m[0])) <= 19:
+                elif kind == "card":  # so may a card
+                    whole = [m.span()] if len(_digits(m[0])) == 12 else []
+                    wide += [("card", *s) for s in (*whole, *_series(m.start(), m[0]))]
+                else:
                     wide.append((kind, *m.span()))
         wide += [("phone", *m.span()) for m in _NATIONAL.finditer(text)]
     if "at" in text or "AT" in text or "At" in text:
@@ -150,7 +169,8 @@ def votes(text: str, kind: str, start: int, end: int, base: bool) -> tuple[str,
         context = "0"
     n = len(_digits(s))
     shape = f"{edge}{'0' if not n else 's' if n < 7 else 'm' if n < 13 else 'l'}{'x' if ' ' in s else '-' if '-' in s else '.'}"
-    return ("1" if base else "0") + value + _gazetteer(kind, s) + context, shape
+    strict = base or kind == "card" and bool(_PRINTED.fullmatch(s)) and _good_card(s)  # inside a longer run
+    return ("1" if strict else "0") + value + _gazetteer(kind, s) + context, shape
 
 
 def spans_of(text: str | None) -> list[tuple[str, int, int, bool, str, str]]:
