@@ -323,6 +323,39 @@ def test_bin_completion_beats_best_fit():
     assert sum(r for r, _ in bins) == 3 + 2 and sum(r * sum(f) for r, f in bins) == 300 + 230 - 0
 
 
+def fewest_bins(items, size):
+    best = [len(items)]
+
+    def put(i, rooms):
+        if len(rooms) >= best[0]:
+            return
+        if i == len(items):
+            best[0] = len(rooms)
+            return
+        for room in {r for r in rooms if r >= items[i]}:
+            at = rooms.index(room)
+            put(i + 1, [*rooms[:at], room - items[i], *rooms[at + 1 :]])
+        put(i + 1, [*rooms, size - items[i]])
+
+    put(0, [])
+    return best[0]
+
+
+def test_plans_are_exact_over_all_sequences():
+    assert sum(r for r, _ in packing.plan({11: 1, 10: 1, 7: 3, 6: 1, 5: 1, 4: 1, 3: 1}, 20)) == 3  # the fullest first sequence needs 4
+    r = random.Random(5)
+    for _ in range(400):
+        size = r.choice([10, 20, 50])
+        items = sorted((r.randrange(max(1, size // 6), r.choice([size // 2, size]) + 1) for _ in range(r.randrange(1, 11))), reverse=True)
+        bins = packing.plan({n: items.count(n) for n in items}, size)
+        assert sorted((n for times, f in bins for n in f * times), reverse=True) == items and all(sum(f) <= size for _, f in bins)
+        assert sum(times for times, _ in bins) == fewest_bins(items, size), (size, items)
+    r = np.random.default_rng(2)
+    many = {int(n): int(c) for n, c in zip(range(1, 257), r.integers(0, 10**6, 256), strict=True)}
+    tokens = sum(n * c for n, c in many.items())
+    assert sum(times for times, _ in packing.plan(many, 256, steps=300)) <= 1.01 * tokens / 256
+
+
 # --- chat
 
 

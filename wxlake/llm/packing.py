@@ -1,13 +1,14 @@
 """Packing of token sequences by bin completion.
 
 Pieces have at most `size` tokens, so their lengths are a histogram of at most `size` entries, however
-many documents there are. Bin completion runs on the histogram: around the largest open length, a
-depth-first branch and bound enumerates fillings of the remaining space by undominated sets (no set is
-tried whose place a longer available length could take without overflowing), cuts branches whose least
-possible waste reaches the incumbent's, and starts with best-fit as incumbent. The best bin is repeated
-while its lengths last. Spark then deals the pieces to the bins: pieces of one length are numbered in
-hash buckets (a length that a third of all pieces have is spread over all buckets), and a number's place
-follows from the plan by binary search.
+many documents there are. Bin completion runs on the histogram: best fit over all pieces is the incumbent;
+around the largest open length, a depth-first branch and bound takes the undominated fillings of the rest
+(none that a longer open length could improve) from the fullest on, each as often as it goes and then less
+often, and comes back to the others. It cuts what cannot save a sequence: the waste is bounded by the
+incumbent's size, and the open pieces by a lower bound. The search ends at the lower bound, when it is
+through, or after a budget of steps; the best packing so far is the result. Spark then deals the pieces to
+the bins: pieces of one length are numbered in hash buckets (a length that a third of all pieces have is
+spread over all buckets), and a number's place follows from the plan by binary search.
 
 Plan: one pass tokenises the texts (each worker keeps the tokens of frequent words), the pieces are written once,
 counted, planned and numbered. Defined cases: a null or empty text is one piece that holds the end token;
@@ -17,6 +18,7 @@ repeated rows and null ids are packed as they are; extra columns are ignored.
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -53,72 +55,165 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = 2048) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).transform(common.mapped, run, f"doc_id {kind}, {PIECES}")
 
 
-def _best_fit(have: np.ndarray, room: int) -> list[int]:
-    """Fill the room with the longest lengths that fit, again and again."""
-    out, left = [], have.copy()
-    while room > 0:
-        fits = np.flatnonzero(left[: room + 1])
-        if not len(fits):
-            break
-        out.append(int(fits[-1]))
-        left[fits[-1]] -= 1
-        room -= out[-1]
-    return out
+def best_fit(histogram: np.ndarray, size: int) -> list[tuple[int, list[int]]]:
+    """Best fit over all pieces, longest first, as (repeats, lengths); bins with equal contents are one group."""
+    rooms: dict[int, list[tuple[int, list[int]]]] = {}
+    keys: list[int] = []  # rooms with groups, ascending
+
+    def add(room: int, count: int, filling: list[int]) -> None:
+        if count:
+            if not rooms.setdefault(room, []):
+                insort(keys, room)
+            rooms[room].append((count, filling))
+
+    for n in map(int, np.flatnonzero(histogram)[::-1]):
+        count = int(histogram[n])
+        while count:
+            at = bisect_left(keys, n)
+            if at < len(keys):
+                room = keys[at]
+                bins, filling = rooms[room].pop()
+                if not rooms[room]:
+                    keys.pop(at)
+            else:  # new sequences for all that is left
+                room, bins, filling = size, -(-count // (size // n)), []
+            each = room // n
+            full = min(bins, count // each)
+            rest = count - full * each if full < bins else 0
+            add(room - each * n, full, filling + [n] * each)
+            add(room - rest * n, int(rest > 0), filling + [n] * rest)
+            add(room, bins - full - (rest > 0), filling)
+            count -= full * each + rest
+    return [group for groups in rooms.values() for group in groups]
+
+
+def least_sequences(histogram: np.ndarray, size: int) -> int:
+    """A lower bound (Martello and Toth's L2): pieces of more than half a sequence cannot share one, and
+    those of at least k go only where k is left."""
+    n = np.arange(size + 1)
+    count, tokens = np.concatenate([[0], np.cumsum(histogram)]), np.concatenate([[0], np.cumsum(histogram * n)])
+    half = size // 2
+    k = np.arange(half + 1)  # [k, half] small, (half, size - k] middle, above large
+    large, middle = count[-1] - count[size - k + 1], count[size - k + 1] - count[half + 1]
+    free = middle * size - (tokens[size - k + 1] - tokens[half + 1])
+    small = tokens[half + 1] - tokens[k]
+    return int((large + middle + np.maximum(0, -(-(small - free) // size))).max())
 
 
-def complete(have: np.ndarray, room: int, nodes: int = 2000) -> list[int]:
-    """The filling of `room` with the least waste, by branch and bound; have[n] pieces have length n.
+def fillings(have: np.ndarray, room: int, most: int | None = None) -> Iterator[tuple[int, list[int]]]:
+    """(waste, lengths) of the fillings of `room`, least waste first, up to a waste of `most`.
 
-    The search ends at no waste or after `nodes` branches; the best filling so far is then the result.
+    reach[i] has a bit for each sum that lengths from the i-th on can make, so no branch ends in vain.
     """
-    best = _best_fit(have, room)
-    waste = room - sum(best)
-    lengths = np.flatnonzero(have)
-    if waste == 0 or not len(lengths):
-        return best
-    least, left, spent = int(lengths[0]), have.copy(), 0
-
-    def branch(room: int, longest: int, chosen: list[int]) -> None:
-        nonlocal best, waste, spent
-        spent += 1
-        if room < waste:
-            best, waste = chosen.copy(), room
-        if waste == 0 or spent > nodes or room < least:
-            return
-        if room <= longest and left[room]:  # fills the room, so it dominates all else
-            best, waste = [*chosen, room], 0
+    lengths = [int(n) for n in np.flatnonzero(have[: room + 1])[::-1]]
+    mask, reach = (1 << room + 1) - 1, [1]
+    for n in reversed(lengths):
+        sums, left, step = reach[-1], min(int(have[n]), room // n), 1
+        while left:
+            step = min(step, left)
+            sums |= sums << n * step & mask
+            left -= step
+            step *= 2
+        reach.append(sums)
+    reach.reverse()
+
+    def sets(i: int, total: int) -> Iterator[list[int]]:
+        if total == 0:
+            yield []
             return
-        options = np.flatnonzero(left[: min(room, longest) + 1])[::-1]
-        for n in map(int, options):
-            # Sets of lengths up to n fill at most all of what is left of them: a bound on the waste.
-            if waste == 0 or spent > nodes or room - min(room, n * (room // least)) >= waste:
-                return
-            left[n] -= 1
-            chosen.append(n)
-            branch(room - n, n, chosen)
-            chosen.pop()
-            left[n] += 1
-
-    branch(room, room, [])
-    return best
+        while reach[i] >> total & 1 and i < len(lengths):
+            n = lengths[i]
+            for k in range(min(int(have[n]), total // n), 0, -1):
+                if reach[i + 1] >> total - k * n & 1:
+                    for rest in sets(i + 1, total - k * n):
+                        yield [n] * k + rest
+            i += 1
+
+    for waste in range(min(room, room if most is None else most) + 1):
+        if reach[0] >> room - waste & 1:
+            for chosen in sets(0, room - waste):
+                yield waste, chosen
+
 
+def dominated(have: np.ndarray, waste: int, chosen: list[int]) -> bool:
+    """Whether a longer open length fits in place of one or more of the chosen, or an equal one in place of several."""
+    one = several = 0  # sums of one or more and of two or more
+    for n in chosen:
+        several |= several << n | one << n
+        one |= one << n | 1 << n
+    places, width, goal = one << 1, 1, waste
+    while width < goal:  # every sum plus 1 to `waste`
+        step = min(width, goal - width)
+        places |= places << step
+        width += step
+    places = several | (places if waste else 0)
+    kinds, used = np.unique(np.array(chosen, np.int64), return_counts=True)
+    have[kinds] -= used
+    rest = np.flatnonzero(have)
+    have[kinds] += used
+    return any(places >> n & 1 or n <= waste for n in map(int, rest))
 
-def plan(histogram: dict[int, int], size: int = 2048) -> list[tuple[int, list[int]]]:
-    """Bins as (repeats, lengths), until no piece is left."""
+
+def complete(have: np.ndarray, room: int) -> list[int]:
+    """The filling of `room` with the least waste; have[n] pieces have length n."""
+    return next(fillings(have, room))[1]
+
+
+def plan(histogram: dict[int, int], size: int = 2048, steps: int = 5_000) -> list[tuple[int, list[int]]]:
+    """Bins as (repeats, lengths), until no piece is left.
+
+    Exact unless `steps` fillings were looked at before the search was through; the best packing so far is then the result.
+    """
     have = np.zeros(size + 1, np.int64)
     for n, count in histogram.items():
         have[n] = count
-    out = []
-    while len(open_ := np.flatnonzero(have)):
-        longest = int(open_[-1])
-        have[longest] -= 1
-        filling = [longest, *complete(have, size - longest)]
-        have[longest] += 1
-        kinds, each = np.unique(filling, return_counts=True)
-        repeats = int((have[kinds] // each).min())
-        have[kinds] -= repeats * each
-        out.append((repeats, filling))
-    return out
+    best = best_fit(have, size)
+    used, least = sum(r for r, _ in best), least_sequences(have, size)
+    tokens = int((have * np.arange(size + 1)).sum())
+
+    def options(before: tuple, waste: int) -> Iterator[tuple[int, int, list[int], tuple]]:
+        """(repeats, waste, lengths, place in the order) around the longest open length, fullest and most often first.
+
+        Fillings of one longest length are taken in order, so that none of their permutations is tried.
+        """
+        longest = int(np.flatnonzero(have)[-1])
+        open_ = have.copy()
+        open_[longest] -= 1
+        # A better packing has at least one sequence less, so its waste is bounded.
+        for lost, rest in fillings(open_, size - longest, (used - 1) * size - tokens - waste):
+            place = (-longest, lost, [-n for n in rest])
+            if place <= before or dominated(open_, lost, rest):
+                yield 0, lost, rest, place
+                continue
+            filling = [longest, *rest]
+            kinds, each = np.unique(filling, return_counts=True)
+            for repeats in range(int((have[kinds] // each).min()), 0, -1):
+                yield repeats, lost * repeats, filling, place
+
+    path: list[tuple[int, int, list[int]]] = []
+    stack = [options((-size - 1,), 0)]
+    while stack and steps and used > least:
+        steps -= 1
+        option = next(stack[-1], None)
+        if option is None:
+            stack.pop()
+            if path:
+                repeats, _, filling = path.pop()
+                np.add.at(have, filling, repeats)
+            continue
+        repeats, lost, filling, place = option
+        waste, sequences = lost + sum(p[1] for p in path), repeats + sum(p[0] for p in path)
+        if not repeats or waste > (used - 1) * size - tokens:
+            continue
+        np.subtract.at(have, filling, repeats)
+        if not have.any():
+            best, used = [(r, f) for r, _, f in path] + [(repeats, filling)], sequences
+        elif sequences + least_sequences(have, size) < used:
+            path.append((repeats, lost, filling))
+            stack.append(options(place, waste))
+            continue
+        np.add.at(have, filling, repeats)
+    return best
 
 
 def places(bins: list[tuple[int, list[int]]]) -> dict[int, tuple[np.ndarray, ...]]:
