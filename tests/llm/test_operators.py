@@ -134,6 +134,18 @@ def test_language(spark):
     assert {r.lang_pred for r in langid.identify(docs, None).collect()} == {"und"}
 
 
+def test_texts_in_no_learnt_language_go(spark):
+    import corpus_pipeline
+
+    en, de = prose(40, 1), [t.replace("w", "ü").replace("th", "sch") + " über nicht" for t in prose(40, 2)]
+    r = random.Random(4)
+    odd = ["това е текст на български език за времето и реките", "日本語の文章です。今日は天気がいいですね", "".join(r.choice("bcdfghjklmnpqrstvwxyzäöü ") for _ in range(300))]
+    rows = [(i, t, "en" if i < 40 else "de") for i, t in enumerate(en + de)] + [(80, "the wind", "en"), (81, "12 34", None)]
+    held = [i for i in range(100, 200) if zlib.crc32(str(i).encode()) % 5 == 0]  # the odd texts are not learnt from
+    docs = spark.createDataFrame(rows + [(held[i], t, None) for i, t in enumerate(odd)], "doc_id long, text string, lang string")
+    assert sorted(x.doc_id for x in corpus_pipeline.language(spark, docs, "").collect()) == list(range(81))
+
+
 def test_code_lengths_equal_a_plain_context_tree():
     texts = {"a": ["abracadabra", "abba"], "b": ["banana", "xyzzy"]}
     rows = []

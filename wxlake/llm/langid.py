@@ -13,13 +13,15 @@ seen fewer than `least` times are left out of the trees.
 
 Result: lang_pred is the language of the shortest code (ties: the first by name), score its posterior
 under equal priors. `und` with score 0 for texts that are null or have no letter, and if nothing was
-learnt. Text before the first byte counts as an unknown byte. Extra columns of the input are ignored.
+learnt. The posterior is relative to the learnt languages; limits on the absolute code length (2.5 times the
+bits a byte that 99 % of the language's training documents stay below) tell texts in none of them.
+Text before the first byte counts as an unknown byte. Extra columns of the input are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -29,17 +31,21 @@ from pyspark.sql import functions as F
 from . import common
 
 UNKNOWN = "und"
+#: Bits that a text may exceed its limit by, so that a number or a key does not reject a short text.
+SLACK_BITS = 512
 
 
 @dataclass
 class Model:
     """langs: names; symbol: byte -> symbol (0: unknown byte or start of text); node: last three symbols
-    -> longest known context; bits: (context * symbols + symbol, language) -> code length."""
+    -> longest known context; bits: (context * symbols + symbol, language) -> code length; limits: bits a
+    byte that a text of each language has at most, if they were learnt."""
 
     langs: list[str]
     symbol: np.ndarray
     node: np.ndarray
     bits: np.ndarray
+    limits: np.ndarray | None = None
 
     def lengths(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Code length in bits of each text (rows) under each language (columns)."""
@@ -87,8 +93,8 @@ def _grams(order: int):
     return run
 
 
-def fit(labelled: DataFrame, train_docs: int = 2000, order: int = 3, least: int = 2) -> Model | None:
-    """Learn from the columns doc_id, text and lang; None if no row has a language and a text."""
+def fit(labelled: DataFrame, train_docs: int = 2000, order: int = 3, least: int = 2, limits: bool = False) -> Model | None:
+    """Learn from the columns doc_id, text and lang, on request with limits; None if no row has a language and a text."""
     if order != 3:
         raise ValueError("the flat table holds contexts of three bytes")
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.col("lang").cast("string").alias("lang"), "text")
@@ -100,7 +106,26 @@ def fit(labelled: DataFrame, train_docs: int = 2000, order: int = 3, least: int
         one = (F.col("lang") == lang) & common.sample_below("doc_id", train_docs / n)
         chosen = one if chosen is None else chosen | one
     counts = rows.where(chosen).select("lang", "text").transform(common.mapped, _grams(order), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
-    return build(sorted(sizes), counts["lang"].to_numpy(), counts["gram"].to_numpy(np.int64), counts["n"].to_numpy(np.int64), least)
+    model = build(sorted(sizes), counts["lang"].to_numpy(), counts["gram"].to_numpy(np.int64), counts["n"].to_numpy(np.int64), least)
+    return replace(model, limits=_limits(rows.where(chosen), model)) if limits else model
+
+
+def _limits(rows: DataFrame, model: Model, factor: float = 2.5) -> np.ndarray:
+    """By language, the limit from the bits a byte of its training documents."""
+    held = rows.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = held.value
+        for batch in batches:
+            raw, offsets = common.text_bytes(batch.column(1))
+            own = np.array([m.langs.index(x) for x in batch.column(0).to_pylist()], np.int64)
+            size = np.diff(offsets)
+            rate = m.lengths(raw, offsets)[np.arange(len(own)), own] / np.maximum(size, 1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rate)], names=["lang", "rate"]).filter(pa.array(size > 0))
+
+    rates = rows.select("lang", F.col("text").cast("string").alias("text")).transform(common.mapped, run, "lang string, rate double")
+    found = {r["lang"]: r["p"] for r in rates.groupBy("lang").agg(F.percentile_approx("rate", 0.99, 10_000).alias("p")).collect()}
+    return np.array([factor * found.get(x, np.inf) for x in model.langs])
 
 
 def build(langs: list[str], lang: np.ndarray, gram: np.ndarray, n: np.ndarray, least: int = 2) -> Model:
@@ -184,7 +209,8 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
 
 
 def known_language(docs: DataFrame, model: Model | None, least_score: float = 0.5) -> DataFrame:
-    """The documents, columns unchanged, whose language is known with a posterior of `least_score` or more."""
+    """The documents, columns unchanged, whose language is known with a posterior of `least_score` or more,
+    and a code length within the language's limit, if limits were learnt."""
     if model is None:
         return docs.limit(0)
     columns = docs.columns
@@ -200,6 +226,8 @@ def known_language(docs: DataFrame, model: Model | None, least_score: float = 0.
             lengths = m.lengths(raw, offsets)
             odds = np.exp2(np.maximum(lengths.min(1)[:, None] - lengths, -1000)).sum(1)
             good = np.array(batch.column(len(columns)).to_pylist(), bool) & (1 / odds >= least_score)
+            if m.limits is not None:
+                good &= lengths.min(1) <= m.limits[lengths.argmin(1)] * np.diff(offsets) + SLACK_BITS
             yield batch.select(range(len(columns))).filter(pa.array(good))
 
     return given.transform(common.mapped, run, kinds)
