@@ -44,6 +44,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def deleted(*tables: DataFrame) -> None:
+    """Remove tables from written() that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        for name in {file.rpartition("/")[0] for file in df.inputFiles()}:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(name)
+            folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """The name with underscores before it until no column has it."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
 def mapped(df: DataFrame, run: Callable, schema) -> DataFrame:
     """mapInArrow with smaller batches than the default, as texts can be long."""
     conf = df.sparkSession.conf
