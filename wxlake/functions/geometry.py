@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Lengths and areas up to this count as none.
+# Fixed value: lengths and areas up to this count as none.
 EPSILON = 1e-9
 
 
@@ -94,8 +94,26 @@ def area(polygon: Column) -> Column:
     return _let(ring(polygon), lambda r: F.when(r.isNotNull() & ~crosses_itself(r), F.abs(signed_area(r))))
 
 
+def with_area(points: Column) -> Column:
+    """The ring if it does not cross itself and has an area, else null: what holds_point takes."""
+    return _let(points, lambda r: F.when(r.isNotNull() & ~crosses_itself(r) & (F.abs(signed_area(r)) > EPSILON), r))
+
+
+def box(points: Column) -> Column:
+    """south, north, west and east of a ring, wider by what still counts as its border."""
+    gap = 1e-6
+    low = lambda k: F.array_min(F.transform(points, lambda p: p[k])) - gap
+    high = lambda k: F.array_max(F.transform(points, lambda p: p[k])) + gap
+    return F.struct(low("y").alias("south"), high("y").alias("north"), low("x").alias("west"), high("x").alias("east"))
+
+
 def contains(polygon: Column, lat: Column, lon: Column) -> Column:
     """Whether the polygon holds the point, its border included; null for no simple polygon with an area."""
+    return holds_point(with_area(ring(polygon)), lat, lon)
+
+
+def holds_point(valid: Column, lat: Column, lon: Column) -> Column:
+    """contains() for a ring from with_area(), whose tests need not be made for each point."""
 
     def hit(e: Column, p: Column) -> Column:
         # Each edge is seen from its end back to its start, so that equal edges round alike everywhere.
@@ -106,10 +124,10 @@ def contains(polygon: Column, lat: Column, lon: Column) -> Column:
     def decided(r: Column, p: Column) -> Column:
         border = F.exists(_edges(r), lambda e: (F.abs(_cross(e["a"], e["b"], p)) <= EPSILON) & _between(e["a"], p, e["b"]))
         odd = F.size(F.filter(_edges(r), lambda e: hit(e, p))) % 2 == 1
-        return F.when(r.isNotNull() & ~crosses_itself(r) & (F.abs(signed_area(r)) > EPSILON) & p["x"].isNotNull() & p["y"].isNotNull(), border | odd)
+        return F.when(r.isNotNull() & p["x"].isNotNull() & p["y"].isNotNull(), border | odd)
 
     point = F.struct(lon.cast("double").alias("x"), lat.cast("double").alias("y"))
-    return _let(F.struct(ring(polygon).alias("r"), point.alias("p")), lambda v: decided(v["r"], v["p"]))
+    return _let(F.struct(valid.alias("r"), point.alias("p")), lambda v: decided(v["r"], v["p"]))
 
 
 def _clipped(points: Column, e: Column, left: Column) -> Column:

@@ -11,10 +11,12 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from datetime import datetime
+from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import tags, wire
 from .vtec import H_VTEC, P_VTEC
@@ -150,14 +152,15 @@ def motion(lines: list[str]) -> dict | None:
     return None
 
 
-def _known(times: tuple[str, ...]) -> bool:
-    """Whether all times are unspecified or in the calendar."""
-    for t in times:
-        if t != "000000T0000Z":
-            try:
-                datetime.strptime("20" + t, "%Y%m%dT%H%MZ")
-            except ValueError:
-                return False
+@lru_cache(1 << 16)
+def _in_calendar(time: str) -> bool:
+    """Whether YYMMDDThhmmZ is unspecified or a time."""
+    if time == "000000T0000Z":
+        return True
+    try:
+        datetime(2000 + int(time[:2]), int(time[2:4]), int(time[4:6]), int(time[7:9]), int(time[9:11]))
+    except ValueError:
+        return False
     return True
 
 
@@ -169,7 +172,7 @@ def coded(lines: list[str]) -> tuple[list[dict], list[dict], list[str]]:
         while at < len(lines):
             line = lines[at].strip(_SPACE)
             m = pattern.match(line)
-            if m and _known(m.groups()[first : first + (3 if pattern is _H else 2)]):
+            if m and all(map(_in_calendar, m.groups()[first : first + (3 if pattern is _H else 2)])):
                 out.append(dict(zip(names, (line, *m.groups()), strict=True)))
             elif line:
                 break
@@ -225,11 +228,12 @@ def parse(raw: str | None) -> dict:
     return out
 
 
-@F.pandas_udf(BULLETIN)
-def parsed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+@F.arrow_udf(BULLETIN)
+def parsed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """parse() of a text column."""
+    kind = to_arrow_type(BULLETIN)
     for texts in batches:
-        yield pd.DataFrame([parse(t) for t in texts], columns=BULLETIN.names).astype({n: "Int32" for n in _INTS})
+        yield pa.array([parse(t) for t in texts.to_pylist()], kind)
 
 
 #: Filters on parsed columns would otherwise be pushed below the call and make it run again for each of them.

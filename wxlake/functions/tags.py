@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import re
+import struct
 
 from .codes import ACTIONS, TEXT_TAGS
 
@@ -14,9 +16,25 @@ TORNADO = ("OBSERVED", "RADAR INDICATED", "POSSIBLE")
 _THREATS = ("tstm_damage_threat", "tornado_damage_threat", "flash_flood_damage_threat")
 
 
+_CAPITALS = {c: c - 32 for c in range(ord("a"), ord("z") + 1)}
+
+
 def upper(text: str) -> str:
     """ASCII upper case."""
-    return "".join(chr(ord(c) - 32) if "a" <= c <= "z" else c for c in text) if not text.isupper() else text
+    return text.upper() if text.isascii() else text.translate(_CAPITALS)
+
+
+def _single(x: float) -> float:
+    return struct.unpack("f", struct.pack("f", x))[0]
+
+
+def hundredths(text: str) -> float | None:
+    """A number in single precision, rounded there to two places, halves away from zero; null if it is too large."""
+    try:
+        scaled = _single(_single(float(text)) * 100)
+    except OverflowError:
+        return None
+    return _single(math.copysign(math.floor(abs(scaled) + 0.5), scaled) / 100) if math.isfinite(scaled) else None
 
 
 def _number(line: str, prefix: str, unit: str, shape: re.Pattern) -> str | None:
@@ -37,7 +55,7 @@ def of_line(line: str) -> list[tuple[str, float | None, str | None]]:
     out += [("flash_flood_emergency", None, None)] if u.startswith("FLASH FLOOD EMERGENCY") else []
     hail = _number(u, "HAIL...", "IN", _FLOAT) or _number(u, "MAX HAIL SIZE...", "IN", _FLOAT)
     wind = _number(u, "WIND...", "MPH", _INT) or _number(u, "MAX WIND GUST...", "MPH", _INT)
-    out += [("hail_inches", float(hail), None)] if hail else []
+    out += [("hail_inches", hundredths(hail), None)] if hail else []
     out += [("wind_mph", float(wind), None)] if wind and int(wind) < 1 << 16 else []
     if "DAMAGE THREAT" in u:
         out += [("damage_threat", None, w) for w in ("CONSIDERABLE", "SIGNIFICANT", "DESTRUCTIVE", "CATASTROPHIC") if w in u]
@@ -57,7 +75,7 @@ def text_tag(line: str, number: int) -> dict | None:
     if unit:
         text, ended, _ = upper("".join(value.split())).partition(unit[0])
         text = text.lstrip("<>")
-        size = round(float(text), 2) if ended and _FLOAT.match(text) else None
+        size = hundredths(text) if ended and _FLOAT.match(text) else None
     return {"kind": known.lower().replace(" ", "_"), "raw_line": raw, "raw_name": name, "raw_value": value, "normalized_value": upper(" ".join(value.split())), "numeric_value": size, "unit": unit[1] if size is not None else None, "line_number": number}
 
 
@@ -84,7 +102,7 @@ def rolled_up(lines: list[str], phenomena: list[str]) -> tuple[dict, list[dict]]
         if kind == "tornado":
             out["tornado_tag"] = out["tornado_any"] = text
         elif kind == "hail_inches":
-            out["hail_inches"] = round(number, 2)
+            out["hail_inches"] = number
         elif kind == "wind_mph":
             out["wind_mph"] = int(number)
         elif kind == "damage_threat":

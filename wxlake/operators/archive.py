@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import codes, hashing
+from ..session import settled
 
 #: Days that pruning keeps by default, and the most that one request may look back.
 KEEP_DAYS, MOST_DAYS = 30, 92
@@ -44,7 +45,7 @@ def imported(known: DataFrame, archived: DataFrame | None = None) -> DataFrame:
     archived: folder, digest, bulletin of what is there already. Copies are found by one aggregate over texts and a
     join back; texts that share a digest but differ get the suffixes -1, -2 in order of their first message.
     """
-    rows = with_digest(known)
+    rows = settled(with_digest(known), "digests")  # read for the choice and for the join
     place = F.struct(F.split("path", "/").alias("p"), F.col("message_index").alias("m"))
     text = F.sha2("bulletin", 256)
     rows = rows.withColumns({"_text": text, "_place": place})
@@ -99,7 +100,7 @@ def fingerprinted(known: DataFrame) -> DataFrame:
 
 def first_of_each(rows: DataFrame, key: str = "semantic_fingerprint") -> DataFrame:
     """The first message of each fingerprint, by path and place."""
-    place = F.struct(F.split("path", "/"), F.col("message_index"))
+    rows, place = settled(rows, "keyed"), F.struct(F.split("path", "/"), F.col("message_index"))
     first = rows.groupBy(key).agg(F.min_by(F.struct("path", "message_index"), place).alias("_f"))
     return rows.join(first, key).where((F.col("path") == F.col("_f.path")) & (F.col("message_index") == F.col("_f.message_index"))).drop("_f")
 

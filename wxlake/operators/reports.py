@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry, geotext, hashing, times, vtec
+from ..session import settled
 from . import bulletins as b
 
 TERMINAL = ("CAN", "EXP")
@@ -114,7 +115,7 @@ def with_digests(records: DataFrame) -> DataFrame:
 
 def active_counts(messages: DataFrame, at: str) -> DataFrame:
     """Counters of active_at: name, family (of `families` only) and n."""
-    known = parsed(messages)
+    known = settled(parsed(messages), "parsed")
     good = F.col("error_kind").isNull()
     future = F.coalesce(b.issued(F.col("yygggg"), times.utc(at)) > times.utc(at), F.lit(False))
     totals = known.agg(F.count("*").alias("scanned"), F.count(F.when(good, 1)).alias("messages"), F.count(F.when(good & future, 1)).alias("future_messages"), F.count(F.when(~good, 1)).alias("failures"))
@@ -187,7 +188,7 @@ def with_status(rows: DataFrame, at: str | None) -> DataFrame:
     """Add lifecycle_status: of an event's records that are not in the future the last one tells, the others are superseded."""
     if at is None:
         return rows.withColumn("lifecycle_status", F.lit(None).cast("string"))
-    now = times.utc(at)
+    now, rows = times.utc(at), settled(rows, "records")
     future = F.coalesce(F.col("issued_at") > now, F.lit(False))
     last = rows.where(~future).groupBy("event_id").agg(F.max(order()).alias("_last"))
     own = (
@@ -216,32 +217,41 @@ def interval(prefix: str = "") -> tuple[Column, Column]:
 FLAGS = ("no-warning-records", "missing-warning-interval", "missing-warning-polygon", "invalid-warning-polygon", "no-point-warning-intervals", "event-outside-point-warning-intervals", "warning-issued-after-event", "missed-event", "false-alarm-intervals-present")
 
 
-def _cells(low: Column, high: Column) -> Column:
-    """Whole degrees from one coordinate to another."""
-    return F.sequence(F.floor(low).cast("int"), F.floor(high).cast("int"))
+#: Grids of cells with sides of 1, 2, 4 ... 256 degrees.
+LEVELS = range(9)
+
+
+def _cell(level: int | Column, y: Column, x: Column) -> Column:
+    side = F.pow(F.lit(2.0), F.lit(level) if isinstance(level, int) else level)
+    return F.struct((F.lit(level) if isinstance(level, int) else level).cast("int").alias("level"), F.floor(y / side).cast("int").alias("y"), F.floor(x / side).cast("int").alias("x"))
+
+
+def _cells(box: Column) -> Column:
+    """The cells, four at most, that a box touches on the finest grid whose cells are no smaller than the box."""
+    size = F.greatest(box["north"] - box["south"], box["east"] - box["west"], F.lit(1.0))
+    level = F.ceil(F.log2(size)).cast("int")
+    return F.array_distinct(F.array(*(_cell(level, box[y], box[x]) for y in ("south", "north") for x in ("west", "east"))))
 
 
 def lead_times(rows: DataFrame, events: DataFrame) -> DataFrame:
     """Lead-time metrics of point events (event, event_time, lat, lon) against timeline records.
 
-    Points meet polygons by an equi-join on cells of one degree, then the exact test decides; an event that no
-    warning covers keeps its row. Flags that tell of the records themselves hold for every event alike.
+    Rings and their validity are found once a record. Boxes lie on the grid that fits their size, so a wide polygon takes four
+    cells at most; points meet them by an equi-join on the cell of each grid, then the box, then the exact test decide.
+    An event that no warning covers keeps its row. Flags that tell of the records themselves hold for every event alike.
     """
     start, end = interval()
-    warns = rows.where(~F.col("action").isin(*TERMINAL)).withColumns({"start": start, "end": end, "area": geometry.area(F.col("polygon"))})
-    timed = F.col("start").isNotNull()
-    shaped = F.col("polygon").isNotNull()
-    valid = F.coalesce(F.col("area") > geometry.EPSILON, F.lit(False))
-    totals = rows.agg(F.count("*").alias("n"))
-    faults = warns.agg(F.max(~timed).alias("interval"), F.max(timed & ~shaped).alias("polygon"), F.max(timed & shaped & ~valid).alias("invalid"))
-    lats, lons = F.transform("polygon", lambda p: p["lat"]), F.transform("polygon", lambda p: p["lon"])
-    # The border counts as inside, and so does what lies beyond it by no more than EPSILON.
-    gap = 1e-6
-    cells = F.flatten(F.transform(_cells(F.array_min(lats) - gap, F.array_max(lats) + gap), lambda y: F.transform(_cells(F.array_min(lons) - gap, F.array_max(lons) + gap), lambda x: F.struct(y.alias("y"), x.alias("x")))))
-    placed = warns.where(timed & shaped).select("record_key", F.col("event_id").alias("warning_event_id"), "start", "end", F.coalesce("issued_at", "wrapper_issue", "start").alias("lead_start"), "polygon", F.explode(cells).alias("cell"))
+    warns = rows.withColumns({"start": start, "end": end, "ring": geometry.with_area(geometry.ring(F.col("polygon")))})
+    eligible, timed, shaped = ~F.col("action").isin(*TERMINAL), F.col("start").isNotNull(), F.col("polygon").isNotNull()
+    warns = settled(warns.select("record_key", "event_id", "start", "end", F.coalesce("issued_at", "wrapper_issue", "start").alias("lead_start"), eligible.alias("eligible"), timed.alias("timed"), shaped.alias("shaped"), "ring"), "warnings")
+    any_of = lambda c: F.coalesce(F.max(F.col("eligible") & c), F.lit(False))
+    told = warns.agg(F.struct(F.count("*").alias("n"), any_of(~F.col("timed")).alias("interval"), any_of(F.col("timed") & ~F.col("shaped")).alias("polygon"), any_of(F.col("timed") & F.col("shaped") & F.col("ring").isNull()).alias("invalid")).alias("told"))
+    placed = warns.where(F.col("eligible") & F.col("timed") & F.col("ring").isNotNull()).withColumn("box", geometry.box(F.col("ring")))
+    placed = placed.select("record_key", F.col("event_id").alias("warning_event_id"), "start", "end", "lead_start", "ring", "box", F.explode(_cells(F.col("box"))).alias("cell"))
     points = events.select("event", "event_time", F.col("lat").cast("float").cast("double").alias("lat"), F.col("lon").cast("float").cast("double").alias("lon"))
-    spot = F.struct(F.floor("lat").cast("int").alias("y"), F.floor("lon").cast("int").alias("x"))
-    hits = points.withColumn("cell", spot).join(placed, "cell").where(geometry.contains(F.col("polygon"), F.col("lat"), F.col("lon")))
+    spots = points.withColumn("cell", F.explode(F.array(*(_cell(level, F.col("lat"), F.col("lon")) for level in LEVELS))))
+    near = F.col("lat").between(F.col("box.south"), F.col("box.north")) & F.col("lon").between(F.col("box.west"), F.col("box.east"))
+    hits = spots.join(placed, "cell").where(near).where(geometry.holds_point(F.col("ring"), F.col("lat"), F.col("lon")))
     hits = hits.select("event", "event_time", "record_key", "warning_event_id", "start", "end", "lead_start")
     holds = (F.col("start") <= F.col("event_time")) & (F.col("event_time") < F.col("end"))
     before = F.col("lead_start") <= F.col("event_time")
@@ -261,10 +271,8 @@ def lead_times(rows: DataFrame, events: DataFrame) -> DataFrame:
         F.coalesce(F.sum(F.when(outside, times.seconds(F.col("start"), F.col("end")))), F.lit(0)).alias("false_alarm_duration_seconds"),
     )
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    out = points.join(by_event, "event", "left").join(spans, "event", "left")
-    out = out.withColumn("warning_records", totals.scalar())
-    for name in ("interval", "polygon", "invalid"):
-        out = out.withColumn(f"_{name}", F.coalesce(faults.select(name).scalar(), F.lit(False)))
+    out = points.join(by_event, "event", "left").join(spans, "event", "left").withColumn("_told", told.scalar())
+    out = out.withColumns({"warning_records": F.col("_told.n"), **{f"_{c}": F.col(f"_told.{c}") for c in ("interval", "polygon", "invalid")}})
     none, covered = F.col("warning_records") == 0, F.coalesce("point_warning_interval_count", F.lit(0)) > 0
     missed = F.col("first").isNull()
     hit = [none, F.col("_interval"), F.col("_polygon"), F.col("_invalid"), ~covered & ~none, covered & missed, F.coalesce("late", F.lit(False)), missed, F.coalesce("false_alarm_interval_count", F.lit(0)) > 0]

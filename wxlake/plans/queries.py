@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import geotext, times
 from ..operators import archive, reports
 from ..operators import bulletins as b
+from ..session import settled
 from ..sources import files
 from . import render
 
@@ -54,8 +55,7 @@ def lead_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = F.timestamp_seconds(F.unix_seconds(F.max("ts")) - 3600)
     place = lambda c: (F.first(c) * 10 + 35) / 1000
     points = facts.groupBy(F.col("user_id").alias("event")).agg(last.alias("event_time"), place("lat").alias("lat"), (-place("lon")).alias("lon"))
-    records = reports.records(render.texts(facts), AT).drop("bulletin").persist()  # used by the flags and by the join
-    rows = reports.lead_times(records, points)
+    rows = reports.lead_times(reports.records(render.messages(spark, sf_dir), AT), points)
     times_of = [text(F.col(c)).alias(c) for c in ("first_valid_warning_lead_start", "first_valid_warning_interval_start", "first_valid_warning_interval_end")]
     return rows.select("event", "warning_records", "point_warning_records", "event_warning_records", "point_warning_interval_count", "point_warning_duration_seconds", "first_valid_warning_record_key", *times_of, "lead_time_seconds", "missed_event", "false_alarm_interval_count", "false_alarm_duration_seconds", F.array_join("quality_flags", ",").alias("quality_flags"))
 
@@ -110,15 +110,14 @@ def scan_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bare files and framed streams of the same messages, scanned together; a stream with a bad frame fails."""
     bulletins = render.messages(spark, sf_dir)
     bare = bulletins.select("path", F.encode("raw", "UTF-8").alias("content"))
-    inputs = bare.unionByName(render.streams(bulletins).select("path", "content")).withColumn("hint", files.hint_of(F.col("path"))).persist()  # read once for each kind of input
+    inputs = bare.unionByName(render.streams(bulletins).select("path", "content")).withColumn("hint", files.hint_of(F.col("path")))
     return reports.scan_counts(files.inspected(files.messages(inputs)))
 
 
 def import_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages imported with a copy of each that differs in nothing but its path."""
-    known = render.messages(spark, sf_dir)
-    both = known.unionByName(known.withColumn("path", F.concat(F.lit("zz/"), "path")))
-    done = archive.imported(reports.parsed(both))
+    known = settled(_known(spark, sf_dir), "parsed")
+    done = archive.imported(known.unionByName(known.withColumn("path", F.concat(F.lit("zz/"), "path"))))
     return done.select("path", "action", F.substring_index("relative_path", "/", 4).alias("folder"))
 
 

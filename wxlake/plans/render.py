@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 PHENOMENA = {"error": "TO", "click": "SV", "purchase": "FF", "view": "FL", "signup": "MA"}
 IDENTIFIERS = {"error": "TOR", "click": "SVR", "purchase": "FFW", "view": "FLS", "signup": "MWW"}
 STATES = ("IL", "TX", "KS", "OK")
@@ -95,7 +97,8 @@ def texts(facts: DataFrame) -> DataFrame:
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return texts(facts(spark, sf_dir))
+    """The messages of all events, dealt over all tasks, as the lives of the warnings come out of a shuffle."""
+    return spread(texts(facts(spark, sf_dir)))
 
 
 def streams(messages: DataFrame) -> DataFrame:

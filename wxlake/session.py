@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -26,10 +27,40 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session gets one of its own where
+    none is named, as executors of a cluster could not read it."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    held = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if held.isEmpty():
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="wxlake-"))
+        held = spark.sparkContext._jsc.sc().getCheckpointDir()
+    return str(held.get()).rstrip("/")
+
+
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a Parquet table in the shared folder: what is read several times is made once, and an executor that is
+    lost costs no more than its own part."""
+    path = f"{shared_dir(df.sparkSession)}/wxlake/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows dealt evenly over all cores, for work whose cost does not follow from bytes. Behind a shuffle, adaptive
+    execution would hand a few megabytes of texts to a single task, and parse them there."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(4 * cores)
+
+
 def local(cores: str = "*", **conf: str) -> SparkSession:
     """A session for tests and benchmarks on this machine."""
     builder = SparkSession.builder.master(f"local[{cores}]").appName("wxlake")
-    settings = {"spark.sql.shuffle.partitions": "8", "spark.sql.session.timeZone": "UTC", "spark.ui.enabled": "false", "spark.driver.memory": "8g", "spark.sql.adaptive.enabled": "true"} | conf
+    settings = {"spark.sql.shuffle.partitions": "8", "spark.sql.session.timeZone": "UTC", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "8g", "spark.sql.adaptive.enabled": "true"} | conf
     for k, v in settings.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()

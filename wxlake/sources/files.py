@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import settled, spread
 from .stanza import stanza
 
 #: Frames longer than this are an error.
@@ -129,6 +130,7 @@ def messages(files: DataFrame) -> DataFrame:
     error = F.when(over, "Oversized").when(F.size("f.chunks") == 0, "no framed messages detected in stream")
     framed = framed.select("path", "input_kind", "transport", error.alias("input_error"), F.posexplode_outer(F.when(error.isNull(), F.col("f.chunks"))).alias("at", "c"))
     framed = framed.select("path", "input_kind", "transport", F.coalesce(F.col("at") + 1, F.lit(1)).alias("message_index"), F.col("c.start").alias("byte_start"), F.col("c.end").alias("byte_end"), text_of(F.col("c.bytes")).alias("raw"), none("string").alias("wrapper_id"), none("timestamp").alias("wrapper_issue"), none(wrapper).alias("wrapper"), "input_error")
+    framed = spread(framed)  # a long stream's frames are in one task until here
     xml = known.where(F.col("input_kind") == "xml_stanza").withColumn("s", stanza(text_of(F.col("content"))))
     p = F.col("s.payload")
     meta = F.struct("s.type", "s.sender", "s.recipient", "s.summary", "s.xhtml_summary", p["cccc"].alias("cccc"), p["ttaaii"].alias("ttaaii"), p["awips"].alias("awips"), p["process_id"].alias("process_id"), p["sequence"].cast("decimal(20,0)").alias("sequence"))
@@ -152,6 +154,7 @@ def inspected(rows: DataFrame, per_frame: bool = False) -> DataFrame:
     out = out.withColumns({"error_kind": F.coalesce("_found.kind", "error_kind"), "error_field": F.coalesce("_found.field", "error_field")}).drop("_found")
     if per_frame:
         return out
+    out = settled(out, "inspected")  # read for the bad frames and for the join
     # Files with a bad frame are few; the semi-join's side is small, and the plan picks its kind by size.
     bad = out.where((F.col("input_kind") == "framed_stream") & F.col("error_kind").isNotNull()).select("path").distinct().withColumn("_bad", F.lit(True))
     out = out.join(bad, "path", "left")
