@@ -48,10 +48,11 @@ def path_of(url: str) -> Column:
 
 @dataclass
 class Index:
-    """Names of the distributed files, and the path lengths (code points) that rules have."""
+    """Names of the distributed files, and the shapes that rules have: label count -> host length -> path lengths (in
+    code points). Only these are probed, so a URL costs no more than the rules' shapes, however long it is."""
 
     name: str
-    lengths: list[int]
+    shapes: dict[int, dict[int, list[int]]]
 
     def arrays(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if self.name not in _mapped:
@@ -60,21 +61,23 @@ class Index:
         return _mapped[self.name]
 
 
-def entries(rules: list[tuple[str, str | None, str]]) -> tuple[np.ndarray, np.ndarray, bytes, list[int]]:
-    """Sorted keys, offsets of their entries, the entries, and the path lengths of (host, path, verdict) rules."""
+def entries(rules: list[tuple[str, str | None, str]]) -> tuple[np.ndarray, np.ndarray, bytes, dict[int, dict[int, list[int]]]]:
+    """Sorted keys, offsets of their entries, the entries, and the shapes of (host, path, verdict) rules."""
     best: dict[str, str] = {}
-    lengths = set()
+    shapes: dict[int, dict[int, list[int]]] = {}
     for host, path, verdict in rules:
         if not host:
             continue
         text = host.lower() + (path or "")
-        lengths.add(len(path or ""))
+        own = shapes.setdefault(host.count(".") + 1, {}).setdefault(len(host), [])
+        if len(path or "") not in own:
+            own.append(len(path or ""))
         if best.get(text) != "block":
             best[text] = verdict
     coded = sorted((xxhash.xxh64_intdigest(t.encode()), (("B" if v == "block" else "A") + t).encode()) for t, v in best.items())
     keys = np.array([k for k, _ in coded], "<u8")
     offsets = np.concatenate([[0], np.cumsum([len(e) for _, e in coded], dtype=np.int64)]).astype("<i8")
-    return keys, offsets, b"".join(e for _, e in coded), sorted(lengths)
+    return keys, offsets, b"".join(e for _, e in coded), shapes
 
 
 def build(rules: DataFrame, most: int = 1 << 30) -> Index:
@@ -84,23 +87,24 @@ def build(rules: DataFrame, most: int = 1 << 30) -> Index:
     if size > most:
         raise ValueError(f"the rules need about {size} bytes, more than {most}; use join_judge")
     rows = rules.where(F.col("host").isNotNull()).select("host", "path", "verdict").toArrow().to_pylist()
-    keys, offsets, data, lengths = entries([(r["host"], r["path"], r["verdict"]) for r in rows])
+    keys, offsets, data, shapes = entries([(r["host"], r["path"], r["verdict"]) for r in rows])
     name, folder = f"rules-{uuid.uuid4().hex}", os.path.realpath(tempfile.mkdtemp(prefix="wxlake-"))
     for part, content in (("keys", keys.tobytes()), ("offsets", offsets.tobytes()), ("entries", data)):
         with open(f"{folder}/{name}.{part}", "wb") as f:
             f.write(content)
         spark.sparkContext.addFile(f"{folder}/{name}.{part}")
-    return Index(name, lengths)
+    return Index(name, shapes)
 
 
-def probes(host: str, path: str, lengths: list[int]) -> list[str]:
+def probes(host: str, path: str, shapes: dict[int, dict[int, list[int]]]) -> list[str]:
     """Every rule text that could cover the URL, the longest first."""
-    if not host:
-        return []
-    labels, ends = host.split("."), []
-    for i in range(len(labels)):
-        ends.append(".".join(labels[i:]))
-    found = {end + path[:n] for end in ends for n in lengths if n <= len(path)}
+    found, at = set(), len(host) + 1
+    for labels in range(1, max(shapes, default=0) + 1 if host else 1):
+        if at <= 0:
+            break
+        at = max(0, host.rfind(".", 0, at - 1) + 1) if at > 1 else 0
+        end = host[at:]
+        found |= {end + path[:n] for n in shapes.get(labels, {}).get(len(end), ()) if n <= len(path)}
     return sorted(found, key=lambda t: (-len(t), t))
 
 
@@ -114,7 +118,7 @@ def judge(pages: DataFrame, index: Index) -> DataFrame:
         for batch in batches:
             rows, texts = [], []
             for i, (h, p) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
-                own = probes(h, p, index.lengths)
+                own = probes(h, p, index.shapes)
                 rows += [i] * len(own)
                 texts += own
             rule: list[str | None] = [None] * batch.num_rows
@@ -137,13 +141,13 @@ def judge(pages: DataFrame, index: Index) -> DataFrame:
 def join_judge(pages: DataFrame, rules: DataFrame) -> DataFrame:
     """judge() for rule sets of any size: the probes are joined with the rules' texts."""
     path = F.coalesce("path", F.lit(""))
-    texts = rules.where(F.length("host") > 0).select(F.concat(F.lower("host"), path).alias("rule"), F.length(path).alias("n"), F.col("verdict").alias("said"))
-    texts = texts.groupBy("rule", "n").agg(F.when(F.max((F.col("said") == "block").cast("int")) == 1, "block").otherwise("allow").alias("said"))
-    lengths = [r["n"] for r in texts.select("n").distinct().collect()]  # path lengths, a handful
+    known = rules.where(F.length("host") > 0).withColumns({"labels": F.size(F.split("host", r"\.")), "n": F.length(path)})
+    texts = known.select(F.concat(F.lower("host"), path).alias("rule"), F.col("verdict").alias("said"))
+    texts = texts.groupBy("rule").agg(F.when(F.max((F.col("said") == "block").cast("int")) == 1, "block").otherwise("allow").alias("said"))
+    shapes = [(r["labels"], r["n"]) for r in known.select("labels", "n").distinct().collect()]  # label counts and path lengths, a handful
     given = common.written(pages.select(F.monotonically_increasing_id().alias("row"), "page_id", host_of("url").alias("host"), path_of("url").alias("path")), "pages")
-    labels = F.split("host", r"\.")
-    ends = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    begins = F.array(*(F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in lengths)) if lengths else F.array().cast("array<string>")
-    probe = given.where("host <> ''").select("row", F.explode(F.array_distinct(F.flatten(F.transform(ends, lambda e: F.transform(F.array_compact(begins), lambda b: F.concat(e, b)))))).alias("rule"))
+    ends = lambda c, n: F.concat(F.substring_index("host", ".", -c), F.substring("path", 1, n))
+    texts_of = [F.when(F.length("path") >= n, ends(c, n)) for c, n in shapes]
+    probe = given.where("host <> ''").select("row", F.explode(F.array_distinct(F.array_compact(F.array(*texts_of) if shapes else F.array().cast("array<string>")))).alias("rule"))
     best = probe.join(texts, "rule").groupBy("row").agg(F.max(F.struct(F.length("rule").alias("n"), "rule", "said")).alias("best"))
     return given.join(best, "row", "left").select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.said", F.lit("allow")).alias("verdict"))
