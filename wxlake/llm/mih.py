@@ -1,6 +1,7 @@
 """Exact top-k search in Hamming space by incremental multi-index hashing.
 
-A binary code is cut into segments, each indexed by its value. For a query, the tables are probed with all
+A binary code is cut into segments of about log2(rows) bits, each indexed by its value, so that a value has few rows at
+any table size. For a query, the tables are probed with all
 segment values within a radius of 0, then 1, and so on. A code that differs from the query in at most
 segments * (radius + 1) - 1 bits must differ by `radius` or less in some segment, so it has been found by
 then; a query is finished once its kth verified distance is within that bound, and only unfinished queries
@@ -17,6 +18,7 @@ rows count as often as they occur; fewer than k rows in all yield as many neighb
 from __future__ import annotations
 
 from itertools import combinations
+from math import log2
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,36 +37,45 @@ def sign_code(vector: str, bits: int = BITS) -> Column:
     return F.when(F.col(vector).isNotNull(), out)
 
 
-def _segments(code: Column, m: int) -> Column:
-    width = BITS // m
-    return F.array(*(F.shiftrightunsigned(code, width * i).bitwiseAND(F.lit((1 << width) - 1)) for i in range(m)))
+def widths_for(codes: int) -> list[int]:
+    """Bits of the segments for so many different codes: near log2 of their number, between 8 and 22."""
+    m = min(8, max(3, round(BITS / max(1.0, log2(max(codes, 2))))))
+    return [BITS // m + (i < BITS % m) for i in range(m)]
+
+
+def _segments(code: Column, widths: list[int]) -> Column:
+    return F.array(*(F.shiftrightunsigned(code, sum(widths[:i])).bitwiseAND(F.lit((1 << w) - 1)) for i, w in enumerate(widths)))
 
 
 def _distance(a: str, b: str) -> Column:
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
 
 
-def search(rows: DataFrame, queries: DataFrame, k: int = 10, segments: int = 4) -> DataFrame:
-    """query_id, neighbor_id, distance and rank (1 to k) of the k nearest rows (id, code) of each query (id, code)."""
+def search(rows: DataFrame, queries: DataFrame, k: int = 10, widths: list[int] | None = None) -> DataFrame:
+    """query_id, neighbor_id, distance and rank (1 to k) of the k nearest rows (id, code) of each query (id, code).
+
+    widths: bits of the segments, BITS in all; they follow from the number of codes if not given.
+    """
     spark = rows.sparkSession
-    width = BITS // segments
     known = rows.where(F.col("code").isNotNull() & F.col("id").isNotNull())
     per_code = Window.partitionBy("code").orderBy("id")
     listed = known.withColumn("r", F.row_number().over(per_code)).where(F.col("r") <= k).groupBy("code").agg(F.array_sort(F.collect_list("id")).alias("ids"))
     codes = common.settle(listed)
-    index = codes.select("code", F.posexplode(_segments(F.col("code"), segments)).alias("segment", "value"))
     asked = queries.where(F.col("code").isNotNull()).select(F.col("id").alias("query_id"), F.col("code").alias("q"))
-    total = codes.agg(F.coalesce(F.sum(F.size("ids")), F.lit(0))).first()[0]
-    want = min(k, total)
+    total, different = codes.agg(F.coalesce(F.sum(F.size("ids")), F.lit(0)), F.count("*")).first()
+    want, widths = min(k, total), widths or widths_for(different)
+    segments = len(widths)
+    index = codes.select("code", F.posexplode(_segments(F.col("code"), widths)).alias("segment", "value"))
     open_ = common.settle(asked.select("q").distinct())
     found = spark.createDataFrame([], "q long, code long, distance int, n int")
     done = found
-    for radius in range(width + 1):
+    for radius in range(max(widths) + 1):
         if want == 0 or open_.isEmpty():
             break
-        masks = spark.createDataFrame([(sum(1 << b for b in bits),) for bits in combinations(range(width), radius)], "mask long")
-        probes = open_.select("q", F.posexplode(_segments(F.col("q"), segments)).alias("segment", "own"))
-        probes = probes.join(F.broadcast(masks)).select("q", "segment", F.col("own").bitwiseXOR(F.col("mask")).alias("value"))  # at most C(16, 8) masks
+        masks = spark.createDataFrame([(i, sum(1 << b for b in bits)) for i, w in enumerate(widths) for bits in combinations(range(w), radius)], "segment int, mask long")
+        probes = open_.select("q", F.posexplode(_segments(F.col("q"), widths)).alias("segment", "own"))
+        # Codes are bits alone, so the masks of a radius are a fixed table: C(22, radius) a segment at most.
+        probes = probes.join(F.broadcast(masks), "segment").select("q", "segment", F.col("own").bitwiseXOR(F.col("mask")).alias("value"))
         fresh = probes.join(index, ["segment", "value"]).select("q", "code").distinct()
         fresh = fresh.join(found.select("q", "code"), ["q", "code"], "left_anti")
         fresh = fresh.join(codes.select("code", F.size("ids").alias("n")), "code").select("q", "code", _distance("q", "code").alias("distance"), "n")
