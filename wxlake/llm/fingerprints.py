@@ -80,19 +80,29 @@ def shown(a: Column) -> Column:
     return F.array_join(F.transform(a, lambda h: F.lpad(F.lower(F.hex(h)), 16, "0")), "")
 
 
+#: Ranges of ids at most; their bounds and first documents are small tables.
+MOST_RANGES = 100_000
+
+
 def _bucketed(docs: DataFrame, rows: int) -> DataFrame:
-    """Documents with a bucket of neighbouring ids, numbered from 0 for the highest ids; a bucket holds about `rows`."""
+    """Documents with a bucket of neighbouring ids, numbered from 0 for the highest ids; a bucket holds about `rows`, or a
+    MOST_RANGES-th of all documents if that is more."""
     n = docs.count()
-    parts = max(1, n // rows)
-    if parts > 1:
-        shares = [i / parts for i in range(1, parts)]
-        cuts = sorted(set(docs.agg(F.percentile_approx("doc_id", shares, 10_000)).first()[0] or []), reverse=True)
-    else:
-        cuts = []
-    # How many cuts lie above the id: a binary search over the sorted literal array.
-    table = F.array(*(F.lit(int(-c)) for c in cuts)).cast("array<long>") if cuts else F.array().cast("array<long>")
-    above = F.size(F.filter(table, lambda c: -c > F.col("doc_id")))
-    return docs.withColumn("bucket", F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1)).otherwise(above))
+    parts = min(MOST_RANGES, max(1, n // rows))
+    shares = [i / parts for i in range(1, parts)]
+    cuts = sorted(set(docs.agg(F.percentile_approx("doc_id", shares, max(10_000, 10 * parts))).first()[0] or [])) if shares else []
+    # How many of the ascending cuts lie at or below the id, by a binary search over one literal array.
+    table = F.split(F.lit(",".join(map(str, cuts))), ",").cast("array<bigint>") if cuts else F.array().cast("array<bigint>")
+
+    def halved(span: Column, _: Column) -> Column:
+        mid = F.floor((span["lo"] + span["hi"]) / 2).cast("int")
+        below = F.get(table, mid) <= F.col("doc_id")
+        open_ = span["lo"] < span["hi"]
+        return F.struct(F.when(open_ & below, mid + 1).otherwise(span["lo"]).alias("lo"), F.when(open_ & ~below, mid).otherwise(span["hi"]).alias("hi"))
+
+    steps = F.sequence(F.lit(1), F.lit(max(1, len(cuts).bit_length())))
+    below = F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.lit(len(cuts)).alias("hi")), halved)["lo"]
+    return docs.withColumn("bucket", F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1)).otherwise(F.lit(len(cuts)) - below))
 
 
 def edited_pairs(docs: DataFrame, k: int = 128, words: int = 5, rows: int = 4000) -> DataFrame:
@@ -104,9 +114,11 @@ def edited_pairs(docs: DataFrame, k: int = 128, words: int = 5, rows: int = 4000
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     ranged = _bucketed(base, rows)
     order = [F.col("doc_id").desc_nulls_last(), F.col("text")]
-    heads = ranged.groupBy("bucket").agg(F.min(F.struct(F.coalesce(-F.col("doc_id"), F.lit(0)).alias("o"), "text")).alias("h")).select("bucket", F.col("h.text").alias("head"))
-    across = Window.orderBy("bucket")  # one row a range of `rows` documents
-    ring = common.settle(heads.select("bucket", "head"))
+    # The first document of each range: its id first, from the ids alone, then its text. MOST_RANGES rows at most.
+    tops = common.settle(ranged.groupBy("bucket").agg(F.max("doc_id").alias("top")))
+    starts = base.join(F.broadcast(tops), F.col("doc_id").eqNullSafe(F.col("top"))).groupBy("bucket").agg(F.min("text").alias("head"))
+    across = Window.orderBy("bucket")
+    ring = common.settle(starts)
     first = ring.select(F.min("bucket")).first()[0]
     nxt = ring.select("bucket", F.lead("bucket").over(across).alias("to")).select("bucket", F.coalesce("to", F.lit(first)).alias("to"))
     beyond = nxt.join(ring.select(F.col("bucket").alias("to"), "head"), "to").select("bucket", "head")
