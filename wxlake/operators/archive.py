@@ -111,6 +111,7 @@ def stored(rows: DataFrame, source: str, captured_at: Column | None = None) -> D
     pil = F.coalesce("nnn", F.lit("UNKNOWN"))
     return rows.select(
         F.col("semantic_fingerprint").alias("fingerprint"),
+        F.col("path").alias("source_path"),
         at.alias("captured_at"),
         F.lit(source).alias("source"),
         F.col("cccc").alias("office"),

@@ -202,6 +202,11 @@ def with_status(rows: DataFrame, at: str | None) -> DataFrame:
     return rows.join(last, "event_id", "left").withColumn("lifecycle_status", status).drop("_last")
 
 
+def ordered(rows: DataFrame) -> DataFrame:
+    """Timeline records in their order: unknown issue times first, paths part by part."""
+    return rows.orderBy(F.col("issued_at").asc_nulls_first(), F.split("path", "/"), "message_index", "segment_index", "vtec_index")
+
+
 def interval(prefix: str = "") -> tuple[Column, Column]:
     """Start and end of a record's half-open interval, both null if it has none."""
     c = lambda name: F.col(prefix + name)
@@ -351,6 +356,28 @@ def pair_metrics(pairs: DataFrame, left: str = "left", right: str = "right") ->
     return out.withColumn("area_time_overlap_ratio", geometry.share(F.col("overlap_area_time_square_degree_seconds"), F.col("union_area_time_square_degree_seconds")))
 
 
+def overlapping_pairs(rows: DataFrame, hours: int = 24) -> DataFrame:
+    """Pairs (left, right; the smaller record key is left) of records of different events whose intervals and boxes overlap.
+
+    Records meet by an equi-join on a cell of one degree and a slice of `hours` of their interval, of which a warning has a
+    few; a pair that shares several counts once. Only records with a valid ring take part.
+    """
+    start, end = interval()
+    own = settled(rows.withColumns({"start": start, "end": end, "ring": geometry.with_area(geometry.ring(F.col("polygon")))}).where("start is not null and ring is not null").withColumn("box", geometry.box(F.col("ring"))), "warnings")
+    first, last = (F.floor(F.unix_seconds(F.col(c)) / (3600 * hours)) for c in ("start", "end"))
+    keys = own.select("record_key", "event_id", "start", "end", "box", F.explode(F.sequence(first, last)).alias("slice"))
+    grid = F.explode(F.flatten(F.transform(F.sequence(F.floor("box.south"), F.floor("box.north")), lambda y: F.transform(F.sequence(F.floor("box.west"), F.floor("box.east")), lambda x: F.struct(y.alias("y"), x.alias("x"))))))
+    keys = keys.withColumn("cell", grid)
+    a, b_ = keys.alias("a"), keys.alias("b")
+    meets = (F.col("a.start") < F.col("b.end")) & (F.col("b.start") < F.col("a.end"))
+    for low, high in (("south", "north"), ("west", "east")):
+        meets = meets & (F.col(f"a.box.{low}") <= F.col(f"b.box.{high}")) & (F.col(f"b.box.{low}") <= F.col(f"a.box.{high}"))
+    both = a.join(b_, (F.col("a.cell") == F.col("b.cell")) & (F.col("a.slice") == F.col("b.slice")) & (F.col("a.record_key") < F.col("b.record_key")) & (F.col("a.event_id") != F.col("b.event_id")) & meets)
+    both = both.select(F.col("a.record_key").alias("l"), F.col("b.record_key").alias("r")).distinct()
+    sides = [own.drop("ring", "box", "start", "end").select(F.col("record_key").alias(k), F.struct("*").alias(c)) for k, c in (("l", "left"), ("r", "right"))]
+    return both.join(sides[0], "l").join(sides[1], "r").select("left", "right")
+
+
 # --- counts
 
 

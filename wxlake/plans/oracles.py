@@ -120,6 +120,4 @@ SELECT path, 'archived' AS action, folder FROM rows UNION ALL SELECT 'zz/' || pa
 hits AS (SELECT own = 'tornado' AS a, starts_with(awips, 'MWW') AS b, own = 'tornado' AND starts_with(awips, 'TORAA') AS c FROM rows),
 named AS (SELECT 'tornado' AS route FROM hits WHERE a UNION ALL SELECT 'marine' FROM hits WHERE b UNION ALL SELECT 'both' FROM hits WHERE c UNION ALL SELECT 'rest' FROM hits WHERE NOT (a OR b OR c))
 SELECT route, count(*) AS messages FROM named GROUP BY route""",
-    "recent_products": f"""WITH {FACTS} SELECT path AS fingerprint, {when("issue")} AS captured_at, office FROM facts WHERE bad <> 4 AND {FAMILY} = 'severe-thunderstorm' ORDER BY issue DESC, path LIMIT 50""",
-    "prune_plan": f"""WITH {FACTS} SELECT strftime(issue, '%Y-%m-%d') AS capture_date, count(*) AS records, strftime(issue, '%Y-%m-%d') < '2024-01-15' AS removed FROM facts WHERE bad <> 4 GROUP BY 1, 3""",
 }

@@ -126,22 +126,6 @@ def routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive.routed(_good(spark, sf_dir), rules, "rest").groupBy("route").agg(F.count("*").alias("messages"))
 
 
-def _archive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    facts = render.facts(spark, sf_dir)
-    known = reports.parsed(render.texts(facts)).where(F.col("error_kind").isNull())
-    at = facts.select("path", F.col("issue").alias("captured"))
-    # The text's digest stands in for the fingerprint, as nothing here is about it.
-    return archive.stored(known.join(at, "path").withColumn("semantic_fingerprint", F.col("path")), "feed", F.col("captured"))
-
-
-def recent_products(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return archive.recent(_archive(spark, sf_dir), 50, family="severe-thunderstorm").select("fingerprint", text(F.col("captured_at")).alias("captured_at"), "office")
-
-
-def prune_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return archive.prune_plan(_archive(spark, sf_dir), F.lit("2024-01-15").cast("date")).select("capture_date", "records", "removed")
-
-
 def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Semantic fingerprints and archive digests; SQL has neither hash."""
     rows = archive.first_of_each(archive.fingerprinted(_known(spark, sf_dir)))
@@ -150,5 +134,5 @@ def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (active_at, active_families, timeline_status, timeline_without_time, lead_time, pair_metrics, headings, rejects, family_histogram, event_codes, hydrologic_codes, tags_and_geometry, frame_scan, scan_counts, import_actions, routes, recent_products, prune_plan, fingerprints)
+    for f in (active_at, active_families, timeline_status, timeline_without_time, lead_time, pair_metrics, headings, rejects, family_histogram, event_codes, hydrologic_codes, tags_and_geometry, frame_scan, scan_counts, import_actions, routes, fingerprints)
 }

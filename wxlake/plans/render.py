@@ -101,6 +101,52 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(texts(facts(spark, sf_dir)))
 
 
+def wrapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each message in a stanza: path and content. Every 19th names another office, every 23rd lacks its number."""
+    from ..sources import stanza
+
+    e = facts(spark, sf_dir)
+    office = F.when(F.col("event_id") % 19 == 0, "KZZZ").otherwise(F.col("office"))
+    wrapper = F.struct(F.lit("groupchat").alias("type"), F.lit("nwws@host").alias("sender"), F.lit(None).cast("string").alias("recipient"), F.concat(F.lit("<"), F.col("event_id"), F.lit("> & 'more'")).alias("summary"), F.lit(None).cast("string").alias("xhtml_summary"), office.alias("cccc"), F.lit("WUUS53").alias("ttaaii"), F.lit("ANY").alias("awips"))
+    number = F.when(F.col("event_id") % 23 == 0, "no.number").otherwise(F.concat_ws(".", F.lit("7"), F.col("event_id").cast("string")))
+    at = F.timestamp_seconds(F.unix_seconds("issue") + 90)
+    meta = e.select(F.col("path").alias("p"), wrapper.alias("wrapper"), number.alias("number"), at.alias("at"))
+    rows = texts(e).join(meta, F.col("path") == F.col("p"))
+    return rows.select(F.replace("path", F.lit(".txt"), F.lit(".xml")).alias("path"), F.encode(stanza.written(F.col("wrapper"), F.col("number"), F.col("at"), F.col("raw")), "UTF-8").alias("content"))
+
+
+def titled(spark: SparkSession) -> DataFrame:
+    """A bulletin for each product identifier of the code tables, for two-letter beginnings, and for each title."""
+    from ..functions import codes
+
+    named = [(c, None) for own in codes.PRODUCT_FAMILIES.values() for c in own.split()] + [(f"{p}Q", None) for p in codes.PREFIX_FAMILIES] + [("QQQ", None)]
+    plain = [(None, t) for t in [*(f"A {x.lower()} for us" for x in codes.TITLE_FAMILIES), "NOTHING KNOWN"]]
+    rows = spark.createDataFrame([(f"p/{i:04}", c, t) for i, (c, t) in enumerate(named + plain)], "path string, nnn string, title string")
+    text = F.concat(F.lit("NOUS41 KAAA 201530\n"), F.coalesce(F.concat("nnn", F.lit("AAA\n")), F.lit("")), F.lit("\n"), F.coalesce("title", F.lit("PLAIN TEXT")), F.lit("\n"))
+    return rows.select("path", F.lit(1).alias("message_index"), text.alias("raw"))
+
+
+#: Corners of rings, in steps of a tenth of a degree: a square, an L, one that crosses itself, a triangle, and a line.
+RINGS = {
+    "square": [(0, 0), (0, 4), (4, 4), (4, 0)],
+    "bend": [(0, 0), (0, 4), (2, 4), (2, 2), (4, 2), (4, 0)],
+    "crossed": [(0, 0), (4, 4), (0, 4), (4, 0)],
+    "triangle": [(0, 0), (0, 4), (4, 0)],
+    "line": [(0, 0), (4, 4), (0, 0)],
+}
+
+
+def rings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A polygon for each event: its shape in turn, moved by the user's place; closed ones repeat the first corner."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", (F.col("user_id") % 100).cast("int").alias("at"))
+    shapes = [F.array(*(F.struct(F.lit(y).alias("y"), F.lit(x).alias("x")) for y, x in corners)) for corners in RINGS.values()]
+    corners = F.element_at(F.array(*shapes), (F.col("event_id") % len(RINGS) + 1).cast("int"))
+    corners = F.when(F.col("event_id") % 2 == 0, F.concat(corners, F.slice(corners, 1, 1))).otherwise(corners)
+    degrees = lambda step, base: ((step + F.col("at")) / 10 + base).cast("float")
+    points = F.transform(corners, lambda c: F.struct(degrees(c["y"], 30).alias("lat"), degrees(c["x"], -90).alias("lon")))
+    return e.select("event_id", "at", F.element_at(F.array(*map(F.lit, RINGS)), (F.col("event_id") % len(RINGS) + 1).cast("int")).alias("shape"), points.alias("polygon"))
+
+
 def streams(messages: DataFrame) -> DataFrame:
     """Framed byte streams of neighbouring messages: path and content. Stream i holds the messages of ids 20 i to
     20 i + 19 with three bytes of junk before the first, one before every fifth, and an open frame after the last."""
