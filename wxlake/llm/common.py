@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -53,6 +54,14 @@ def deleted(*tables: DataFrame) -> None:
             folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
 
 
+def give_back() -> None:
+    """Return memory that a fit on the driver has freed to the system; allocators would keep it for the session."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where there is such a call
+    if trim is not None:
+        trim(0)
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """The name with underscores before it until no column has it."""
     taken = {c.lower() for c in df.columns}

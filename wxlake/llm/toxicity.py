@@ -162,7 +162,10 @@ def fit(docs: DataFrame, labels: DataFrame, prior: float | None = None, most_pos
         return None
     column = arrow.column("text")
     raw, offsets = common.text_bytes(column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column)
-    return learn(raw, offsets, *(np.array(arrow.column(c).to_pylist(), bool) for c in ("positive", "unlabelled")), prior, features)
+    model = learn(raw, offsets, *(np.array(arrow.column(c).to_pylist(), bool) for c in ("positive", "unlabelled")), prior, features)
+    del arrow, column, raw, offsets
+    common.give_back()
+    return model
 
 
 def learn(raw: np.ndarray, offsets: np.ndarray, positive: np.ndarray, unlabelled: np.ndarray, prior: float, features: int = 2000) -> Model | None:
