@@ -39,6 +39,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _SOME = re.compile(r"[0-9@]|[\[(]at[\])]", re.IGNORECASE)
+_AT = re.compile(r"[\[(]at[\])]", re.IGNORECASE)
 _SPELLED = re.compile(r"(?<![\w.])[A-Za-z0-9._-]{1,64}\x20?[\[(]at[\])]\x20?[A-Za-z0-9-]{1,63}(?:(?:\.|\x20?[\[(]dot[\])]\x20?)[A-Za-z0-9-]{1,63}){1,4}", re.IGNORECASE)
 _INTERNATIONAL = re.compile(r"\+[0-9]{1,3}[\x20.-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[\x20.-][0-9]{2,4}){2,3}(?![0-9])")
 _NATIONAL = re.compile(r"(?<![0-9+.-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9])")
@@ -56,7 +57,7 @@ CUES = {
     "card": re.compile(r"(?:card|visa|master|credit|payment|karte|carte|tarjeta)\W*\Z", re.IGNORECASE),
     "phone": re.compile(r"(?:phone|tel|call|fax|mobile|telefon|téléphone|teléfono)\W*\Z", re.IGNORECASE),
 }
-AGAINST = re.compile(r"(?:version|release|order|invoice|isbn|issn|section|§|no|nr)\W*\Z", re.IGNORECASE)
+AGAINST = re.compile(r"(?:\b(?:version|release|order|invoice|isbn|issn|section|no|nr)|§)\W*\Z", re.IGNORECASE)
 
 
 def luhn(digits: str) -> bool:
@@ -135,7 +136,7 @@ def find(text: str) -> tuple[dict[str, list[tuple[int, int]]], list[tuple[str, i
                 else:
                     wide.append((kind, *m.span()))
         wide += [("phone", *m.span()) for m in _NATIONAL.finditer(text)]
-    if "at" in text or "AT" in text or "At" in text:
+    if _AT.search(text):
         wide += [("email", *m.span()) for m in _SPELLED.finditer(text)]
     out, held = [], {k: iter(v) for k, v in base.items()}
     ahead = {k: next(v, None) for k, v in held.items()}
