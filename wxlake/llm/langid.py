@@ -210,9 +210,10 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
 
 def known_language(docs: DataFrame, model: Model | None, least_score: float = 0.5) -> DataFrame:
     """The documents, columns unchanged, whose language is known with a posterior of `least_score` or more,
-    and a code length within the language's limit, if limits were learnt."""
+    and a code length within the language's limit, if limits were learnt. Where no document has a language, nothing is
+    known that could reject one, so all stay that have a letter."""
     if model is None:
-        return docs.limit(0)
+        return docs.where(F.coalesce(F.col("text").cast("string").rlike(r"\p{L}"), F.lit(False)))
     columns = docs.columns
     kinds = docs.schema
     given = docs.select(*columns, F.coalesce(F.col("text").cast("string").rlike(r"\p{L}"), F.lit(False)).alias("__has_letter"))
