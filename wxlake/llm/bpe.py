@@ -1,12 +1,11 @@
 """BPE encoding and decoding with content-defined chunks that documents share.
 
 A rolling hash over the last WINDOW bytes cuts every text where the hash's low bits are zero, so equal
-passages fall into equal chunks wherever they stand. Each Python worker encodes a chunk once and keeps the
-ids and tokens of its inner words; copies and shared passages then cost a look-up. A cut can fall inside a
-word, so the joins are repaired: the two fragments at a join (all of a chunk that has no inner blank) are
-encoded together, and the window grows by a word on both sides, whose ids must be those that the chunks
-gave them. The tokenizer never merges across white space, so they agree and the repair ends there; if they
-ever differ the task fails instead of returning wrong ids.
+passages fall into equal chunks wherever they stand. Each Python worker encodes a chunk once, from the ids of its words,
+which are kept too, and keeps the ids and tokens of its inner words; copies and shared passages then cost a look-up. A cut
+can fall inside a word, so the joins are repaired: the two fragments at a join (all of a chunk that has no inner blank) are
+encoded together with the word on either side, whose ids must be those that the chunks gave them. While they differ the
+window grows, by twice as many words each time, and is encoded again, until its outer words agree or it is the whole text.
 
 Chunks are not exchanged between machines: shuffling every chunk twice would move more bytes than the
 texts hold. Kept chunks are bounded (KEEP bytes a worker). Texts with unusual white space or special-token
@@ -21,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
@@ -36,6 +36,7 @@ WINDOW = 16
 #: A cut every 2**MASK_BITS bytes on average, and the bytes that a worker's chunks and joins may take.
 MASK_BITS, KEEP = 9, 40 << 20
 _BLANK, _LAST_BLANK = re.compile(r"[ \t\r\n]+"), re.compile(r"[ \t\r\n]+(?=[^ \t\r\n]*\Z)")
+_WORD = re.compile(rb"[^ \t\r\n]+")
 _workers: dict[str, "Codec"] = {}
 
 
@@ -89,7 +90,7 @@ class Codec:
         self.token = [self.tokenizer.id_to_token(i) or "" for i in range(top)]
         self.number = [str(i) for i in range(top)]
         self.chunks: dict[bytes, Chunk] = {}
-        self.joins: dict[tuple[str, str, str], Part] = {}
+        self.joins: dict[tuple[str, str, str], Part | None] = {}
         self.size = 0
 
     @classmethod
@@ -121,7 +122,7 @@ class Codec:
             self.size += 5 * len(raw) + 600
 
     def _learn_joins(self, keys: list[tuple[str, str, str]]) -> None:
-        """Encode each join with the words beside it; those must agree with what their chunks gave them."""
+        """Encode each join with the words beside it; None where those disagree with what their chunks gave them."""
         new = [k for k in dict.fromkeys(keys) if k not in self.joins]
         own = [pieces(w) for before, _, after in new for w in (before, after)]
         made = iter(self.words.look_up([w for parts in own for w in parts]))
@@ -129,28 +130,57 @@ class Codec:
         for i, (key, ids) in enumerate(zip(new, self.words.ids([" ".join(k) for k in new]), strict=True)):
             left, right = beside[2 * i].n, beside[2 * i + 1].n
             edge = _together([p for p in (beside[2 * i], self._part(ids[left : len(ids) - right]), beside[2 * i + 1]) if p.n])
-            if self._part(ids) != edge:
-                raise AssertionError("words beside a join disagree: the tokenizer merges across blanks")
-            self.joins[key] = self._part(ids[left : len(ids) - right])
+            self.joins[key] = self._part(ids[left : len(ids) - right]) if self._part(ids) == edge else None
             self.size += 600
 
+    def _repaired(self, text: bytes, ends: list[int]) -> list[Part]:
+        """A text's words, with windows around its chunk ends encoded anew and grown until their outer words agree."""
+        spans = [m.span() for m in _WORD.finditer(text)]
+        words = [text[a:b].decode() for a, b in spans]
+        split = [pieces(w) for w in words]
+        made = iter(self.words.look_up([p for own in split for p in own]))
+        given = [_together([next(made) for _ in own]) for own in split]
+        windows: list[tuple[int, int, Part]] = []  # first and last word, and their ids
+        for end in ends[:-1]:
+            at = bisect_left(spans, end, key=lambda s: s[1])  # the word that the end is in or at
+            if at == len(spans) or windows and at < windows[-1][1]:
+                continue
+            grow = 1
+            while True:
+                low, high = max(0, at - grow), min(len(spans) - 1, at + grow)
+                if windows and low <= windows[-1][1]:
+                    low = windows[-1][0]
+                ids = self.words.ids([text[spans[low][0] : spans[high][1]].decode()])[0]
+                left, right = given[low], given[high]
+                if (low == 0 or self._part(ids[: left.n]) == left) and (high == len(spans) - 1 or self._part(ids[len(ids) - right.n :]) == right):
+                    break
+                grow *= 2
+            while windows and low <= windows[-1][1]:
+                windows.pop()
+            windows.append((low, high, self._part(ids)))
+        out, done = [], 0
+        for low, high, part in windows:
+            out += [*given[done:low], part]
+            done = high + 1
+        return out + given[done:]
+
     def encode(self, texts: list[str], raw: np.ndarray, offsets: np.ndarray) -> list[list[Part]]:
         """The ids of each text in parts; none is empty. raw and offsets: the texts' bytes."""
         if self.size > KEEP:
             self.chunks.clear()
             self.joins.clear()
             self.size = 0
-        pieces: list[list[bytes]] = []
+        chunks: list[list[bytes]] = []
         for i, text in enumerate(texts):
             own = raw[offsets[i] : offsets[i + 1]]
             if not len(own) or whole(text):
-                pieces.append([])
+                chunks.append([])
                 continue
             data, ends = own.tobytes(), cuts(own).tolist()
-            pieces.append([data[a:b] for a, b in zip([0, *ends], ends, strict=False)])
-        self._learn_chunks([r for own in pieces for r in own])
+            chunks.append([data[a:b] for a, b in zip([0, *ends], ends, strict=False)])
+        self._learn_chunks([r for own in chunks for r in own])
         plans: list[list] = []
-        for own in pieces:
+        for own in chunks:
             plan: list = []
             joint, last = "", ""
             for r in own:
@@ -170,8 +200,10 @@ class Codec:
             plans.append(plan)
         self._learn_joins([p for plan in plans for p in plan if len(p) == 3 and not isinstance(p, Part)])
         out = []
-        for text, own, plan in zip(texts, pieces, plans, strict=True):
+        for text, own, plan in zip(texts, chunks, plans, strict=True):
             parts = [p if isinstance(p, Part) else self.joins[p] for p in plan] if own or not text else [self._part(self.words.ids([text])[0])]
+            if None in parts:
+                parts = self._repaired(text.encode(), np.cumsum([len(r) for r in own]).tolist())
             out.append([p for p in parts if p.n])
         return out
 
