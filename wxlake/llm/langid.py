@@ -9,7 +9,8 @@ A text's code length is a sum of table entries, exact and without a loop over by
 
 Fitting: counts are summed by Spark over a repeatable sample of at most about `train_docs` labelled
 documents of each language (a documented bound; scoring always covers every whole text), and contexts
-seen fewer than `least` times are left out of the trees.
+seen fewer than `least` times are left out of the trees; with many languages `least` grows until the table, which is
+broadcast, fits MOST_BYTES.
 
 Result: lang_pred is the language of the shortest code (ties: the first by name), score its posterior
 under equal priors. `und` with score 0 for texts that are null or have no letter, and if nothing was
@@ -33,6 +34,8 @@ from . import common
 UNKNOWN = "und"
 #: Bits that a text may exceed its limit by, so that a number or a key does not reject a short text.
 SLACK_BITS = 512
+#: Bytes of the table that every executor holds: languages times contexts times symbols times 4.
+MOST_BYTES = 256 << 20
 
 
 @dataclass
@@ -107,6 +110,8 @@ def fit(labelled: DataFrame, train_docs: int = 2000, order: int = 3, least: int
         chosen = one if chosen is None else chosen | one
     counts = rows.where(chosen).select("lang", "text").transform(common.mapped, _grams(order), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     model = build(sorted(sizes), counts["lang"].to_numpy(), counts["gram"].to_numpy(np.int64), counts["n"].to_numpy(np.int64), least)
+    del counts
+    common.give_back()
     return replace(model, limits=_limits(rows.where(chosen), model)) if limits else model
 
 
@@ -128,8 +133,8 @@ def _limits(rows: DataFrame, model: Model, factor: float = 2.5) -> np.ndarray:
     return np.array([factor * found.get(x, np.inf) for x in model.langs])
 
 
-def build(langs: list[str], lang: np.ndarray, gram: np.ndarray, n: np.ndarray, least: int = 2) -> Model:
-    """Flatten the context trees of the 4-gram counts."""
+def build(langs: list[str], lang: np.ndarray, gram: np.ndarray, n: np.ndarray, least: int = 2, most_bytes: int = MOST_BYTES) -> Model:
+    """Flatten the context trees of the 4-gram counts. `least` is doubled until the table fits `most_bytes`."""
     code = np.searchsorted(np.array(langs, object), lang) if len(lang) else np.zeros(0, np.int64)
     raws = np.stack([(gram >> (8 * j)) & 255 for j in (3, 2, 1, 0)]) if len(gram) else np.zeros((4, 0), np.int64)
     fold = np.arange(256)
@@ -142,14 +147,17 @@ def build(langs: list[str], lang: np.ndarray, gram: np.ndarray, n: np.ndarray, l
     p3, p2, p1, s = symbol[raws].astype(np.int64)
     contexts = [np.zeros_like(s), p1, p2 * size + p1, (p3 * size + p2) * size + p1]
 
+    seen = [np.unique(c, return_inverse=True) for c in contexts]
+    often = [np.bincount(where, weights=n, minlength=len(value)) for value, where in seen]
+    while 4 * len(langs) * size * (1 + sum(int((o >= least).sum()) for o in often[1:])) > most_bytes and any((o >= least).any() for o in often[1:]):
+        least *= 2
+
     # Contexts of each length that are frequent enough, and their rows in the table; row 0 is the empty one.
     node = np.zeros((size, size, size), np.int32)
     rows, at = [np.zeros(1, np.int64)], 1
     parents = [np.zeros(1, np.int64)]
     for k in (1, 2, 3):
-        value, where = np.unique(contexts[k], return_inverse=True)
-        often = np.bincount(where, weights=n, minlength=len(value)) >= least
-        kept = value[often]
+        kept = seen[k][0][often[k] >= least]
         ids = np.arange(at, at + len(kept))
         flat = node.reshape(-1, size**k)
         parents.append(flat[0, kept].astype(np.int64) if len(kept) else kept)
@@ -169,9 +177,9 @@ def build(langs: list[str], lang: np.ndarray, gram: np.ndarray, n: np.ndarray, l
             count = np.bincount(place[known] * size + s[own][known], weights=n[own][known], minlength=m * size).reshape(m, size)
             total, distinct = count.sum(1, keepdims=True), (count > 0).sum(1, keepdims=True)
             shorter = prob[parents[k]] if k else np.full((1, size), 1 / 256)
-            seen = total > 0
-            mixed = np.where(count > 0, count, distinct * shorter) / np.where(seen, total + distinct, 1)
-            prob[base : base + m] = np.where(seen, mixed, shorter)
+            some = total > 0
+            mixed = np.where(count > 0, count, distinct * shorter) / np.where(some, total + distinct, 1)
+            prob[base : base + m] = np.where(some, mixed, shorter)
             base += m
         bits[i] = -np.log2(prob).reshape(-1)
     return Model(langs, symbol, node.reshape(-1), bits)
