@@ -332,7 +332,12 @@ def test_bin_completion_beats_best_fit():
     have[[60, 45, 35, 20]] = 1
     assert sorted(packing.complete(have, 100)) == [20, 35, 45]
     bins = packing.plan({60: 2, 40: 1, 30: 2, 10: 1, 100: 3}, 100)
-    assert sum(r for r, _ in bins) == 3 + 2 and sum(r * sum(f) for r, f in bins) == 300 + 230 - 0
+    # 60 + 40, 60 + 30 + 10 and 30, beside the three full ones.
+    assert sum(r for r, _ in bins) == 3 + fewest_bins([60, 60, 40, 30, 30, 10], 100) == 6
+    assert sum(r * sum(f) for r, f in bins) == 300 + 230
+    # Many short pieces are one step each, not one a piece.
+    assert sum(r for r, _ in packing.plan({3: 3, 2: 5000}, 2048)) == 5
+    assert sum(r for r, _ in packing.plan({4: 3, 2: 5000, 3: 3}, 2048)) == 5
 
 
 def fewest_bins(items, size):

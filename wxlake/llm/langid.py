@@ -108,8 +108,8 @@ def fit(labelled: DataFrame, train_docs: int = 2000, order: int = 3, least: int
     for lang, n in sorted(sizes.items()):
         one = (F.col("lang") == lang) & common.sample_below("doc_id", train_docs / n)
         chosen = one if chosen is None else chosen | one
-    counts = rows.where(chosen).select("lang", "text").transform(common.mapped, _grams(order), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
-    model = build(sorted(sizes), counts["lang"].to_numpy(), counts["gram"].to_numpy(np.int64), counts["n"].to_numpy(np.int64), least)
+    counts = rows.where(chosen).select("lang", "text").transform(common.mapped, _grams(order), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
+    model = build(sorted(sizes), *(counts.column(c).to_numpy() for c in ("lang", "gram", "n")), least)
     del counts
     common.give_back()
     return replace(model, limits=_limits(rows.where(chosen), model)) if limits else model
