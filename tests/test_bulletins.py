@@ -2,43 +2,48 @@
 
 from __future__ import annotations
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
-from wxlake.functions import geometry, hashing, segmenter, times, wire
-from wxlake.operators import archive, reports
+from wxlake import __main__ as command
+from wxlake import api
+from wxlake.functions import geometry, hashing, segmenter, tags, times, wire
+from wxlake.operators import archive, reports, summaries
 from wxlake.sources import files, stanza
+from wxlake.streaming import frames, jobs
 
-TORNADO = """401
-WUUS53 KLOT 211600
-TORLOT
+TORNADO = """518
+WUUS53 KWXY 061210
+TORWXY
 
-ILC031-043-197-211630-
-/O.NEW.KLOT.TO.W.0001.260421T1600Z-260421T1630Z/
+NEC011-025-211-061255-
+/O.NEW.KWXY.TO.W.0007.270506T1210Z-270506T1255Z/
 
-TORNADO WARNING
-LAT...LON 4215 8850 4215 8800 4195 8800 4195 8850
-TIME...MOT...LOC 1600Z 265DEG 31KT 4205 8840
-TORNADO...RADAR INDICATED
-MAX HAIL SIZE...1.00 IN
+TORNADO WARNING FOR THE VALLEY
+LAT...LON 4110 9820 4110 9760 4080 9760 4080 9820
+TIME...MOT...LOC 1210Z 241DEG 22KT 4095 9800
+TORNADO...OBSERVED
+MAX HAIL SIZE...1.125 IN
 
 $$
 """
-UPDATE = """402
-WWUS73 KLOT 211620
-SVSLOT
+UPDATE = """519
+WWUS73 KWXY 061230
+SVSWXY
 
-ILC031-043-197-211630-
-/O.CON.KLOT.TO.W.0001.000000T0000Z-260421T1630Z/
+NEC011-025-211-061255-
+/O.CON.KWXY.TO.W.0007.000000T0000Z-270506T1255Z/
 
-LAT...LON 4215 8850 4215 8800 4195 8800 4195 8850
+LAT...LON 4110 9820 4110 9760 4080 9760 4080 9820
 
 $$
 
-ILC089-111-211700-
-/O.NEW.KLOT.SV.W.0002.260421T1620Z-260421T1700Z/
+NEC031-047-061320-
+/O.NEW.KWXY.SV.W.0011.270506T1230Z-270506T1320Z/
 
-LAT...LON 4215 8850 4215 8800 4195 8800 4195 8850
+LAT...LON 4110 9820 4110 9760 4080 9760 4080 9820
 
 $$
 """
@@ -50,46 +55,47 @@ def two(spark):
 
 
 def test_active_at(two):
-    at = lambda t: [(r.event_family, r.action) for r in reports.active_at(two, f"2026-04-21T{t}:00Z").collect()]
-    assert sorted(at("16:25")) == [("severe-thunderstorm", "NEW"), ("tornado", "CON")]
-    assert at("16:10") == [("tornado", "NEW")]
-    assert at("17:00") == []
+    at = lambda t: [(r.event_family, r.action) for r in reports.active_at(two, f"2027-05-06T{t}:00Z").collect()]
+    assert sorted(at("12:40")) == [("severe-thunderstorm", "NEW"), ("tornado", "CON")]
+    assert at("12:20") == [("tornado", "NEW")]
+    assert at("13:20") == []
 
 
 def test_timeline_and_lead_time(spark, two):
-    rows = reports.timeline(two, "2026-04-21T16:25:00Z")
+    rows = reports.timeline(two, "2027-05-06T12:40:00Z")
     got = {(r.event_id[7:9], r.action): r for r in rows.collect()}
     assert {k: r.lifecycle_status for k, r in got.items()} == {("TO", "NEW"): "superseded", ("TO", "CON"): "active", ("SV", "NEW"): "active"}
-    assert got["SV", "NEW"].ugcs == ["ILC089", "ILC111"] and got["TO", "CON"].valid_start is None
-    assert got["TO", "NEW"].polygon[0].lat == pytest.approx(42.15) and got["TO", "NEW"].polygon[0].lon == pytest.approx(-88.5)
-    event = spark.createDataFrame([(1, "2026-04-21 16:20:00", 42.05, -88.2), (2, "2026-04-21 16:20:00", 10.0, 10.0)], "event int, t string, lat double, lon double").withColumn("event_time", F.to_timestamp("t"))
-    lead = {r.event: r for r in reports.lead_times(reports.records(two, "2026-04-21T16:20:00Z"), event).collect()}
-    assert not lead[1].missed_event and lead[1].lead_time_seconds == 1200 and "TO.W.0001" in lead[1].first_valid_warning_event_id
+    assert got["SV", "NEW"].ugcs == ["NEC031", "NEC047"] and got["TO", "CON"].valid_start is None
+    assert got["TO", "NEW"].tags.hail_inches == pytest.approx(1.13) and got["TO", "NEW"].time_mot_loc.speed_knots == 22
+    assert got["TO", "NEW"].polygon[0].lat == pytest.approx(41.10) and got["TO", "NEW"].polygon[0].lon == pytest.approx(-98.2)
+    event = spark.createDataFrame([(1, "2027-05-06 12:25:00", 40.95, -98.0), (2, "2027-05-06 12:25:00", 10.0, 10.0)], "event int, t string, lat double, lon double").withColumn("event_time", F.to_timestamp("t"))
+    lead = {r.event: r for r in reports.lead_times(reports.records(two, "2027-05-06T12:25:00Z"), event).collect()}
+    assert not lead[1].missed_event and lead[1].lead_time_seconds == 900 and "TO.W.0007" in lead[1].first_valid_warning_event_id
     assert lead[2].missed_event and lead[2].quality_flags == ["no-point-warning-intervals", "missed-event"]
 
 
 def test_headings():
     assert wire.read(None)["error_kind"] == "InvalidUtf8"
-    assert wire.read("NOUS41 KWBC 201530")["error_field"] == "wmo heading line"
-    assert wire.read("NOUS41 KWBC\nx\n")["error_field"] == "yygggg"
-    assert wire.read("NOUS41 KWBC 201530 AAA B\nx\n")["error_field"] == "wmo heading token count"
+    assert wire.read("NOUS41 KABC 201530")["error_field"] == "wmo heading line"
+    assert wire.read("NOUS41 KABC\nx\n")["error_field"] == "yygggg"
+    assert wire.read("NOUS41 KABC 201530 AAA B\nx\n")["error_field"] == "wmo heading token count"
     assert wire.read("\x01abcd")["error_kind"] == "InvalidControl"
-    good = wire.read("111\r\r\nNOUS41 KWBC 201530 AAA\r\r\nTOR-LOT\r\r\nbody\r\r\n")
-    assert (good["sequence_number"], good["bbb"], good["awips_id"], good["body"]) == (111, "AAA", None, "TOR-LOT\r\r\nbody")
+    good = wire.read("111\r\r\nNOUS41 KABC 201530 AAA\r\r\nTOR-XYZ\r\r\nbody\r\r\n")
+    assert (good["sequence_number"], good["bbb"], good["awips_id"], good["body"]) == (111, "AAA", None, "TOR-XYZ\r\r\nbody")
 
 
 @pytest.mark.parametrize(
     ("text", "codes"),
     [
-        ("ILC031-043-211630-", ["ILC031", "ILC043"]),
-        ("ILZ001>003-KSZ005-211630-", ["ILZ001", "ILZ002", "ILZ003", "KSZ005"]),
-        ("ILCALL-211630-", ["ILCALL"]),
-        ("ILC001>003-211630-", None),
-        ("ILC001-NDC001-ILC003-211630-", None),
-        ("ILC043-031-211630-", None),
-        ("ILC031-321630-", None),
-        ("ILC031-NDZ001-211630-", None),
-        ("031-211630-", None),
+        ("NEC007-019-061255-", ["NEC007", "NEC019"]),
+        ("NEZ001>003-COZ005-061255-", ["NEZ001", "NEZ002", "NEZ003", "COZ005"]),
+        ("NECALL-061255-", ["NECALL"]),
+        ("NEC001>003-061255-", None),
+        ("NEC001-SDC001-NEC003-061255-", None),
+        ("NEC019-007-061255-", None),
+        ("NEC007-321255-", None),
+        ("NEC007-SDZ001-061255-", None),
+        ("007-061255-", None),
     ],
 )
 def test_areas(text, codes):
@@ -97,9 +103,9 @@ def test_areas(text, codes):
 
 
 def test_a_malformed_polygon_rejects_the_product():
-    out = segmenter.parse(TORNADO.replace(" 4195 8850", " 4195"))
+    out = segmenter.parse(TORNADO.replace(" 4080 9820", " 4080"))
     assert (out["error_kind"], out["error_field"], out["parts"]) == ("InvalidField", "LAT...LON", None)
-    assert segmenter.parse(TORNADO.replace("260421T1630Z", "260431T1630Z"))["parts"][0]["pvtec"] == []
+    assert segmenter.parse(TORNADO.replace("270506T1255Z", "270431T1255Z"))["parts"][0]["pvtec"] == []
 
 
 def test_issue_time(spark):
@@ -109,6 +115,73 @@ def test_issue_time(spark):
     assert [r.x for r in got] == [r.want for r in got]
 
 
+def test_measurements_round_in_single_precision():
+    assert [tags.hundredths(x) for x in ("1.125", "0.875", "1.00", "1.005", "-1.125")] == pytest.approx([1.13, 0.88, 1.0, 1.01, -1.13])
+    assert tags.hundredths("1e39") is None
+    assert tags.of_line("MAX HAIL SIZE...<1.125 IN") == [("hail_inches", pytest.approx(1.13), None)]
+
+
+def test_frames_in_pieces():
+    whole = b"~~\x01\r\r\na\x03~\x01\r\r\nbc\x03\x01open"
+    for cut in range(len(whole) + 1):
+        state, got = (b"", 0, 0), []
+        for piece in (whole[:cut], whole[cut:]):
+            found, *state = frames.push(*state, piece)
+            got += found
+        assert [(at, raw) for at, _, raw in got] == [(2, b"\x01\r\r\na\x03"), (9, b"\x01\r\r\nbc\x03")]
+        assert tuple(state) == (b"\x01open", 16, 3)
+
+
+def test_backoff_and_supervision():
+    assert [jobs.backoff(n, draw=lambda: 1.0) for n in (0, 1, 5, 9)] == [1, 2, 32, 60] and jobs.backoff(3, draw=lambda: 0.0) == 4
+
+    class Query:
+        lastProgress = None
+
+        def __init__(self, fails):
+            self.fails = fails
+
+        def awaitTermination(self):
+            if self.fails:
+                raise RuntimeError("lost")
+
+    waits = []
+    assert jobs.supervised(lambda n: Query(n < 3), sleep=waits.append, draw=lambda: 1.0) == 4 and waits == [1, 2, 4]
+    with pytest.raises(RuntimeError):
+        jobs.supervised(lambda n: Query(True), tries=2, sleep=waits.append)
+
+
+def test_counters_and_envelope(spark, two, tmp_path):
+    counters = jobs.Counters()
+    spark.streams.addListener(counters)
+    two.withColumn("received_at", F.current_timestamp()).write.parquet(f"{tmp_path}/in")
+    feed = spark.readStream.schema("path string, message_index int, raw string, received_at timestamp").parquet(f"{tmp_path}/in")
+    jobs.counted(reports.parsed(feed)).writeStream.format("noop").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    spark.streams.removeListener(counters)
+    assert counters.n["received"] == counters.n["parsed"] == 2 and counters.n["rejected"] == 0 and counters.n["failures"] == 0
+    said = json.loads(summaries.enveloped(reports.active_at(two, "2027-05-06T12:40:00Z").select("key"), "active-at", "records", {}, {}))
+    assert said["tool_name"] == "warning.active_at_reference" and said["evidence"][0]["count"] == 2 == len(said["data"]["records"])
+    assert summaries.tool_result("lead-time", {"missed_event": True}, {}, {})["evidence"][0]["missed_event"]
+
+
+def test_verbs_and_command_line(spark, tmp_path, capsys):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_bytes(TORNADO.encode())
+    (tmp_path / "in" / "b.sbn").write_bytes(b"".join(b"\x01\r\r\n" + t.encode() + b"\x03" for t in (TORNADO, UPDATE)))
+    source, store = str(tmp_path / "in"), str(tmp_path / "archive")
+    first = {(r.path, r.message_index): r.action for r in api.archive_import(spark, source, store).collect()}
+    assert first == {("a.txt", 1): "archived", ("b.sbn", 1): "duplicate", ("b.sbn", 2): "archived"}
+    assert {r.action for r in api.archive_import(spark, source, store).collect()} == {"duplicate"}
+    assert [r.status for r in api.archive_verify(spark, store).collect()] == ["ok", "ok"]
+    assert api.collect_input_paths(spark, source) == ["a.txt", "b.sbn"]
+    assert api.split_pid201(spark, f"{source}/b.sbn").count() == 2
+    command.main(["active-at", source, "--at", "2027-05-06T12:40:00Z", "--format", "jsonl"], spark)
+    assert len(capsys.readouterr().out.splitlines()) == 2
+    command.main(["lead-time", source, "--event-at", "2027-05-06T12:25:00Z", "--lat", "40.95", "--lon", "-98.0", "--format", "json"], spark)
+    assert json.loads(capsys.readouterr().out)[0]["lead_time_seconds"] == 900
+
+
 def test_hashes(spark):
     assert hashing.blake3_hex([b""]) == ["af1349b9f5f9a1a6a0404dea36dcc9499bcb25c9adc112b7cc9a93cae41f3262"]
     got = spark.createDataFrame([("",), ("a",), ("foobar",)], "t string").select(hashing.fnv1a(F.col("t"))).collect()
@@ -138,7 +211,7 @@ def test_mixed_folder_and_import(spark, tmp_path):
     (tmp_path / "a.txt").write_bytes(TORNADO.encode())
     (tmp_path / "b.sbn").write_bytes(b"".join(b"\x01\r\r\n" + t.encode() + b"\x03" for t in (TORNADO, UPDATE)))
     body = TORNADO.replace("\n", "\r\r\n").replace("&", "&amp;")
-    (tmp_path / "c.xml").write_bytes(f"<message type='groupchat'><body>x</body><x xmlns='nwws-oi' cccc='KLOT' ttaaii='WUUS53' issue='2026-04-21T16:00:00Z' awipsid='TORLOT' id='41001.17'>{body}</x></message>".encode())
+    (tmp_path / "c.xml").write_bytes(f"<message type='groupchat'><body>x</body><x xmlns='nwws-oi' cccc='KWXY' ttaaii='WUUS53' issue='2027-05-06T12:10:00Z' awipsid='TORWXY' id='9.3'>{body}</x></message>".encode())
     (tmp_path / "d.xml").write_bytes(b"<message><x")
     (tmp_path / "target").mkdir()
     (tmp_path / "target" / "e.txt").write_bytes(b"skipped")
@@ -152,6 +225,6 @@ def test_mixed_folder_and_import(spark, tmp_path):
 
 
 def test_stanzas_keep_their_line_ends():
-    got = stanza.read("<message><x xmlns='nwws-oi' cccc='A' ttaaii='B' issue='2026-04-21T16:00:00Z' awipsid='C' id='7'>a\r\r\nb &amp; c<![CDATA[<\r\n>]]></x></message>")
+    got = stanza.read("<message><x xmlns='nwws-oi' cccc='A' ttaaii='B' issue='2027-05-06T12:10:00Z' awipsid='C' id='7'>a\r\r\nb &amp; c<![CDATA[<\r\n>]]></x></message>")
     assert got["payload"]["raw"] == "a\r\r\nb & c<\r\n>" and got["payload"]["sequence"] == "7"
     assert stanza.read("<message><x xmlns='nwws-oi' id='x'>a</x></message>")["payload"] is None

@@ -1,65 +1,15 @@
-"""Polygon and storm-motion lines as native columns. Coordinates stay hundredths of a degree until a report
-turns them into FLOAT degrees, west and negative but for one office."""
+"""Coordinates of polygons and storm motion as native columns: hundredths of a degree until a report turns them into
+FLOAT degrees, west and negative but for one office."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: The first LAT...LON line with the lines of digits that follow it; the first TIME...MOT...LOC line.
-_LAT_LON = r"(?:^|\n)([ \t\f]*LAT\.\.\.LON[^\n]*(?:\n[ \t\f]*[0-9][0-9 \t\f]*(?=\n|$))*)"
-_MOTION = r"(?:^|\n)[ \t\f]*(TIME\.\.\.MOT\.\.\.LOC[^\n]*)"
-_MOTION_PARTS = r"^TIME\.\.\.MOT\.\.\.LOC\s+((?:[01][0-9]|2[0-3])[0-5][0-9])Z\s+([0-2][0-9]{2}|3[0-5][0-9]|360)DEG\s+([0-9]|[1-9][0-9])KT((?:\s+[0-9]{4}\s+[0-9]{4,5})+)$"
-
+# Fixed value: the one office east of the date line.
 EAST_OFFICE = "PGUM"
 
 
-def _first(text: Column, pattern: str) -> Column:
-    return F.nullif(F.btrim(F.regexp_extract(text, pattern, 1), F.lit(" \t\n\r\f")), F.lit(""))
-
-
-def _pairs(tokens: Column) -> Column:
-    """Tokens two by two as hundredths of a degree (lat, lon)."""
-    return F.transform(
-        F.sequence(F.lit(1), F.greatest(F.size(tokens).cast("int") / 2, F.lit(1)).cast("int")),
-        lambda i: F.struct(F.try_element_at(tokens, i * 2 - 1).try_cast("int").alias("lat"), F.try_element_at(tokens, i * 2).try_cast("int").alias("lon")),
-    )
-
-
-def _good(tokens: Column) -> Column:
-    """Latitudes of four digits up to 9000 and longitudes of four or five up to 18100 in turn."""
-    shape = F.array_join(tokens, " ").rlike("^[0-9]{4} [0-9]{4,5}(?: [0-9]{4} [0-9]{4,5})*$")
-    return F.when(shape, F.forall(_pairs(tokens), lambda p: (p["lat"] <= 9000) & (p["lon"] <= 18100))).otherwise(False)
-
-
-def polygon(text: Column, most: int = 20) -> Column:
-    """struct(raw, points, ok) of the first polygon of a segment's text, null without one."""
-    raw = _first(text, _LAT_LON)
-    rest = F.substring(raw, 10, 1 << 20)
-    tokens = F.split(F.btrim(rest, F.lit(" \t\n\r\f")), r"[ \t\n\r\f]+")
-    ok = rest.rlike(r"^[ \t\n\r\f]") & _good(tokens) & (F.size(tokens) <= 2 * most)
-    return F.when(raw.isNotNull(), F.struct(raw.alias("raw"), F.when(ok, _pairs(tokens)).alias("points"), ok.alias("ok")))
-
-
-def motion(text: Column) -> Column:
-    """struct(raw, time, direction_degrees, speed_knots, locations, ok) of the first motion line, null without one."""
-    raw = _first(text, _MOTION)
-    part = lambda i: F.regexp_extract(raw, _MOTION_PARTS, i)
-    tokens = F.split(F.btrim(part(4), F.lit(" \t")), r"\s+")
-    ok = raw.rlike(_MOTION_PARTS) & _good(tokens) & (F.size(tokens) <= 2 * 255)
-    return F.when(
-        raw.isNotNull(),
-        F.struct(
-            raw.alias("raw"),
-            F.when(ok, F.concat(part(1), F.lit("Z"))).alias("time"),
-            F.when(ok, part(2).try_cast("int")).alias("direction_degrees"),
-            F.when(ok, part(3).try_cast("int")).alias("speed_knots"),
-            F.when(ok, _pairs(tokens)).alias("locations"),
-            ok.alias("ok"),
-        ),
-    )
-
-
 def longitude(hundredths: Column, office: Column) -> Column:
     """Signed hundredths: values under 40 degrees lack a leading hundred; all but one office lie in the west."""
     full = F.when(hundredths < 4000, hundredths + 10000).otherwise(hundredths)

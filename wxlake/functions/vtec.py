@@ -20,6 +20,11 @@ P_VTEC = rf"^/({_any(codes.EVENT_CLASSES)})\.({_any(codes.ACTIONS)})\.([A-Z]{{4}
 H_VTEC = rf"^/([A-Z0-9]{{5}})\.({_any(codes.FLOOD_SEVERITIES)})\.({_any(codes.FLOOD_CAUSES)})\.({_TIME})\.({_TIME})\.({_TIME})\.({_any(codes.FLOOD_RECORDS)})/$"
 
 
+#: Lines that look like a heading and like an identifier.
+HEADING = r"^[A-Z]{4}[0-9]{2}\s+[A-Z]{4}\s+[0-9]{6}(?:\s+[A-Z0-9]{3})?$"
+IDENTIFIER = r"^[A-Z0-9]{5,6}$"
+
+
 def trimmed(line: Column) -> Column:
     return F.btrim(line, F.lit(_ASCII_SPACE))
 

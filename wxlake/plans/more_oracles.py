@@ -47,6 +47,9 @@ UNION ALL SELECT path, {SECOND_AT}, {SECOND} || '-' || {PURGE} || '-', {SECOND},
     "replay_records": f"WITH {FACTS} SELECT path, 1 AS message_index, {SEQUENCE} AS sequence_number, 'WUUS53' AS ttaaii, office AS cccc, {AWIPS} AS awips_id, {FAMILY} AS family, {SEGMENTS} AS segment_count FROM facts WHERE bad <> 4",
     "action_tags": f"""WITH {FACTS} SELECT path, 1 AS segment_index, action, {ACTION} AS normalized_action, 1 AS vtec_index FROM facts WHERE bad = -1
 UNION ALL SELECT path, {SECOND_AT}, 'NEW', 'new', 1 FROM facts WHERE bad <> 4 AND event_id % 7 = 0""",
+    "hydrologic_pairs": f"""WITH {FACTS} SELECT path, 1 AS segment_index, phenomenon, office[2:4] || 'I2' AS nwsli, {when("issue")} AS "begin", CASE WHEN step = 0 THEN strftime(issue, {STAMP}) ELSE '000000T0000Z' END || '-' || strftime(valid_end, {STAMP}) AS times
+FROM facts WHERE bad = -1 AND phenomenon = 'FL'""",
+    "line_shapes": f"""WITH {FACTS} SELECT path, 1::BIGINT AS headings, (event_id % 13 <> 0)::BIGINT AS identifiers, (bad NOT IN (0, 1))::BIGINT + (event_id % 7 = 0)::BIGINT AS event_codes, (phenomenon = 'FL')::BIGINT AS hydrologic_codes FROM facts""",
     "product_families": _families(),
     "wrapped_messages": f"""WITH {FACTS}, rows AS (SELECT *, event_id % 23 = 0 AS lost FROM facts)
 SELECT replace(path, '.txt', '.xml') AS path, 'xml_stanza' AS input_kind, 'open_interface' AS transport, CASE WHEN NOT lost THEN '7.' || event_id END AS wrapper_id, CASE WHEN NOT lost THEN {when("issue + INTERVAL 90 SECOND")} END AS wrapper_issue,

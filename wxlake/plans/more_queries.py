@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import sql
-from ..functions import codes, geometry, times
+from ..functions import codes, geometry, times, vtec
 from ..operators import archive, reports, summaries
 from ..operators import bulletins as b
 from ..session import settled, shared_dir
@@ -37,6 +37,22 @@ def action_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.segments(_good(spark, sf_dir), ["path"]).select("path", "segment_index", F.explode("actions").alias("a")).select("path", "segment_index", "a.action", "a.normalized_action", "a.vtec_index")
 
 
+def hydrologic_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First event code of a segment with its first hydrologic code, where the phenomenon takes one, read natively."""
+    rows = b.segments(_good(spark, sf_dir), ["path"]).where((F.size("pvtec") > 0) & (F.size("hvtec") > 0))
+    pair = vtec.hydrologic_pair(F.col("pvtec")[0]["raw"], F.col("hvtec")[0]["raw"])
+    rows = rows.select("path", "segment_index", pair.alias("p")).where("p is not null")
+    ends = F.concat_ws("-", times.vtec_time_text(F.col("p.primary.valid_start")), times.vtec_time_text(F.col("p.primary.valid_end")))
+    return rows.select("path", "segment_index", "p.primary.phenomenon", "p.hydrologic.nwsli", text(F.col("p.hydrologic.begin")).alias("begin"), ends.alias("times"))
+
+
+def line_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many lines of each message look like a heading, an identifier, and event or hydrologic codes."""
+    rows = render.messages(spark, sf_dir).select("path", F.explode(F.split("raw", "\n")).alias("line")).withColumn("line", F.btrim("line", F.lit(" \t\r\f")))
+    shapes = {"headings": F.col("line").rlike(vtec.HEADING), "identifiers": F.col("line").rlike(vtec.IDENTIFIER), "event_codes": vtec.is_p_vtec(F.col("line")), "hydrologic_codes": vtec.is_h_vtec(F.col("line"))}
+    return rows.groupBy("path").agg(*(F.count(F.when(c, 1)).alias(k) for k, c in shapes.items()))
+
+
 def product_families(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Families of a bulletin for each identifier, two-letter beginning and title."""
     known = reports.parsed(render.titled(spark))
@@ -286,7 +302,7 @@ def stream_recognised(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        message_summaries, segment_summaries, replay_records, action_tags, product_families, wrapped_messages, wrapped_timeline, scan_totals, scan_errors, error_histogram, counters_json,
+        message_summaries, segment_summaries, replay_records, action_tags, hydrologic_pairs, line_shapes, product_families, wrapped_messages, wrapped_timeline, scan_totals, scan_errors, error_histogram, counters_json,
         split_names, import_counts, manifest, archived_import, verified, verify_counts, first_fingerprints, timeline_first, overlapping_pairs, ring_facts, recent_products, office_products,
         day_products, prune_plan, pruned_archive, sql_functions, stream_frames, stream_archive, stream_routes, stream_recognised,
     )
