@@ -229,7 +229,7 @@ def test_pipeline_equals_its_stages_by_hand(spark, tmp_path):
     every = [*texts, *copies, *private, *odd]
     rows = [(i, t, "en" if t and i < 130 else None, "web", len(t) if t is not None else None) for i, t in enumerate(every)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
-    spark.createDataFrame([(i, 1, int(i in bad)) for i in range(120)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(i, 1, int(i in bad)) for i in range(len(every))], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     docs, kept = spark.read.parquet(f"{tmp_path}/documents.parquet"), []
     for name, stage in corpus_pipeline.STAGES:
         docs = common.written(stage(spark, docs, str(tmp_path)), name)

@@ -103,15 +103,20 @@ def _frequencies(raw: np.ndarray, offsets: np.ndarray, chosen: np.ndarray) -> np
 
 
 def nnpu(text: np.ndarray, feature: np.ndarray, value: np.ndarray, positive: np.ndarray, unlabelled: np.ndarray, prior: float, n_features: int, epochs: int = 60, batches: int = 8, rate: float = 0.05, decay: float = 1e-4, seed: int = 9) -> tuple[np.ndarray, float]:
-    """Minimise the non-negative risk of a linear model with the logistic loss. text is sorted."""
-    n = len(positive)
+    """Minimise the non-negative risk of a linear model with the logistic loss. text is sorted.
+
+    A mini-batch has some 50 positives at least, or all: of fewer, the risk on negatives is below zero by chance too often
+    and training goes back and forth. The number of steps stays the same.
+    """
+    n, steps = len(positive), epochs * batches
+    batches = min(batches, max(1, int(positive.sum()) // 50))
     draw = np.random.default_rng(seed)
     first, last = np.searchsorted(text, np.arange(n)), np.searchsorted(text, np.arange(n), "right")
     w, m, v = np.zeros(n_features + 1), np.zeros(n_features + 1), np.zeros(n_features + 1)
     w[-1] = np.log(prior / (1 - prior))
     step = 0
     where = [np.flatnonzero(positive), np.flatnonzero(unlabelled)]
-    for _ in range(epochs):
+    for _ in range(-(-steps // batches)):
         parts = [np.array_split(draw.permutation(x), batches) for x in where]
         for pos, unl in zip(*parts, strict=True):
             if not len(pos) or not len(unl):
