@@ -2,6 +2,9 @@
 
 Words are runs of bytes other than 0x20 and 0x09-0x0D, with A-Z lower-cased. A word's hash is a
 polynomial over its bytes modulo 2**64, finished by a mixer; it is the same wherever the word stands.
+
+Defined cases: an empty text has no words and no shingles; fewer words than a shingle takes are one shingle; repeated shingles
+count once. Memory is some 40 bytes for each byte of a pass, and a single long text is a pass of its own.
 """
 
 from __future__ import annotations

@@ -2,6 +2,8 @@
 
 The tokenizer drops white space and never merges across it, so a text's ids are those of its words one
 after the other. Texts with white space beyond blanks, tabs and line ends are encoded whole.
+
+Defined cases: a null or empty text has no ids; repeated texts have equal ids; a word of any length is one entry.
 """
 
 from __future__ import annotations
