@@ -35,7 +35,7 @@ def shingle_hashes(text: Column, words: int = 5) -> Column:
         return F.when(F.size(t) == 0, F.array().cast("array<long>")).otherwise(whole)
 
     # Binds the token array once, so that each shingle does not split the text anew.
-    return F.array_sort(F.array_distinct(F.flatten(F.transform(F.array(tokens), shingles))))
+    return F.sort_array(F.array_distinct(F.flatten(F.transform(F.array(tokens), shingles))))
 
 
 def fingerprint(text: Column, k: int = 128, words: int = 5) -> Column:
@@ -44,7 +44,7 @@ def fingerprint(text: Column, k: int = 128, words: int = 5) -> Column:
 
 def merged(a: Column, b: Column, k: int = 128) -> Column:
     """The fingerprint of the union of what two fingerprints stand for."""
-    return F.slice(F.array_sort(F.array_union(a, b)), 1, k)
+    return F.slice(F.sort_array(F.array_union(a, b)), 1, k)
 
 
 def merge_all(fingerprints: DataFrame, key: str, column: str = "fingerprint", k: int = 128) -> DataFrame:
@@ -54,7 +54,7 @@ def merge_all(fingerprints: DataFrame, key: str, column: str = "fingerprint", k:
 
     hashes = fingerprints.select(key, F.explode(column).alias("h")).distinct()
     ranked = hashes.withColumn("r", F.row_number().over(Window.partitionBy(key).orderBy("h"))).where(F.col("r") <= k)
-    return ranked.groupBy(key).agg(F.array_sort(F.collect_list("h")).alias(column))
+    return ranked.groupBy(key).agg(F.sort_array(F.collect_list("h")).alias(column))
 
 
 def resemblance(a: Column, b: Column, k: int = 128) -> Column:
