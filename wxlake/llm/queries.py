@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, common, fingerprints, langid, mih, neardup, packing, pii, toxicity, url_filter
+from . import bpe, chat, common, fingerprints, langid, mih, neardup, packing, pii, repair, toxicity, url_filter, whitening
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -90,7 +90,21 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(common.table(spark, sf_dir, "documents"), k=4)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii, op2_url_filter, op3_fingerprints, op4_packing, op5_language_id, op6_hamming_search, op7_bpe, op8_chat, op9_toxicity, op10_near_dedup)}
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """32 whitened components of every usable vector. Null ids and repeated rows come out like others; components without
+    variance are left out."""
+    rows = common.table(spark, sf_dir, "embeddings")
+    return whitening.whitened(rows, whitening.fit(rows))
+
+
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damage to every conversation and its least repair. Null roles and texts are one space; null turns come first; a null
+    conversation id is a conversation."""
+    turns, gone = repair.damaged(common.table(spark, sf_dir, "conversations"))
+    return repair.repaired(turns, gone)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii, op2_url_filter, op3_fingerprints, op4_packing, op5_language_id, op6_hamming_search, op7_bpe, op8_chat, op9_toxicity, op10_near_dedup, op12_whitening, op13_repair)}
 
 ORACLES: dict[str, str] = {
     "op2_url_filter": r"""
