@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, common, fingerprints, langid, mih, neardup, packing, pii, repair, toxicity, url_filter, whitening
+from . import bpe, chat, common, fingerprints, langid, mih, neardup, ngram_join, packing, pii, repair, toxicity, url_filter, whitening
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -90,6 +90,12 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(common.table(spark, sf_dir, "documents"), k=4)
 
 
+def op11_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of every document by exact links. Texts without words link to nothing; rows with equal ids are one document; a row
+    without an id has no component."""
+    return ngram_join.linked(common.table(spark, sf_dir, "documents"), k=4, threshold=85)
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """32 whitened components of every usable vector. Null ids and repeated rows come out like others; components without
     variance are left out."""
@@ -104,7 +110,23 @@ def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repaired(turns, gone)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii, op2_url_filter, op3_fingerprints, op4_packing, op5_language_id, op6_hamming_search, op7_bpe, op8_chat, op9_toxicity, op10_near_dedup, op12_whitening, op13_repair)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii, op2_url_filter, op3_fingerprints, op4_packing, op5_language_id, op6_hamming_search, op7_bpe, op8_chat, op9_toxicity, op10_near_dedup, op11_ngram_join, op12_whitening, op13_repair)}
+
+#: Components of documents by their links over all pairs.
+ALIKE = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+sets AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(ws) >= 4 THEN list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' '))
+                                    WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS sh FROM words),
+parts AS (SELECT doc_id, len(sh) AS n, unnest(list_transform(sh, lambda s: hash(s))) AS x FROM sets),
+pairs AS (SELECT a.doc_id AS u, b.doc_id AS v, a.n AS n, b.n AS m, count(*) AS c FROM parts a JOIN parts b ON a.x = b.x AND a.doc_id < b.doc_id AND {size} GROUP BY ALL),
+half AS (SELECT u, v FROM pairs WHERE 100 * c >= {threshold} * (n + m - c)),
+links AS (SELECT u, v FROM half UNION ALL SELECT v, u FROM half),
+reach AS (SELECT doc_id AS u, doc_id AS v FROM sets UNION SELECT r.u, l.v FROM reach r JOIN links l ON r.v = l.u)
+SELECT s.doc_id, len(sh)::BIGINT AS n_shingles, c.component_id{more}
+FROM sets s JOIN (SELECT u, min(v) AS component_id FROM reach GROUP BY u) c ON c.u = s.doc_id
+"""
 
 ORACLES: dict[str, str] = {
     "op2_url_filter": r"""
@@ -138,18 +160,6 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
        sum(24 + lead + body)::BIGINT AS formatted_chars
 FROM turns GROUP BY conv_id
 """,
-    "op10_near_dedup": r"""
-WITH RECURSIVE words AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
-sets AS (
-  SELECT doc_id, list_distinct(CASE WHEN len(ws) >= 4 THEN list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' '))
-                                    WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS sh FROM words),
-parts AS (SELECT doc_id, len(sh) AS n, unnest(list_transform(sh, lambda s: hash(s))) AS x FROM sets),
-pairs AS (SELECT a.doc_id AS u, b.doc_id AS v, a.n AS n, b.n AS m, count(*) AS c FROM parts a JOIN parts b ON a.x = b.x AND a.doc_id < b.doc_id AND a.n * 5 >= b.n * 4 AND b.n * 5 >= a.n * 4 GROUP BY ALL),
-half AS (SELECT u, v FROM pairs WHERE 100 * c >= 80 * (n + m - c)),
-links AS (SELECT u, v FROM half UNION ALL SELECT v, u FROM half),
-reach AS (SELECT doc_id AS u, doc_id AS v FROM sets UNION SELECT r.u, l.v FROM reach r JOIN links l ON r.v = l.u)
-SELECT s.doc_id, len(sh)::BIGINT AS n_shingles, c.component_id, s.doc_id = c.component_id AS kept
-FROM sets s JOIN (SELECT u, min(v) AS component_id FROM reach GROUP BY u) c ON c.u = s.doc_id
-""",
+    "op10_near_dedup": ALIKE.format(size="a.n * 5 >= b.n * 4 AND b.n * 5 >= a.n * 4", threshold=80, more=", s.doc_id = c.component_id AS kept"),
+    "op11_ngram_join": ALIKE.format(size="a.n * 20 >= b.n * 17 AND b.n * 20 >= a.n * 17", threshold=85, more=""),
 }
