@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,10 +19,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import settled, spread
+from . import ranges
+from .ranges import MOST_FRAME_BYTES
 from .stanza import stanza
 
-#: Frames longer than this are an error.
-MOST_FRAME_BYTES = 1 << 20
+#: Parts that a stream's messages are dealt over where they meet what is said of the stream.
+SALTS = 32
 SKIPPED = (".git", "target", "__pycache__")
 FRAMED_ENDINGS = ("sbn", "pid201", "bin", "dat", "ldm")
 SOH = b"\x01"
@@ -45,15 +48,33 @@ def hint_of(path: Column) -> Column:
     return F.when(ending == "xml", "xml").when(ending.isin(*FRAMED_ENDINGS), "framed").otherwise("auto")
 
 
-def inputs(spark: SparkSession, path: str, hint: str | None = None) -> DataFrame:
-    """Every file below a path but those in skipped folders. Spark's own listing leaves out names that begin with `_` or `.`."""
+def _plain(path: Column) -> Column:
+    return F.regexp_replace(path, "^[a-z]+:/*", "/")
+
+
+def plain_path(uri: str) -> str:
+    """A file's path from the form that _metadata has."""
+    return unquote(re.sub("^[a-z]+:/*", "/", uri))
+
+
+def _below(path: Column, root: str) -> Column:
+    """A path relative to a folder."""
+    base = _plain(F.lit(root)) if ":" in root else F.lit(root)
+    return F.regexp_replace(F.substring(_plain(path), F.length(base) + 1, F.lit(1 << 20)), "^/+", "")
+
+
+def _skipped(relative: Column) -> Column:
+    return F.arrays_overlap(F.split(relative, "/"), F.array(*map(F.lit, SKIPPED)))
+
+
+def inputs(spark: SparkSession, path: str, hint: str | None = None, wanted: Column | None = None) -> DataFrame:
+    """Every file below a path but those in skipped folders. Spark's own listing leaves out empty files and names that
+    begin with `_` or `.`."""
     root = _root(spark, path)
     read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path if _is_file(spark, path) else root)
-    plain = lambda c: F.regexp_replace(c, "^[a-z]+:/*", "/")
-    base = plain(F.lit(root)) if ":" in root else F.lit(root)
-    relative = F.regexp_replace(F.substring(plain(F.col("path")), F.length(base) + 1, F.lit(1 << 20)), "^/+", "")
-    skipped = F.arrays_overlap(F.split(relative, "/"), F.array(*map(F.lit, SKIPPED)))
-    return read.where(~skipped).select(relative.alias("path"), "content", F.coalesce(F.lit(hint), hint_of(F.col("path"))).alias("hint"))
+    relative = _below(F.col("path"), root)
+    read = read.where(~_skipped(relative)) if wanted is None else read.where(wanted).where(~_skipped(relative))
+    return read.select(relative.alias("path"), "content", F.coalesce(F.lit(hint), hint_of(F.col("path"))).alias("hint"))
 
 
 def _is_file(spark: SparkSession, path: str) -> bool:
@@ -116,6 +137,7 @@ def with_kind(files: DataFrame) -> DataFrame:
     return out.withColumn("transport", F.when(F.col("input_kind") == "xml_stanza", "open_interface").when(F.col("input_kind") == "framed_stream", framed).otherwise("plain_text"))
 
 
+WRAPPER = "struct<type:string,sender:string,recipient:string,summary:string,xhtml_summary:string,cccc:string,ttaaii:string,awips:string,process_id:string,sequence:decimal(20,0)>"
 _SHAPE = ["path", "input_kind", "transport", "message_index", "byte_start", "byte_end", "raw", "wrapper_id", "wrapper_issue", "wrapper", "input_error"]
 
 
@@ -123,7 +145,7 @@ def messages(files: DataFrame) -> DataFrame:
     """Messages of files: raw is the text to parse; input_error says why a file has none."""
     known = with_kind(files)
     none = lambda kind: F.lit(None).cast(kind)
-    wrapper = "struct<type:string,sender:string,recipient:string,summary:string,xhtml_summary:string,cccc:string,ttaaii:string,awips:string,process_id:string,sequence:decimal(20,0)>"
+    wrapper = WRAPPER
     bare = known.where(F.col("input_kind") == "bulletin").select("path", "input_kind", "transport", F.lit(1).alias("message_index"), none("long").alias("byte_start"), none("long").alias("byte_end"), text_of(F.col("content")).alias("raw"), none("string").alias("wrapper_id"), none("timestamp").alias("wrapper_issue"), none(wrapper).alias("wrapper"), none("string").alias("input_error"))
     framed = known.where(F.col("input_kind") == "framed_stream").withColumn("f", frames(F.col("content")))
     over = F.exists("f.chunks", lambda c: c["end"] - c["start"] > MOST_FRAME_BYTES) | (F.col("f.pending") > MOST_FRAME_BYTES)
@@ -139,6 +161,23 @@ def messages(files: DataFrame) -> DataFrame:
     return bare.unionByName(framed).unionByName(xml).select(*_SHAPE)
 
 
+def messages_at(spark: SparkSession, path: str, hint: str | None = None) -> DataFrame:
+    """Messages of the files below a path. Files that are framed by their hint or ending are read in byte ranges, so a stream of
+    any size is many tasks' work; the others are read whole."""
+    if hint not in (None, "framed"):
+        return messages(inputs(spark, path, hint))
+    framed = F.lit(True) if hint else hint_of(F.col("_metadata.file_path")) == "framed"
+    root = _root(spark, path)
+    found = ranges.frames(spark, path if _is_file(spark, path) else root, framed)
+    relative = _below(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))), root)
+    none = lambda kind: F.lit(None).cast(kind)
+    rows = found.withColumn("path", relative).where(~_skipped(F.col("path"))).select(
+        "path", F.lit("framed_stream").alias("input_kind"), F.lit("pid201").alias("transport"), "message_index", "byte_start", "byte_end", text_of(F.col("raw")).alias("raw"),
+        none("string").alias("wrapper_id"), none("timestamp").alias("wrapper_issue"), none(WRAPPER).alias("wrapper"), F.col("error").alias("input_error"),
+    )
+    return rows if hint else messages(inputs(spark, path, None, ~framed)).unionByName(rows)
+
+
 def inspected(rows: DataFrame, per_frame: bool = False) -> DataFrame:
     """Parse messages() and apply the rules of their wrappers and files.
 
@@ -155,9 +194,9 @@ def inspected(rows: DataFrame, per_frame: bool = False) -> DataFrame:
     if per_frame:
         return out
     out = settled(out, "inspected")  # read for the bad frames and for the join
-    # Files with a bad frame are few; the semi-join's side is small, and the plan picks its kind by size.
-    bad = out.where((F.col("input_kind") == "framed_stream") & F.col("error_kind").isNotNull()).select("path").distinct().withColumn("_bad", F.lit(True))
-    out = out.join(bad, "path", "left")
+    # A stream's messages are dealt over SALTS parts, so that a long one does not meet its verdict in one task.
+    bad = out.where((F.col("input_kind") == "framed_stream") & F.col("error_kind").isNotNull()).select("path").distinct().withColumns({"_bad": F.lit(True), "_salt": F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))})
+    out = out.withColumn("_salt", F.pmod("message_index", F.lit(SALTS))).join(bad, ["path", "_salt"], "left").drop("_salt")
     spoilt = F.coalesce("_bad", F.lit(False)) & F.col("error_kind").isNull()
     return out.withColumns({"error_kind": F.when(spoilt, "Rejected").otherwise(F.col("error_kind")), "error_field": F.when(spoilt, "another frame of the file").otherwise(F.col("error_field"))}).drop("_bad")
 
