@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .functions import hashing
 from .operators import archive, reports, summaries
-from .session import settled, ship
+from .session import exists, settled, ship
 from .sources import files
 
 __all__ = [
@@ -28,7 +28,7 @@ __all__ = [
 
 
 def _inspected(spark: SparkSession, path: str, hint: str | None = None, per_frame: bool = False) -> DataFrame:
-    return files.inspected(files.messages(files.inputs(ship(spark), path, hint)), per_frame)
+    return files.inspected(files.messages_at(ship(spark), path, hint), per_frame)
 
 
 def collect_input_paths(spark: SparkSession, path: str) -> list[str]:
@@ -57,34 +57,40 @@ def replay_path(spark: SparkSession, path: str) -> DataFrame:
 
 
 def active_warnings_at(spark: SparkSession, path: str, at: str) -> DataFrame:
-    return reports.with_digests(reports.active_at(files.messages(files.inputs(ship(spark), path)).where("input_error is null"), at))
+    return reports.with_digests(reports.active_at(files.messages_at(ship(spark), path).where("input_error is null"), at))
 
 
 def polygon_timeline(spark: SparkSession, path: str, at: str | None = None) -> DataFrame:
     """Timeline records in their order; of a framed stream, bad frames are left out one by one."""
-    return reports.ordered(reports.timeline(files.messages(files.inputs(ship(spark), path)).where("input_error is null"), at))
+    return reports.ordered(reports.timeline(files.messages_at(ship(spark), path).where("input_error is null"), at))
 
 
 def lead_time_metrics(spark: SparkSession, path: str, event_at: str, lat: float, lon: float) -> DataFrame:
     event = spark.createDataFrame([(1, event_at, lat, lon)], "event int, t string, lat double, lon double")
     event = event.select("event", F.to_timestamp(F.replace(F.rtrim(F.col("t"), F.lit("Z")), F.lit("T"), F.lit(" "))).alias("event_time"), "lat", "lon")
-    records = reports.records(files.messages(files.inputs(ship(spark), path)).where("input_error is null"), event_at)
+    records = reports.records(files.messages_at(ship(spark), path).where("input_error is null"), event_at)
     return reports.lead_times(records, event)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(at)
-
-
 def archive_import(spark: SparkSession, source: str, store: str) -> DataFrame:
-    """Add the messages below a path to an archive (records and manifest below `store`); what happened to each of them."""
-    records = f"{store}/records.parquet"
-    old = spark.read.parquet(records).select("folder", "digest", "bulletin") if _exists(spark, records) else None
-    done = settled(archive.imported(_inspected(spark, source), old), "imported")
+    """Add the messages below a path to an archive; what happened to each of them.
+
+    Below `store` are the records, the manifest and an index of the records' digests in folders by their first two digits.
+    An import reads the index alone, and of it the folders that its own digests name.
+    """
+    place = f"{store}/index.parquet"
+    known = archive.with_digest(_inspected(spark, source)).withColumn("shard", F.substring("digest", 1, 2))
+    old = None
+    if exists(spark, place):
+        known = settled(known, "digests")
+        old = spark.read.schema("folder string, digest string, text_digest string, number int, shard string").parquet(place)
+        old = old.join(F.broadcast(known.select("shard").distinct()), "shard", "left_semi")  # 256 rows at most; prunes folders
+    done = settled(archive.imported(known, old), "imported")
     new = done.where(F.col("action") == "archived")
-    new.select("folder", "digest", "relative_path", "bulletin").write.mode("append").parquet(records)
+    new.select("folder", "digest", "relative_path", "bulletin").write.mode("append").parquet(f"{store}/records.parquet")
     archive.manifest(done).write.mode("append").parquet(f"{store}/manifest.parquet")
+    # Last, so that an import that fails before is done again: records are named by their texts and can be told.
+    new.select(*archive.INDEX, "shard").repartition("shard").write.mode("append").partitionBy("shard").parquet(place)
     return done.select("path", "message_index", "action", "relative_path", "transport", "heading", "family")
 
 

@@ -39,28 +39,34 @@ def with_digest(known: DataFrame) -> DataFrame:
     return known.where(F.col("error_kind").isNull()).withColumns({"digest": hashing.fnv1a(F.col("bulletin")), "folder": folder})
 
 
-def imported(known: DataFrame, archived: DataFrame | None = None) -> DataFrame:
-    """What importing parsed messages does to each: action (archived or duplicate) and relative_path.
+#: What the index of an archive holds of each text: where it is, what its bytes are, and the number of its digest's collision.
+INDEX = ("folder", "digest", "text_digest", "number")
 
-    archived: folder, digest, bulletin of what is there already. Copies are found by one aggregate over texts and a
-    join back; texts that share a digest but differ get the suffixes -1, -2 in order of their first message.
+
+def _name(digest: Column, number: Column) -> Column:
+    return F.concat(digest, F.when(number > 0, F.concat(F.lit("-"), number.cast("string"))).otherwise(""), F.lit(".txt"))
+
+
+def imported(known: DataFrame, index: DataFrame | None = None) -> DataFrame:
+    """What importing parsed messages does to each row: action (archived or duplicate), relative_path, text_digest and number.
+
+    index: INDEX of the texts that are archived already; the texts themselves are not needed. The choice is made on slim
+    keys, row by row, so of repeated rows one is archived; texts and segments are joined back by the row's number. Texts that share
+    a digest but differ get the suffixes -1, -2 behind those of the archive, in the order of their first message.
     """
-    rows = settled(with_digest(known), "digests")  # read for the choice and for the join
-    place = F.struct(F.split("path", "/").alias("p"), F.col("message_index").alias("m"))
-    text = F.sha2("bulletin", 256)
-    rows = rows.withColumns({"_text": text, "_place": place})
-    first = rows.groupBy("folder", "digest", "_text").agg(F.min("_place").alias("_first"))
-    old = None if archived is None else archived.select("folder", "digest", F.sha2("bulletin", 256).alias("_text")).distinct()
-    every = first.withColumn("_old", F.lit(False))
-    if old is not None:
-        every = first.join(old.withColumn("_there", F.lit(True)), ["folder", "digest", "_text"], "full_outer").select("folder", "digest", "_text", "_first", F.coalesce("_there", F.lit(False)).alias("_old"))
+    rows = known if "digest" in known.columns else with_digest(known)
+    rows = settled(rows.withColumns({"text_digest": F.sha2("bulletin", 256), "_row": F.monotonically_increasing_id()}), "digests")
+    text = ["folder", "digest", "text_digest"]
+    slim = rows.select(*text, "_row", F.struct(F.split("path", "/").alias("p"), F.col("message_index").alias("m"), F.col("_row").alias("r")).alias("_place"))
+    first = slim.groupBy(*text).agg(F.min("_place").alias("_first"))
+    every = first.withColumn("number", F.lit(None).cast("int"))
+    if index is not None:
+        every = first.join(index.select(*INDEX), text, "left").unionByName(index.join(first, text, "left_anti").join(first.select("folder", "digest").distinct(), ["folder", "digest"], "left_semi").select(*text, F.lit(None).cast(first.schema["_first"].dataType).alias("_first"), "number"))
     # Texts of one digest: one, but for collisions.
-    listed = every.groupBy("folder", "digest").agg(F.array_sort(F.collect_list(F.struct((~F.col("_old")).alias("fresh"), "_first", "_text"))).alias("t"))
-    numbered = listed.select("folder", "digest", F.posexplode("t").alias("_at", "_x")).select("folder", "digest", "_at", F.col("_x._text").alias("_text"), F.col("_x._first").alias("_first"), (~F.col("_x.fresh")).alias("_old"))
-    out = rows.join(numbered, ["folder", "digest", "_text"])
-    name = F.concat("digest", F.when(F.col("_at") > 0, F.concat(F.lit("-"), F.col("_at").cast("string"))).otherwise(""), F.lit(".txt"))
-    action = F.when(~F.col("_old") & (F.col("_place") == F.col("_first")), "archived").otherwise("duplicate")
-    return out.withColumns({"action": action, "relative_path": F.concat_ws("/", "folder", name)}).drop("_text", "_place", "_first", "_at", "_old")
+    listed = every.groupBy("folder", "digest").agg(F.array_sort(F.collect_list(F.when(F.col("number").isNull(), F.struct("_first", "text_digest")))).alias("fresh"), F.coalesce(F.max("number") + 1, F.lit(0)).alias("base"), F.collect_list(F.when(F.col("number").isNotNull(), F.struct("_first", "text_digest", "number"))).alias("old"))
+    numbered = listed.select("folder", "digest", F.explode(F.concat(F.transform("fresh", lambda x, i: F.struct(x["text_digest"].alias("text_digest"), x["_first"]["r"].alias("keeper"), (F.col("base") + i).cast("int").alias("number"))), F.transform("old", lambda x: F.struct(x["text_digest"].alias("text_digest"), F.lit(None).cast("long").alias("keeper"), x["number"].cast("int").alias("number"))))).alias("x")).select("folder", "digest", "x.*")
+    chosen = slim.join(numbered, text).select("_row", F.when(F.col("_row") == F.col("keeper"), "archived").otherwise("duplicate").alias("action"), F.concat_ws("/", "folder", _name(F.col("digest"), F.col("number"))).alias("relative_path"), "number")
+    return rows.join(chosen, "_row").drop("_row")
 
 
 def manifest(done: DataFrame) -> DataFrame:
@@ -99,19 +105,21 @@ def fingerprinted(known: DataFrame) -> DataFrame:
 
 
 def first_of_each(rows: DataFrame, key: str = "semantic_fingerprint") -> DataFrame:
-    """The first message of each fingerprint, by path and place."""
-    rows, place = settled(rows, "keyed"), F.struct(F.split("path", "/"), F.col("message_index"))
-    first = rows.groupBy(key).agg(F.min_by(F.struct("path", "message_index"), place).alias("_f"))
-    return rows.join(first, key).where((F.col("path") == F.col("_f.path")) & (F.col("message_index") == F.col("_f.message_index"))).drop("_f")
+    """The first message of each fingerprint, by path and place; one row of it, if rows are repeated."""
+    rows = settled(rows.withColumn("_row", F.monotonically_increasing_id()), "keyed")
+    place = F.struct(F.split("path", "/").alias("p"), F.col("message_index").alias("m"), F.col("_row").alias("r"))
+    first = rows.groupBy(key).agg(F.min(place).alias("_f")).select(F.col("_f.r").alias("_row"))
+    return rows.join(first, "_row", "left_semi").drop("_row")
 
 
-def stored(rows: DataFrame, source: str, captured_at: Column | None = None) -> DataFrame:
-    """Fingerprinted messages as archive rows, with the columns that the archive is partitioned by."""
+def stored(rows: DataFrame, source: str, captured_at: Column | None = None, batch: int | None = None) -> DataFrame:
+    """Fingerprinted messages as archive rows, with the columns that the archive is partitioned by. batch: of a stream."""
     at = F.current_timestamp() if captured_at is None else captured_at
     pil = F.coalesce("nnn", F.lit("UNKNOWN"))
     return rows.select(
         F.col("semantic_fingerprint").alias("fingerprint"),
         F.col("path").alias("source_path"),
+        "message_index",
         at.alias("captured_at"),
         F.lit(source).alias("source"),
         F.col("cccc").alias("office"),
@@ -123,6 +131,7 @@ def stored(rows: DataFrame, source: str, captured_at: Column | None = None) -> D
         F.size("parts").alias("segments"),
         F.coalesce("family", F.lit("unknown")).alias("family_name"),
         "bulletin",
+        F.lit(batch).cast("long").alias("batch"),
         F.date_format(at, "yyyy-MM-dd").alias("capture_date"),
         codes.snake(F.coalesce("family", F.lit("unknown"))).alias("family"),
     )

@@ -91,5 +91,16 @@ UNION ALL SELECT path, {SECOND}, office, 'WI', 'NEW', etn, {when("valid_end")} F
     "stream_frames": """SELECT 'streams/' || lpad((event_id // 20)::VARCHAR, 9, '0') || '.sbn' AS stream, count(*) AS frames, 3 + count(*) FILTER (event_id % 20 % 5 = 0) AS junk_bytes, 8 AS pending_bytes, 0::BIGINT AS errors FROM events GROUP BY event_id // 20""",
     "stream_archive": _archived(f"strftime(issue, '%Y-%m-%d') AS capture_date, {SNAKE} AS family, count(*) AS records", "GROUP BY 1, 2"),
     "stream_routes": FIRST["routes"],
+    "stream_fragments": """SELECT 'xmpp/' || lpad((event_id // 50)::VARCHAR, 9, '0') AS stream, 1 + count(*) + count(*) FILTER (event_id % 3 = 0) + count(*) FILTER (event_id % 11 = 0) AS fragments,
+  1 + count(*) + count(*) FILTER (event_id % 3 = 0) + count(*) FILTER (event_id % 11 = 0) AS last, 0::BIGINT AS errors, count(*) FILTER (event_id % 23 <> 0) AS messages, count(*) FILTER (event_id % 23 <> 0) AS wrapper_ids FROM events GROUP BY event_id // 50""",
+    "stream_status": f"""WITH {FACTS}, n AS (SELECT *, CASE WHEN event_id % 2 = 0 THEN 3 ELSE 2 END AS k FROM facts)
+SELECT 'feed' AS feed, 3::BIGINT AS batches, sum(k)::BIGINT AS received, sum(k) FILTER (bad <> 4)::BIGINT AS parsed, coalesce(sum(k) FILTER (bad = 4), 0)::BIGINT AS rejected, count(*) FILTER (bad <> 4) AS archived,
+  (sum(k) FILTER (bad <> 4) - count(*) FILTER (bad <> 4))::BIGINT AS duplicates FROM n""",
+    "repeated_import": f"""WITH {FACTS}, good AS (SELECT path FROM facts WHERE bad <> 4)
+SELECT path, 'archived' AS action, 1::BIGINT AS rows FROM good UNION ALL SELECT path, 'duplicate', 1 FROM good UNION ALL SELECT 'zz/' || path, 'duplicate', 1 FROM good""",
+    "colliding_digests": f"""WITH {FACTS}, good AS (SELECT *, 'records/' || office || '/WUUS53/' || coalesce({AWIPS}, 'NO-AWIPS') AS folder FROM facts WHERE bad <> 4),
+placed AS (SELECT *, row_number() OVER (PARTITION BY folder ORDER BY event_id % 2 DESC, path) - 1 AS k FROM good)
+SELECT path, 'archived' AS action, folder || '/00' || CASE WHEN k > 0 THEN '-' || k ELSE '' END || '.txt' AS relative_path FROM placed""",
+    "stored_streams": """SELECT event_id // 50000 AS stream, count(*)::INTEGER AS frames, (min(event_id) % 5 = 0)::BIGINT AS junk_bytes, 0::BIGINT AS pending_bytes, true AS follow, true AS in_order, true AS whole FROM events GROUP BY event_id // 50000""",
     "stream_recognised": _archived(f"path, {FAMILY} AS family", ""),
 }

@@ -5,16 +5,18 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 
 from .. import sql
 from ..functions import codes, geometry, times, vtec
 from ..operators import archive, reports, summaries
 from ..operators import bulletins as b
 from ..session import settled, shared_dir
-from ..sources import files
-from ..streaming import frames, jobs
+from ..functions.times import utc
+from ..sources import files, ranges
+from ..streaming import frames, jobs, stanzas
 from . import render
 from .queries import AT, _good, _known, text
 
@@ -125,7 +127,8 @@ def archived_import(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An import where every message of an even event is in the archive already."""
     known = settled(_known(spark, sf_dir), "parsed")
     even = F.substring("path", 5, 9).cast("long") % 2 == 0
-    done = archive.imported(known, archive.with_digest(known.where(even)).select("folder", "digest", "bulletin"))
+    before = archive.imported(known.where(even)).where(F.col("action") == "archived")
+    done = archive.imported(known, settled(before.select(*archive.INDEX), "index"))
     return done.select("path", "action")
 
 
@@ -243,60 +246,122 @@ def _folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/wxlake/{name}-{uuid.uuid4().hex}"
 
 
-def _fed(spark: SparkSession, rows: DataFrame, column: str, parts: int) -> DataFrame:
-    """A stream that delivers rows in as many micro-batches as `column` has values (0 .. parts - 1), in their order."""
+def _run(spark: SparkSession, rows: DataFrame, column: str, parts: int, start: Callable[[DataFrame], DataStreamWriter]) -> None:
+    """Run a stream over rows that arrive in as many micro-batches as `column` has values (0 .. parts - 1), in their order and in
+    many files each. Before each one the query starts anew from its checkpoint."""
     path = _folder(spark, "feed")
     rows = settled(rows, "feed_rows")
     for i in range(parts):
-        rows.where(F.col(column) == i).coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        rows.where(F.col(column) == i).write.mode("append").parquet(path)
+        jobs.captured(start(spark.readStream.schema(rows.schema).parquet(path)))
+
+
+def _to_table(out: str, checkpoint: str) -> Callable[[DataFrame], DataStreamWriter]:
+    return lambda rows: rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
+
+
+def _thirds(rows: DataFrame, stream: str) -> DataFrame:
+    """Contents cut into three pieces anywhere."""
+    whole = rows.withColumn("third", (F.octet_length("content") / 3).cast("int"))
+    piece = lambda i: F.expr(f"substring(content, {i} * third + 1, {'third' if i < 2 else 'octet_length(content)'})")
+    return whole.select(F.col(stream).alias("stream"), F.explode(F.array(*(F.struct(F.lit(i).alias("number"), piece(i).alias("bytes")) for i in range(3)))).alias("p")).select("stream", "p.*")
 
 
 def stream_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Framed streams that arrive in three pieces, cut anywhere, each in a micro-batch of its own."""
-    whole = render.streams(render.messages(spark, sf_dir)).withColumn("third", (F.octet_length("content") / 3).cast("int"))
-    piece = lambda i: F.expr(f"substring(content, {i} * third + 1, {'third' if i < 2 else 'octet_length(content)'})")
-    pieces = whole.select(F.col("path").alias("stream"), F.explode(F.array(*(F.struct(F.lit(i).alias("number"), piece(i).alias("bytes")) for i in range(3)))).alias("p")).select("stream", "p.*")
+    pieces = _thirds(render.streams(render.messages(spark, sf_dir)), "path")
     out, checkpoint = _folder(spark, "frames"), _folder(spark, "checkpoint")
-    found = frames.reassembled(_fed(spark, pieces, "number", 3))
-    found.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    _run(spark, pieces, "number", 3, lambda feed: _to_table(out, checkpoint)(frames.reassembled(feed)))
     rows = spark.read.parquet(out)
     told = F.when(F.col("raw").isNull(), F.col("frame_offset"))  # a stream's own row of each micro-batch
     return rows.groupBy("stream").agg(F.count("raw").alias("frames"), F.max("discarded_junk").alias("junk_bytes"), F.max_by("pending_bytes", told).cast("int").alias("pending_bytes"), F.count("error").alias("errors"))
 
 
-def stream_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A feed in three micro-batches, the last of which repeats every message, archived once each; then a second run of
-    the query over nothing new."""
+def stream_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """XML streams of stanzas, other elements and comments that arrive in three pieces, cut anywhere: elements, and messages with
+    a bulletin."""
+    pieces = _thirds(render.stanza_streams(spark, sf_dir), "stream").withColumns({"number": F.col("number").cast("long"), "received_at": utc(AT)})
+    out, checkpoint = _folder(spark, "fragments"), _folder(spark, "checkpoint")
+    _run(spark, pieces, "number", 3, lambda feed: _to_table(out, checkpoint)(stanzas.fragments(feed)))
+    found = settled(spark.read.parquet(out), "fragments")
+    said = stanzas.feed(found).groupBy("path").agg(F.count("*").alias("messages"), F.count_distinct("wrapper_id").alias("wrapper_ids"))
+    counts = found.groupBy("stream").agg(F.count("fragment").alias("fragments"), F.max("number").alias("last"), F.count("error").alias("errors"))
+    return counts.join(said.withColumnRenamed("path", "stream"), "stream", "left").select("stream", "fragments", "last", "errors", F.coalesce("messages", F.lit(0)).alias("messages"), F.coalesce("wrapper_ids", F.lit(0)).alias("wrapper_ids"))
+
+
+def _redelivered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A feed in three micro-batches: even events twice over as repeated rows, odd ones, and all again under other paths."""
     e = render.facts(spark, sf_dir).select("path", F.col("issue").alias("received_at"), (F.col("event_id") % 2).cast("int").alias("batch"))
-    rows = render.messages(spark, sf_dir).join(e, "path")
+    rows = settled(render.messages(spark, sf_dir).join(e, "path"), "feed_rows")
     again = rows.withColumns({"path": F.concat(F.lit("zz/"), "path"), "batch": F.lit(2)})
-    feed = _fed(spark, rows.unionByName(again), "batch", 3)
+    return rows.unionByName(rows.where("batch = 0")).unionByName(again)
+
+
+def stream_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A feed with repeated rows, the last batch of which repeats every message, archived once each."""
     path, checkpoint = _folder(spark, "archive"), _folder(spark, "checkpoint")
-    for _ in range(2):
-        jobs.captured(jobs.started(feed, jobs.archiving(path, "feed"), checkpoint))
+    _run(spark, _redelivered(spark, sf_dir), "batch", 3, lambda feed: jobs.started(feed, jobs.archiving(path, "feed"), checkpoint))
     return spark.read.parquet(path).groupBy(F.col("capture_date").cast("string").alias("capture_date"), "family").agg(F.count("*").alias("records"))
 
 
+def stream_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters of that feed, kept by batch, across the restarts between its batches."""
+    path, checkpoint, kept = _folder(spark, "archive"), _folder(spark, "checkpoint"), _folder(spark, "status")
+    _run(spark, _redelivered(spark, sf_dir), "batch", 3, lambda feed: jobs.started(feed, jobs.lasting(jobs.archiving(path, "feed"), kept, "feed"), checkpoint))
+    return jobs.status(spark, kept).select("feed", "batches", "received", "parsed", "rejected", "archived", "duplicates")
+
+
 def stream_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Routes of a feed in two micro-batches."""
     rules = [{"name": "tornado", "family": "tornado"}, {"name": "marine", "awips_prefix": "MWW"}, {"name": "both", "family": "tornado", "awips_prefix": "TORAA"}]
-    feed = _fed(spark, render.messages(spark, sf_dir).withColumn("batch", (F.col("event_id") % 2).cast("int")), "batch", 2)
+    rows = render.messages(spark, sf_dir).withColumn("batch", (F.col("event_id") % 2).cast("int"))
     path, checkpoint = _folder(spark, "routes"), _folder(spark, "checkpoint")
-    jobs.captured(jobs.started(feed, jobs.routing(rules, path, "rest"), checkpoint))
+    _run(spark, rows, "batch", 2, lambda feed: jobs.started(feed, jobs.routing(rules, path, "rest"), checkpoint))
     return spark.read.parquet(path).groupBy("route").agg(F.count("*").alias("messages"))
 
 
 def stream_recognised(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A feed without an archive, each fingerprint once within an hour: copies that come in the next micro-batch go."""
+    """A feed whose fingerprints are remembered for a time: copies that come in the next micro-batch go, and what is left is archived
+    by a sink that reads the batch's own days only."""
     e = render.facts(spark, sf_dir).select("path", F.col("issue").alias("received_at"))
     rows = render.messages(spark, sf_dir).join(e, "path").withColumn("batch", F.lit(0))
     again = rows.withColumns({"path": F.concat(F.lit("zz/"), "path"), "received_at": F.col("received_at") + F.expr("INTERVAL 5 MINUTES"), "batch": F.lit(1)})
-    out, checkpoint = _folder(spark, "seen"), _folder(spark, "checkpoint")
-    feed = _fed(spark, rows.unionByName(again), "batch", 2)
-    kept = jobs.recognised(feed, "60 days").select("path", "family")
-    kept.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(out)
+    path, checkpoint = _folder(spark, "seen"), _folder(spark, "checkpoint")
+    _run(spark, rows.unionByName(again), "batch", 2, lambda feed: jobs.started(jobs.recognised(feed, "60 days"), jobs.archiving(path, "feed"), checkpoint))
+    return spark.read.parquet(path).select(F.col("source_path").alias("path"), F.col("family_name").alias("family"))
+
+
+def repeated_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every message as two equal rows and a copy: one row of the three is archived."""
+    known = settled(_known(spark, sf_dir), "parsed")
+    done = archive.imported(known.unionByName(known).unionByName(known.withColumn("path", F.concat(F.lit("zz/"), "path"))))
+    return done.groupBy("path", "action").agg(F.count("*").alias("rows"))
+
+
+def colliding_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of records where all texts of a folder have the same digest, imported in two parts: the later part's numbers go on."""
+    known = archive.with_digest(settled(_known(spark, sf_dir), "parsed")).withColumn("digest", F.lit("00"))
+    odd = F.substring("path", 5, 9).cast("long") % 2 == 1
+    before = settled(archive.imported(known.where(odd)), "imported")
+    after = archive.imported(known.where(~odd), before.where("action = 'archived'").select(*archive.INDEX))
+    return before.select("path", "action", "relative_path").unionByName(after.select("path", "action", "relative_path"))
+
+
+def stored_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Framed streams of 50,000 messages, written as files and read again in byte ranges: frames, junk, pending bytes, whether the
+    frames' offsets follow one another, and whether the messages are in their order."""
+    path = _folder(spark, "streams")
+    rows = render.messages(spark, sf_dir).withColumn("stream", F.floor(F.col("event_id") / 50_000))
+    record = F.concat(F.when(F.col("event_id") % 5 == 0, "~").otherwise(""), F.lit("\x01\r\r\n"), F.regexp_replace("raw", "WARNING [0-9]+", F.concat(F.lit("WARNING "), F.lpad(F.col("event_id").cast("string"), 9, "0"))))
+    rows = rows.select("stream", "event_id", record.alias("value")).repartition("stream").sortWithinPartitions("stream", "event_id")
+    rows.select("stream", "value").write.option("lineSep", ranges.END).partitionBy("stream").text(path)
+    found = settled(ranges.frames(spark, path).withColumn("stream", F.regexp_extract("path", "stream=([0-9]+)", 1).cast("long")), "frames")
+    order = Window.partitionBy("stream").orderBy("message_index")
+    number = F.regexp_extract(F.col("raw").cast("string"), "WARNING ([0-9]+)", 1).cast("long")
+    junk = (number % 5 == 0).cast("int")
+    told = found.select("stream", (F.coalesce(F.lag("byte_end").over(order), F.lit(0)) + junk == F.col("byte_start")).alias("follows"), (number > F.coalesce(F.lag(number).over(order), F.lit(-1))).alias("rises"), (F.octet_length("raw") == F.col("byte_end") - F.col("byte_start")).alias("long"))
+    scanned = ranges.scan(spark, path).select(F.regexp_extract("path", "stream=([0-9]+)", 1).cast("long").alias("stream"), "frames", "junk_bytes", "pending_bytes")
+    return scanned.join(told.groupBy("stream").agg(F.every(F.col("follows")).alias("follow"), F.every(F.col("rises")).alias("in_order"), F.every(F.col("long")).alias("whole")), "stream")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -304,6 +369,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         message_summaries, segment_summaries, replay_records, action_tags, hydrologic_pairs, line_shapes, product_families, wrapped_messages, wrapped_timeline, scan_totals, scan_errors, error_histogram, counters_json,
         split_names, import_counts, manifest, archived_import, verified, verify_counts, first_fingerprints, timeline_first, overlapping_pairs, ring_facts, recent_products, office_products,
-        day_products, prune_plan, pruned_archive, sql_functions, stream_frames, stream_archive, stream_routes, stream_recognised,
+        day_products, prune_plan, pruned_archive, sql_functions, stream_frames, stream_fragments, stream_archive, stream_status, stream_routes, stream_recognised,
+        repeated_import, colliding_digests, stored_streams,
     )
 }

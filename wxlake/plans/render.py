@@ -155,3 +155,15 @@ def streams(messages: DataFrame) -> DataFrame:
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", frame.alias("frame")))), lambda x: x["frame"]), "")
     out = messages.groupBy(stream.alias("stream")).agg(F.concat(F.lit("<<<"), joined, F.lit("\x01\r\r\nOPEN")).alias("text"))
     return out.select("stream", F.concat(F.lit("streams/"), _digits(F.col("stream"), 9), F.lit(".sbn")).alias("path"), F.encode("text", "UTF-8").alias("content"))
+
+
+def stanza_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """XML streams of neighbouring messages: stream (50 events each) and content. A head opens each; before every third stanza there
+    is a presence, before every seventh a comment that names a tag, and a stanza without a bulletin follows every eleventh."""
+    rows = wrapped(spark, sf_dir).withColumn("event_id", F.substring("path", 5, 9).cast("long"))
+    more = lambda k, text: F.when(F.col("event_id") % k == 0, text).otherwise("")
+    own = F.concat(more(3, "<presence from='a>b'/>"), more(7, "<!-- <message> -->"), F.decode("content", "UTF-8"), more(11, "<message type='chat'><body>none</body></message>"), F.lit("\n"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", own.alias("t")))), lambda x: x["t"]), "")
+    out = rows.groupBy(F.floor(F.col("event_id") / 50).alias("number")).agg(joined.alias("text"))
+    head = F.lit("<?xml version='1.0'?><stream:stream xmlns:stream='http://etherx.jabber.org/streams'>")
+    return out.select(F.concat(F.lit("xmpp/"), _digits(F.col("number"), 9)).alias("stream"), F.encode(F.concat(head, "text"), "UTF-8").alias("content"))

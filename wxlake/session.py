@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -42,10 +45,42 @@ def shared_dir(spark: SparkSession) -> str:
     return str(held.get()).rstrip("/")
 
 
+_scratch = threading.local()
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that settled() writes inside are deleted at the end; what is returned from inside must not read them."""
+    outer, _scratch.paths = getattr(_scratch, "paths", None), []
+    try:
+        yield
+    finally:
+        made, _scratch.paths = _scratch.paths, outer
+        for path in made:
+            remove(spark, path)
+
+
+def _path(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at, fs = _path(spark, path)
+    return fs.exists(at)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at, fs = _path(spark, path)
+    fs.delete(at, True)
+
+
 def settled(df: DataFrame, name: str) -> DataFrame:
     """The rows as a Parquet table in the shared folder: what is read several times is made once, and an executor that is
     lost costs no more than its own part."""
     path = f"{shared_dir(df.sparkSession)}/wxlake/{name}-{uuid.uuid4().hex}"
+    if getattr(_scratch, "paths", None) is not None:
+        _scratch.paths.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -60,7 +95,7 @@ def spread(df: DataFrame) -> DataFrame:
 def local(cores: str = "*", **conf: str) -> SparkSession:
     """A session for tests and benchmarks on this machine."""
     builder = SparkSession.builder.master(f"local[{cores}]").appName("wxlake")
-    settings = {"spark.sql.shuffle.partitions": "8", "spark.sql.session.timeZone": "UTC", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "8g", "spark.sql.adaptive.enabled": "true"} | conf
+    settings = {"spark.sql.shuffle.partitions": "8", "spark.sql.session.timeZone": "UTC", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "8g", "spark.sql.adaptive.enabled": "true", "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"} | conf
     for k, v in settings.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()

@@ -12,56 +12,75 @@ import time
 from collections.abc import Callable
 from datetime import UTC, datetime, timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 from pyspark.sql.streaming.listener import StreamingQueryListener
 
 from ..operators import archive, reports
+from ..session import exists, scratch, settled
 
 #: How long a feed that is not archived remembers fingerprints.
 MEMORY = "1 hour"
 
 
 def recognised(feed: DataFrame, memory: str = MEMORY) -> DataFrame:
-    """Parsed messages of a feed, each fingerprint once within `memory`: state that expires, for feeds without an archive."""
-    known = archive.fingerprinted(reports.parsed(feed))
+    """Parsed messages of a feed, each fingerprint once within `memory` of its arrival. The state expires, so what a batch costs
+    follows from its own rows; with Spark's RocksDB provider it need not fit in memory."""
+    known = archive.fingerprinted(counted(reports.parsed(feed)))
     return known.withWatermark("received_at", memory).dropDuplicatesWithinWatermark(["semantic_fingerprint"])
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(at)
+def archiving(path: str, source: str, keep_days: int | None = None, duplicates: bool = False, memory_days: int | None = None) -> Callable[[DataFrame, int], dict]:
+    """A sink that adds the messages of a micro-batch to the archive, and tells how many it was given and wrote.
 
-
-def archiving(path: str, source: str, keep_days: int | None = None, duplicates: bool = False, memory_days: int | None = None) -> Callable[[DataFrame, int], None]:
-    """A sink that adds the messages of a micro-batch to the archive.
-
-    Fingerprints that the archive holds are left out by an anti-join, unless `duplicates`; the join reads the two columns
-    fingerprint and capture_date, of the last `memory_days` only where set, which prunes partitions. keep_days prunes
-    the archive itself when a new day begins.
+    It takes a plain feed, whose known fingerprints an anti-join with the archive leaves out (two columns, of the last `memory_days`
+    only where set), or the rows of recognised(), whose state has done so: then only the days that the batch itself has are
+    read, which guards against a batch that is repeated. With `duplicates` every message is kept, and a repeated batch leaves out
+    what its number has written. keep_days prunes the archive itself when a new day begins.
     """
     pruned: list[str] = []
 
-    def write(batch: DataFrame, _: int) -> None:
+    def write(batch: DataFrame, number: int) -> dict:
         spark = batch.sparkSession
-        rows = archive.fingerprinted(reports.parsed(batch))
-        if not duplicates:
-            rows = archive.first_of_each(rows)
-            if _exists(spark, path):
-                seen = spark.read.parquet(path)
-                if memory_days is not None:
-                    seen = seen.where(F.col("capture_date").cast("date") >= F.date_sub(F.current_date(), memory_days))
-                rows = rows.join(seen.select(F.col("fingerprint").alias("semantic_fingerprint")), "semantic_fingerprint", "left_anti")
-        archive.write(archive.stored(rows, source, F.col("received_at")), path)
+        with scratch(spark):
+            told, written = Observation(), Observation()
+            fresh = "semantic_fingerprint" not in batch.columns
+            rows = archive.fingerprinted(_observed(reports.parsed(batch), told)) if fresh else batch
+            seen = spark.read.parquet(path) if exists(spark, path) else None
+            if duplicates:
+                rows = settled(rows, "batch")
+                if seen is not None:
+                    own = seen.where(F.col("batch") == number).select(F.col("fingerprint").alias("semantic_fingerprint"), F.col("source_path").alias("path"), "message_index").distinct()
+                    rows = rows.join(own, ["semantic_fingerprint", "path", "message_index"], "left_anti")
+            else:
+                rows = archive.first_of_each(rows) if fresh else settled(rows, "batch")
+                if seen is not None:
+                    if not fresh:
+                        days = rows.select(F.date_format("received_at", "yyyy-MM-dd").alias("capture_date")).distinct()
+                        seen = seen.withColumn("capture_date", F.col("capture_date").cast("string")).join(days, "capture_date", "left_semi")
+                    elif memory_days is not None:
+                        seen = seen.where(F.col("capture_date").cast("date") >= F.date_sub(F.current_date(), memory_days))
+                    rows = rows.join(seen.select(F.col("fingerprint").alias("semantic_fingerprint")), "semantic_fingerprint", "left_anti")
+            archive.write(archive.stored(rows, source, F.col("received_at"), number).observe(written, F.count("*").alias("archived"), F.date_format(F.max("captured_at"), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("last_message_at")), path)
         today = datetime.now(UTC).date()
         if keep_days is not None and pruned[-1:] != [str(today)]:
             archive.prune(spark, path, str(today - timedelta(days=keep_days)))
             pruned.append(str(today))
+        return (_metrics(told) if fresh else {}) | {"archived": 0} | _metrics(written)
 
     return write
 
 
+def _metrics(seen: Observation) -> dict:
+    """What was observed. Where adaptive execution proves rows empty it drops the observation with them."""
+    try:
+        return seen.get
+    except Py4JJavaError:
+        return {}
+
+
 def routing(rules: list[dict], path: str, default: str | None = None) -> Callable[[DataFrame, int], None]:
     """A sink that writes each message below route=NAME for every rule that fits. A batch overwrites its own part when
     it is repeated."""
@@ -74,6 +93,31 @@ def routing(rules: list[dict], path: str, default: str | None = None) -> Callabl
     return write
 
 
+#: Counters that lasting() keeps besides the number of batches.
+LASTING = ("received", "parsed", "rejected", "bytes", "archived")
+
+
+def lasting(sink: Callable[[DataFrame, int], dict], path: str, name: str) -> Callable[[DataFrame, int], dict]:
+    """The sink, whose counters are kept below a path by feed and batch: they outlast restarts, and a batch that is repeated
+    overwrites its own, so nothing counts twice."""
+
+    def write(batch: DataFrame, number: int) -> dict:
+        told = sink(batch, number)
+        row = (number, *(told.get(c) for c in LASTING), told.get("last_message_at"))
+        kind = "batch long, " + ", ".join(f"{c} long" for c in LASTING) + ", last_message_at string"
+        batch.sparkSession.createDataFrame([row], kind).coalesce(1).write.mode("overwrite").parquet(f"{path}/feed={name}/number={number}")
+        return told
+
+    return write
+
+
+def status(spark: SparkSession, path: str) -> DataFrame:
+    """What lasting() has counted, one row a feed."""
+    rows = spark.read.parquet(path)
+    duplicates = F.sum("parsed") - F.coalesce(F.sum("archived"), F.lit(0))
+    return rows.groupBy("feed").agg(F.count("*").alias("batches"), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in LASTING), F.coalesce(duplicates, F.lit(0)).alias("duplicates"), F.max("last_message_at").alias("last_message_at"))
+
+
 def started(rows: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, name: str | None = None) -> DataStreamWriter:
     """A writer of micro-batches into a sink; the caller chooses its trigger."""
     writer = rows.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
@@ -94,8 +138,12 @@ def captured(writer: DataStreamWriter, seconds: float | None = None) -> bool:
 
 def counted(known: DataFrame, name: str = "ingest") -> DataFrame:
     """Parsed messages, observed: what Counters sums up."""
+    return _observed(known, name)
+
+
+def _observed(known: DataFrame, by: str | Observation) -> DataFrame:
     good = F.col("error_kind").isNull()
-    return known.observe(name, F.count("*").alias("received"), F.count(F.when(good, 1)).alias("parsed"), F.count(F.when(~good, 1)).alias("rejected"), F.coalesce(F.sum(F.octet_length("raw")), F.lit(0)).alias("bytes"))
+    return known.observe(by, F.count("*").alias("received"), F.count(F.when(good, 1)).alias("parsed"), F.count(F.when(~good, 1)).alias("rejected"), F.coalesce(F.sum(F.octet_length("raw")), F.lit(0)).alias("bytes"))
 
 
 class Counters(StreamingQueryListener):
