@@ -1,12 +1,12 @@
 """The command line: python -m wxlake COMMAND PATH ... [--format text|json|jsonl|tool-result] [--out TABLE]
 
-A report goes to a Parquet table with --out; without it, its rows (at most --most) are printed.
+A report goes to a Parquet table with --out; without it, json and jsonl print every row as it comes, while text and tool-result,
+which need all rows at once, are an error beyond --most. What could not be read is told on the error output.
 """
 
 from __future__ import annotations
 
 import argparse
-import json
 import sys
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,7 +30,7 @@ def _arguments(given: list[str] | None) -> argparse.Namespace:
         own.add_argument("--most", type=int, default=10_000)
 
     at = ("--at", {"required": True})
-    for name in ("inspect", "replay", "scan", "split", "archive-verify"):
+    for name in ("inspect", "replay", "scan", "summary", "split", "archive-verify"):
         command(name)
     command("active-at", at)
     command("timeline", ("--at", {}))
@@ -48,6 +48,8 @@ def _report(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
             return api.replay_path(spark, a.path)
         case "scan":
             return api.scan_path(spark, a.path)["counts"]
+        case "summary":
+            return api.scan_path(spark, a.path)["families"]
         case "split":
             return api.split_pid201(spark, a.path)
         case "active-at":
@@ -73,14 +75,26 @@ def main(given: list[str] | None = None, spark: SparkSession | None = None) -> i
     if a.out:
         rows.write.parquet(a.out)
         return 0
+    if a.command in ("active-at", "timeline", "lead-time"):
+        for line in summaries.as_json(api.input_failures(spark, a.path)).toLocalIterator():
+            print(line.value, file=sys.stderr)
     if a.format == "text":
-        rows.show(min(a.most, 1000), truncate=80)
-        return 0
-    if a.format == "tool-result":
-        print(summaries.enveloped(rows, a.command, "messages" if a.command == "inspect" else "records", {"source_path": a.path}, {"command": a.command}, a.most))
-        return 0
-    lines = [r.value for r in summaries.as_json(rows).limit(a.most).collect()]
-    print("\n".join(lines) if a.format == "jsonl" else json.dumps([json.loads(x) for x in lines]))
+        rows = settled(rows, "report")
+        if rows.count() > a.most:
+            raise SystemExit(f"more than {a.most} rows: choose another format or --out")
+        rows.show(a.most, truncate=80)
+    elif a.format == "tool-result":
+        key = {"inspect": "messages", "active-at": "warnings", "timeline": "timeline", "archive-import": "actions"}.get(a.command, "records")
+        print(summaries.enveloped(rows, a.command, key, {"source_path": a.path}, {"command": a.command}, a.most))
+    elif a.format == "jsonl":
+        for line in summaries.as_json(rows).toLocalIterator():
+            print(line.value)
+    else:
+        mark = "["
+        for line in summaries.as_json(rows).toLocalIterator():
+            print(mark + line.value)
+            mark = ","
+        print("[]" if mark == "[" else "]")
     return 0
 
 

@@ -9,6 +9,7 @@ from .functions import hashing
 from .operators import archive, reports, summaries
 from .session import exists, settled, ship
 from .sources import files
+from .sources.stanza import stanza
 
 __all__ = [
     "active_warnings_at",
@@ -16,14 +17,19 @@ __all__ = [
     "archive_prune_plan",
     "archive_verify",
     "collect_input_paths",
+    "input_failures",
+    "inspect_bytes",
     "inspect_path",
     "inspect_text",
     "lead_time_metrics",
+    "parse_bulletin",
+    "parse_oi",
     "polygon_timeline",
     "replay_path",
     "scan_path",
     "semantic_fingerprint",
     "split_pid201",
+    "write_pid201_split",
 ]
 
 
@@ -46,6 +52,28 @@ def inspect_text(spark: SparkSession, text: str) -> DataFrame:
     return summaries.message_summaries(reports.parsed(row))
 
 
+def inspect_bytes(spark: SparkSession, content: bytes, hint: str = "auto") -> DataFrame:
+    """Summaries of the messages in a file's bytes."""
+    row = ship(spark).createDataFrame([("", bytearray(content), hint)], "path string, content binary, hint string")
+    return summaries.message_summaries(files.inspected(files.messages(row)))
+
+
+def parse_bulletin(spark: SparkSession, text: str) -> DataFrame:
+    """One row with all columns of a bulletin, or its error."""
+    return reports.parsed(ship(spark).createDataFrame([("", 1, text)], "path string, message_index int, raw string"))
+
+
+def parse_oi(spark: SparkSession, xml: str) -> DataFrame:
+    """One row with the fields of a stanza and its wrapped bulletin, or its error."""
+    return ship(spark).createDataFrame([(xml,)], "xml string").select(stanza(F.col("xml")).alias("s")).select("s.*")
+
+
+def write_pid201_split(spark: SparkSession, path: str, out: str) -> DataFrame:
+    """The messages of framed streams as a table below `out`, each with the file name that it is split to."""
+    split_pid201(spark, path).write.mode("append").parquet(out)
+    return spark.read.parquet(out)
+
+
 def scan_path(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """Counts by kind and transport, families, totals, and the files that failed."""
     known = settled(_inspected(spark, path), "scan")
@@ -57,7 +85,13 @@ def replay_path(spark: SparkSession, path: str) -> DataFrame:
 
 
 def active_warnings_at(spark: SparkSession, path: str, at: str) -> DataFrame:
-    return reports.with_digests(reports.active_at(files.messages_at(ship(spark), path).where("input_error is null"), at))
+    messages = files.messages_at(ship(spark), path).where("input_error is null")
+    return reports.with_digests(settled(reports.active_at(messages, at), "active"), messages).orderBy("key")
+
+
+def input_failures(spark: SparkSession, path: str) -> DataFrame:
+    """Files and messages below a path that active_warnings_at, polygon_timeline and lead_time_metrics leave out, and why."""
+    return summaries.error_rows(_inspected(spark, path, per_frame=True))
 
 
 def polygon_timeline(spark: SparkSession, path: str, at: str | None = None) -> DataFrame:

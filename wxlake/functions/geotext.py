@@ -19,3 +19,9 @@ def longitude(hundredths: Column, office: Column) -> Column:
 def degrees(points: Column, office: Column) -> Column:
     """Points of hundredths as array<struct<lat float, lon float>>."""
     return F.transform(points, lambda p: F.struct((p["lat"] / 100).cast("float").alias("lat"), (longitude(p["lon"], office) / 100).cast("float").alias("lon")))
+
+
+def longitude_of(hundredths: int, office: str) -> int:
+    """longitude() of one number, for table functions."""
+    full = hundredths + 10_000 if hundredths < 4000 else hundredths
+    return full if office == EAST_OFFICE else -full

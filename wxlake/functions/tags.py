@@ -54,9 +54,9 @@ def of_line(line: str) -> list[tuple[str, float | None, str | None]]:
     out += [("flash_flood_observed", None, None)] if "FLASH FLOOD...OBSERVED" in u else []
     out += [("flash_flood_emergency", None, None)] if u.startswith("FLASH FLOOD EMERGENCY") else []
     hail = _number(u, "HAIL...", "IN", _FLOAT) or _number(u, "MAX HAIL SIZE...", "IN", _FLOAT)
-    wind = _number(u, "WIND...", "MPH", _INT) or _number(u, "MAX WIND GUST...", "MPH", _INT)
+    winds = [n for prefix in ("WIND...", "MAX WIND GUST...") if (n := _number(u, prefix, "MPH", _INT)) and int(n) < 1 << 16]
     out += [("hail_inches", hundredths(hail), None)] if hail else []
-    out += [("wind_mph", float(wind), None)] if wind and int(wind) < 1 << 16 else []
+    out += [("wind_mph", float(winds[0]), None)] if winds else []
     if "DAMAGE THREAT" in u:
         out += [("damage_threat", None, w) for w in ("CONSIDERABLE", "SIGNIFICANT", "DESTRUCTIVE", "CATASTROPHIC") if w in u]
     return out + [("damage_threat", None, w) for w in ("SIGNIFICANT", "GENERAL") if f"SNOW SQUALL IMPACT...{w}" in u]

@@ -18,7 +18,7 @@ from ..session import settled
 from . import bulletins as b
 
 TERMINAL = ("CAN", "EXP")
-_KEYS = ["path", "message_index", "wrapper_id", "wrapper_issue", "heading", "yygggg", "cccc", "awips_id", "family", "bulletin"]
+_KEYS = ["path", "message_index", "wrapper_id", "wrapper_issue", "heading", "yygggg", "cccc", "awips_id", "family"]
 
 
 def parsed(messages: DataFrame) -> DataFrame:
@@ -102,15 +102,18 @@ def _active(known: DataFrame, at: str) -> DataFrame:
         "headline",
         F.col("tags.tornado_tag").alias("tornado_tag"),
         F.col("tags.damage_threat").alias("damage_threat"),
-        "bulletin",
     )
     best = rows.groupBy("key").agg(F.max_by(record, order()).alias("r")).where(~F.col("r.action").isin(*TERMINAL))
     return best.select("key", "r.*").orderBy("key")
 
 
-def with_digests(records: DataFrame) -> DataFrame:
-    """Replace the bulletin of records by its digests; only records that are left over pay for them."""
-    return records.withColumns({"raw_bulletin_blake3": hashing.blake3("bulletin"), "archive_id": hashing.fnv1a(F.col("bulletin"))}).drop("bulletin")
+def with_digests(records: DataFrame, messages: DataFrame) -> DataFrame:
+    """Add the digests of the records' texts. Records carry no text; those that are left over fetch it from the messages and parse
+    it again, so no other exchange of a report moves texts."""
+    place = ["path", "message_index"]
+    texts = messages.join(records.select(*place).distinct(), place, "left_semi").dropDuplicates(place)
+    read = b.products(texts.select(*place, "raw")).select(*place, hashing.blake3("bulletin").alias("raw_bulletin_blake3"), hashing.fnv1a(F.col("bulletin")).alias("archive_id"))
+    return records.join(read, place, "left")
 
 
 def active_counts(messages: DataFrame, at: str) -> DataFrame:
@@ -180,7 +183,6 @@ def records(messages: DataFrame, at: str | None = None) -> DataFrame:
         geotext.degrees(F.col("lat_lon.points"), F.col("cccc")).alias("polygon"),
         F.col("lat_lon.raw").alias("polygon_raw"),
         F.when(F.col("motion").isNotNull(), F.struct("motion.raw", "motion.time", "motion.direction_degrees", "motion.speed_knots", geotext.degrees(F.col("motion.locations"), F.col("cccc")).alias("locations"))).alias("time_mot_loc"),
-        "bulletin",
     )
 
 
@@ -304,11 +306,21 @@ def lead_times(rows: DataFrame, events: DataFrame) -> DataFrame:
     )
 
 
-def merged_intervals(spans: DataFrame, keys: list[str]) -> DataFrame:
-    """Intervals (start, end) of each key, those that overlap or touch made one."""
+def merged_intervals(spans: DataFrame, keys: list[str], days: int = 1) -> DataFrame:
+    """Intervals (start, end) of each key, those that overlap or touch made one.
+
+    Islands are formed among the intervals that begin in the same slice of `days`, then islands of neighbouring slices are
+    joined. So a key with a large share of all intervals is many tasks' work, and its second step orders islands only, of which a
+    slice leaves one unless nothing was in effect between.
+    """
+    slice_ = F.floor(F.unix_seconds("start") / (86_400 * days)).alias("_slice")
+    spans = spans.select(*keys, "start", "end", slice_).distinct()
+    return _islands(_islands(spans, [*keys, "_slice"]), keys)
+
+
+def _islands(spans: DataFrame, keys: list[str]) -> DataFrame:
     from pyspark.sql import Window
 
-    spans = spans.select(*keys, "start", "end").distinct()
     by_start = Window.partitionBy(*keys).orderBy("start", "end")
     reach = F.max("end").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
     fresh = spans.withColumn("_new", (reach.isNull() | (F.col("start") > reach)).cast("int"))
@@ -356,26 +368,51 @@ def pair_metrics(pairs: DataFrame, left: str = "left", right: str = "right") ->
     return out.withColumn("area_time_overlap_ratio", geometry.share(F.col("overlap_area_time_square_degree_seconds"), F.col("union_area_time_square_degree_seconds")))
 
 
-def overlapping_pairs(rows: DataFrame, hours: int = 24) -> DataFrame:
+def overlapping_pairs(rows: DataFrame) -> DataFrame:
     """Pairs (left, right; the smaller record key is left) of records of different events whose intervals and boxes overlap.
 
-    Records meet by an equi-join on a cell of one degree and a slice of `hours` of their interval, of which a warning has a
-    few; a pair that shares several counts once. Only records with a valid ring take part.
+    Boxes have a home grid, the finest whose cells are no smaller, and intervals a home slicing likewise, so each record has at most
+    four cells and two slices at home; a world-wide or year-long one as well. It is shown on the coarser grids and slicings that
+    are some record's home too, and a pair meets where the coarser home of each kind is: one equi-join for records at home on
+    both, one for a wide short record and a small long one. Of the cells and slices that a pair shares, the one
+    that holds the lower corner of its overlap gives the pair, so pairs come out once without a grouping. Only records
+    with a valid ring take part; the join moves boxes and keys, and the pairs fetch their records behind it.
     """
     start, end = interval()
     own = settled(rows.withColumns({"start": start, "end": end, "ring": geometry.with_area(geometry.ring(F.col("polygon")))}).where("start is not null and ring is not null").withColumn("box", geometry.box(F.col("ring"))), "warnings")
-    first, last = (F.floor(F.unix_seconds(F.col(c)) / (3600 * hours)) for c in ("start", "end"))
-    keys = own.select("record_key", "event_id", "start", "end", "box", F.explode(F.sequence(first, last)).alias("slice"))
-    grid = F.explode(F.flatten(F.transform(F.sequence(F.floor("box.south"), F.floor("box.north")), lambda y: F.transform(F.sequence(F.floor("box.west"), F.floor("box.east")), lambda x: F.struct(y.alias("y"), x.alias("x"))))))
-    keys = keys.withColumn("cell", grid)
-    a, b_ = keys.alias("a"), keys.alias("b")
-    meets = (F.col("a.start") < F.col("b.end")) & (F.col("b.start") < F.col("a.end"))
-    for low, high in (("south", "north"), ("west", "east")):
-        meets = meets & (F.col(f"a.box.{low}") <= F.col(f"b.box.{high}")) & (F.col(f"b.box.{low}") <= F.col(f"a.box.{high}"))
-    both = a.join(b_, (F.col("a.cell") == F.col("b.cell")) & (F.col("a.slice") == F.col("b.slice")) & (F.col("a.record_key") < F.col("b.record_key")) & (F.col("a.event_id") != F.col("b.event_id")) & meets)
-    both = both.select(F.col("a.record_key").alias("l"), F.col("b.record_key").alias("r")).distinct()
+    size = F.greatest(F.col("box.north") - F.col("box.south"), F.col("box.east") - F.col("box.west"), F.lit(1.0))
+    hours = F.greatest((F.unix_seconds("end") - F.unix_seconds("start")) / 3600, F.lit(1.0))
+    slim = own.select("record_key", "event_id", "start", "end", "box", F.ceil(F.log2(size)).cast("int").alias("grid"), F.ceil(F.log2(hours)).cast("int").alias("slicing"))
+    slim = settled(slim, "boxes")
+    # Homes are few whatever the number of records: 9 grids, and a slicing for each doubling of an hour.
+    grids, slicings = (slim.select(F.col(c).alias(f"{c}_")).distinct() for c in ("grid", "slicing"))
+    shown = slim.join(F.broadcast(grids), F.col("grid_") >= F.col("grid")).join(F.broadcast(slicings), F.col("slicing_") >= F.col("slicing"))
+    side, length = F.pow(F.lit(2.0), F.col("grid_")), 3600 * F.pow(F.lit(2.0), F.col("slicing_"))
+    between = lambda low, high, unit: F.sequence(F.floor(low / unit), F.floor(high / unit))
+    shown = shown.withColumn("y", F.explode(between(F.col("box.south"), F.col("box.north"), side))).withColumn("x", F.explode(between(F.col("box.west"), F.col("box.east"), side)))
+    shown = shown.withColumn("t", F.explode(between(F.unix_seconds("start"), F.unix_seconds("end"), length)))
+    home_grid, home_slicing = F.col("grid") == F.col("grid_"), F.col("slicing") == F.col("slicing_")
+    cell = ["grid_", "slicing_", "y", "x", "t"]
+
+    def met(one: DataFrame, other: DataFrame, once: Column) -> DataFrame:
+        a, b_ = one.alias("a"), other.alias("b")
+        latest = lambda c: F.greatest(F.col(f"a.{c}"), F.col(f"b.{c}"))
+        owner = (F.floor(latest("box.south") / F.pow(F.lit(2.0), F.col("a.grid_"))) == F.col("a.y")) & (F.floor(latest("box.west") / F.pow(F.lit(2.0), F.col("a.grid_"))) == F.col("a.x"))
+        owner = owner & (F.floor(F.unix_seconds(latest("start")) / (3600 * F.pow(F.lit(2.0), F.col("a.slicing_")))) == F.col("a.t"))
+        meets = (F.col("a.start") < F.col("b.end")) & (F.col("b.start") < F.col("a.end")) & (F.col("a.event_id") != F.col("b.event_id"))
+        for low, high in (("south", "north"), ("west", "east")):
+            meets = meets & (F.col(f"a.box.{low}") <= F.col(f"b.box.{high}")) & (F.col(f"b.box.{low}") <= F.col(f"a.box.{high}"))
+        on = meets & owner & once
+        for c in cell:
+            on = on & (F.col(f"a.{c}") == F.col(f"b.{c}"))
+        keys = [F.col("a.record_key"), F.col("b.record_key")]
+        return a.join(b_, on).select(F.least(*keys).alias("l"), F.greatest(*keys).alias("r"))
+
+    both_home = (F.col("b.grid") == F.col("b.grid_")) & (F.col("b.slicing") == F.col("b.slicing_"))
+    pairs = met(shown.where(home_grid & home_slicing), shown, ~both_home | (F.col("a.record_key") < F.col("b.record_key")))
+    pairs = pairs.unionByName(met(shown.where(home_grid & ~home_slicing), shown.where(~home_grid & home_slicing), F.lit(True)))
     sides = [own.drop("ring", "box", "start", "end").select(F.col("record_key").alias(k), F.struct("*").alias(c)) for k, c in (("l", "left"), ("r", "right"))]
-    return both.join(sides[0], "l").join(sides[1], "r").select("left", "right")
+    return pairs.join(sides[0], "l").join(sides[1], "r").select("left", "right")
 
 
 # --- counts

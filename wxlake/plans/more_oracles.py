@@ -25,8 +25,8 @@ STREAMS = "streams AS (SELECT event_id // 20 AS stream, count(*) AS n, count(*)
 def _families() -> str:
     rows = [(c, f) for f, own in codes.PRODUCT_FAMILIES.items() for c in own.split()] + [(f"{p}Q", f) for p, f in codes.PREFIX_FAMILIES.items()] + [("QQQ", "unknown")]
     rows += [(None, f) for f in codes.TITLE_FAMILIES.values()] + [(None, "unknown")]
-    listed = ", ".join(f"('p/{i:04}', {'NULL' if c is None else repr(c)}, '{f}')" for i, (c, f) in enumerate(rows))
-    return f"SELECT path, nnn::VARCHAR AS nnn, family, replace(family, '-', '_') AS snake FROM (VALUES {listed}) v(path, nnn, family)"
+    listed = ", ".join(f"({i}, {'NULL' if c is None else repr(c)}, '{f}')" for i, (c, f) in enumerate(rows))
+    return f"SELECT 'p/' || lpad(event_id::VARCHAR, 9, '0') AS path, nnn::VARCHAR AS nnn, family, replace(family, '-', '_') AS snake FROM events JOIN (VALUES {listed}) v(kind, nnn, family) ON event_id % {len(rows)} = kind"
 
 
 def _archived(columns: str, rest: str) -> str:
@@ -88,6 +88,9 @@ FROM events JOIN (VALUES {_SHAPES}) v(i, shape, area, corners, crosses, convex,
     "pruned_archive": _archived("strftime(issue, '%Y-%m-%d') AS capture_date, count(*) AS records", "AND issue >= '2024-01-15' GROUP BY 1"),
     "sql_functions": f"""WITH {FACTS} SELECT path, ugcs, office, phenomenon, action, etn, {when("valid_end")} AS valid_end FROM coded WHERE bad = -1
 UNION ALL SELECT path, {SECOND}, office, 'WI', 'NEW', etn, {when("valid_end")} FROM coded WHERE bad <> 4 AND event_id % 7 = 0""",
+    "lateral_segments": f"""WITH {FACTS} SELECT path, 1 AS segment_index, ugcs, CASE WHEN bad = -1 THEN phenomenon END AS phenomenon, CASE WHEN bad = -1 THEN etn END AS etn, CASE WHEN bad = -1 THEN 'WARNING ' || event_id || ' IN EFFECT' END AS headline,
+  4 AS corners, lat::BIGINT AS lat, -lon::BIGINT AS lon FROM coded WHERE bad NOT IN (2, 3, 4)
+UNION ALL SELECT path, {SECOND_AT}, {SECOND}, 'WI', etn, 'WIND ADVISORY', NULL, NULL, NULL FROM coded WHERE bad <> 4 AND event_id % 7 = 0""",
     "stream_frames": """SELECT 'streams/' || lpad((event_id // 20)::VARCHAR, 9, '0') || '.sbn' AS stream, count(*) AS frames, 3 + count(*) FILTER (event_id % 20 % 5 = 0) AS junk_bytes, 8 AS pending_bytes, 0::BIGINT AS errors FROM events GROUP BY event_id // 20""",
     "stream_archive": _archived(f"strftime(issue, '%Y-%m-%d') AS capture_date, {SNAKE} AS family, count(*) AS records", "GROUP BY 1, 2"),
     "stream_routes": FIRST["routes"],

@@ -56,8 +56,8 @@ def line_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def product_families(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Families of a bulletin for each identifier, two-letter beginning and title."""
-    known = reports.parsed(render.titled(spark))
+    """Families of bulletins whose identifier, two-letter beginning or title follows from the event."""
+    known = reports.parsed(render.titled(spark, sf_dir))
     return known.select("path", "nnn", "family", codes.snake(F.col("family")).alias("snake"))
 
 
@@ -228,14 +228,36 @@ def pruned_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path).groupBy(F.col("capture_date").cast("string").alias("capture_date")).agg(F.count("*").alias("records"))
 
 
+def _asked(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
+    """SQL over the messages with the parsers as functions; names that it needs are gone from the session afterwards."""
+    view = f"wx_{uuid.uuid4().hex}"
+    sql.register(spark)
+    render.messages(spark, sf_dir).createOrReplaceTempView(view)
+    try:
+        return spark.sql(text.format(messages=view))
+    finally:
+        spark.catalog.dropTempView(view)
+        sql.unregister(spark)
+
+
 def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The parsers called from SQL."""
-    sql.register(spark)
-    render.messages(spark, sf_dir).createOrReplaceTempView("wx_messages")
-    return spark.sql(
-        "WITH p AS (SELECT path, parse_bulletin(raw) AS m FROM wx_messages), s AS (SELECT path, explode(m.parts) AS s FROM p WHERE m.error_kind IS NULL), "
+    return _asked(
+        spark,
+        sf_dir,
+        "WITH p AS (SELECT path, parse_bulletin(raw) AS m FROM {messages}), s AS (SELECT path, explode(m.parts) AS s FROM p WHERE m.error_kind IS NULL), "
         "c AS (SELECT path, parse_ugc(s.ugc) AS u, parse_pvtec(s.pvtec[0].raw) AS v FROM s WHERE size(s.pvtec) > 0) "
-        "SELECT path, array_join(u, ',') AS ugcs, v.office, v.phenomenon, v.action, v.etn, date_format(v.valid_end, \"yyyy-MM-dd'T'HH:mm:ss'Z'\") AS valid_end FROM c"
+        "SELECT path, array_join(u, ',') AS ugcs, v.office, v.phenomenon, v.action, v.etn, date_format(v.valid_end, \"yyyy-MM-dd'T'HH:mm:ss'Z'\") AS valid_end FROM c",
+    )
+
+
+def lateral_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments by a lateral join with the table function."""
+    return _asked(
+        spark,
+        sf_dir,
+        "SELECT path, segment_index, array_join(ugcs, ',') AS ugcs, try_element_at(codes, 1).phenomenon AS phenomenon, try_element_at(codes, 1).etn AS etn, CASE WHEN size(codes) > 0 THEN headline END AS headline, size(polygon) AS corners, "
+        "cast(round(polygon[0].lat * 100) AS bigint) AS lat, cast(round(polygon[0].lon * 100) AS bigint) AS lon FROM {messages}, LATERAL parse_segments(raw)",
     )
 
 
@@ -369,7 +391,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         message_summaries, segment_summaries, replay_records, action_tags, hydrologic_pairs, line_shapes, product_families, wrapped_messages, wrapped_timeline, scan_totals, scan_errors, error_histogram, counters_json,
         split_names, import_counts, manifest, archived_import, verified, verify_counts, first_fingerprints, timeline_first, overlapping_pairs, ring_facts, recent_products, office_products,
-        day_products, prune_plan, pruned_archive, sql_functions, stream_frames, stream_fragments, stream_archive, stream_status, stream_routes, stream_recognised,
+        day_products, prune_plan, pruned_archive, sql_functions, lateral_segments, stream_frames, stream_fragments, stream_archive, stream_status, stream_routes, stream_recognised,
         repeated_import, colliding_digests, stored_streams,
     )
 }

@@ -45,7 +45,7 @@ keyed AS (SELECT *, 'office=' || office || '|vtec=O.' || phenomenon || '.W.' ||
 best AS (SELECT * FROM keyed QUALIFY row_number() OVER (PARTITION BY key ORDER BY issued DESC, path DESC) = 1),
 active AS (SELECT * FROM best WHERE step <> 3)"""
 #: Products with an identifier take their family from it, the others from their first good code, if there is one.
-FAMILY = "CASE WHEN event_id % 13 <> 0 THEN family WHEN bad = -1 THEN CASE phenomenon WHEN 'FL' THEN 'flood' ELSE family END WHEN event_id % 7 = 0 THEN 'unknown' ELSE 'unknown' END"
+FAMILY = "CASE WHEN event_id % 13 <> 0 OR bad = -1 THEN family ELSE 'unknown' END"
 DAMAGE = "NULL::VARCHAR"
 TORNADO = "CASE WHEN phenomenon = 'TO' THEN CASE WHEN event_id % 2 = 0 THEN 'OBSERVED' ELSE 'RADAR INDICATED' END END"
 HEADING = "'WUUS53 ' || office || ' ' || strftime(issue, '%d%H%M') || CASE WHEN event_id % 5 = 0 THEN ' AAA' ELSE '' END"
@@ -92,7 +92,7 @@ timed AS (SELECT record_key, event_id_, issued, path, size, CASE WHEN z > s THEN
 pairs AS (SELECT *, lag(record_key) OVER w AS k, lag(s) OVER w AS s0, lag(z) OVER w AS z0, lag(size) OVER w AS size0 FROM timed WINDOW w AS (PARTITION BY event_id_ ORDER BY issued NULLS FIRST, path)),
 told AS (SELECT *, (epoch(z0) - epoch(s0))::BIGINT AS d0, (epoch(z) - epoch(s))::BIGINT AS d1, CASE WHEN s IS NOT NULL AND s0 IS NOT NULL THEN greatest(0, epoch(least(z, z0)) - epoch(greatest(s, s0)))::BIGINT END AS o FROM pairs WHERE k IS NOT NULL)
 SELECT k AS left_record_key, record_key AS right_record_key, d0 AS left_duration_seconds, d1 AS right_duration_seconds, o AS time_overlap_seconds, d0 + d1 - o AS time_union_seconds, round(o / (d0 + d1 - o), 6) AS time_overlap_ratio,
-  size0 * size0 AS left_area, size * size AS right_area, least(size, size0) ** 2 :: BIGINT AS polygon_overlap_area, greatest(size, size0) ** 2 :: BIGINT AS polygon_union_area FROM told""".replace("least(size, size0) ** 2 :: BIGINT", "(least(size, size0) * least(size, size0))").replace("greatest(size, size0) ** 2 :: BIGINT", "(greatest(size, size0) * greatest(size, size0))"),
+  size0 * size0 AS left_area, size * size AS right_area, least(size, size0) * least(size, size0) AS polygon_overlap_area, greatest(size, size0) * greatest(size, size0) AS polygon_union_area FROM told""",
     "headings": f"""WITH {FACTS}
 SELECT path, CASE WHEN event_id % 2 = 0 THEN (event_id % 1000)::INTEGER END AS sequence_number, {HEADING} AS heading, 'WUUS53' AS ttaaii, office AS cccc, strftime(issue, '%d%H%M') AS yygggg, CASE WHEN event_id % 5 = 0 THEN 'AAA' END AS bbb,
   CASE WHEN event_id % 13 <> 0 THEN nnn || office[2:4] END AS awips_id, CASE WHEN event_id % 13 <> 0 THEN nnn END AS nnn, CASE WHEN event_id % 13 <> 0 THEN office[2:4] END AS xxx, {FAMILY} AS family,

@@ -115,15 +115,18 @@ def wrapped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.replace("path", F.lit(".txt"), F.lit(".xml")).alias("path"), F.encode(stanza.written(F.col("wrapper"), F.col("number"), F.col("at"), F.col("raw")), "UTF-8").alias("content"))
 
 
-def titled(spark: SparkSession) -> DataFrame:
-    """A bulletin for each product identifier of the code tables, for two-letter beginnings, and for each title."""
+def titled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A bulletin for each event: of the identifiers of the code tables, two-letter beginnings and titles it has the one at the
+    event's id modulo their number."""
     from ..functions import codes
 
     named = [(c, None) for own in codes.PRODUCT_FAMILIES.values() for c in own.split()] + [(f"{p}Q", None) for p in codes.PREFIX_FAMILIES] + [("QQQ", None)]
     plain = [(None, t) for t in [*(f"A {x.lower()} for us" for x in codes.TITLE_FAMILIES), "NOTHING KNOWN"]]
-    rows = spark.createDataFrame([(f"p/{i:04}", c, t) for i, (c, t) in enumerate(named + plain)], "path string, nnn string, title string")
+    kinds = spark.createDataFrame([(i, c, t) for i, (c, t) in enumerate(named + plain)], "kind int, nnn string, title string")
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", (F.col("event_id") % (len(named) + len(plain))).cast("int").alias("kind"))
+    rows = e.join(F.broadcast(kinds), "kind")  # the code tables, some 260 rows
     text = F.concat(F.lit("NOUS41 KAAA 201530\n"), F.coalesce(F.concat("nnn", F.lit("AAA\n")), F.lit("")), F.lit("\n"), F.coalesce("title", F.lit("PLAIN TEXT")), F.lit("\n"))
-    return rows.select("path", F.lit(1).alias("message_index"), text.alias("raw"))
+    return rows.select(F.concat(F.lit("p/"), _digits(F.col("event_id"), 9)).alias("path"), F.lit(1).alias("message_index"), text.alias("raw"))
 
 
 #: Corners of rings, in steps of a tenth of a degree: a square, an L, one that crosses itself, a triangle, and a line.

@@ -1,7 +1,7 @@
 """XML stanzas that wrap a bulletin, both ways.
 
 XML readers turn CR LF into LF, and a bulletin's CR CR LF would become two line ends, one of them a blank line with
-a meaning. So CRs in character data are set aside as a private character before the standard parser sees them.
+a meaning. So CRs inside the root element are written as references, which readers keep, before the standard parser sees them.
 """
 
 from __future__ import annotations
@@ -20,8 +20,7 @@ SPACE = "nwws-oi"
 _NAMES = ("type", "sender", "recipient", "summary", "xhtml_summary", "payload", "error")
 PAYLOAD = T.StructType([T.StructField(n, T.TimestampType() if n == "issue" else T.StringType()) for n in ("cccc", "ttaaii", "awips", "issue", "id", "process_id", "sequence", "raw")])
 STANZA = T.StructType([T.StructField(n, PAYLOAD if n == "payload" else T.StringType()) for n in _NAMES])
-#: Stands for a CR while a stanza is read; a private character that no bulletin has.
-_CR = "\ue00d"
+_ROOT = re.compile(r"<[^?!]")
 _TEXT = re.compile(r"(<!\[CDATA\[.*?\]\]>|>[^<]*)", re.DOTALL)
 _TIME = re.compile(r"\d{4}-\d{2}-\d{2}[Tt ]\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:[Zz]|[+-]\d{2}:\d{2})\Z")
 _FIELDS = ("cccc", "ttaaii", "issue", "awipsid", "id")
@@ -43,6 +42,15 @@ def _payload(attributes: dict[str, str]) -> dict | None:
     return {"cccc": attributes["cccc"], "ttaaii": attributes["ttaaii"], "awips": attributes["awipsid"], "issue": issue, "id": attributes["id"], "process_id": process, "sequence": str(int(number)), "raw": ""}
 
 
+def _kept(text: str) -> str:
+    """The text with each CR in its root element as a reference; a CDATA section is left and entered again for it."""
+    root = _ROOT.search(text)
+    if "\r" not in text or root is None:
+        return text
+    written = lambda m: m[0].replace("\r", "]]>&#13;<![CDATA[" if m[0].startswith("<") else "&#13;")
+    return text[: root.start()] + _TEXT.sub(written, text[root.start() :])
+
+
 def read(text: str | None) -> dict:
     """A stanza's fields; error is set if the text is no well-formed XML."""
     out: dict = dict.fromkeys(_NAMES)
@@ -66,19 +74,19 @@ def read(text: str | None) -> dict:
         elif name == "html":
             state["html"] = False
         elif name == "x" and state["open"] is not None:
-            state["open"]["raw"] = state["open"]["raw"].replace(_CR, "\r").strip("\r\n")
+            state["open"]["raw"] = state["open"]["raw"].strip("\r\n")
             out["payload"], state["open"] = state["open"], None
 
     def data(chunk: str) -> None:
         if state["open"] is not None:
             state["open"]["raw"] += chunk
         elif state["target"] and chunk:
-            out[state["target"]] = (out[state["target"]] or "") + chunk.replace(_CR, "\r")
+            out[state["target"]] = (out[state["target"]] or "") + chunk
 
     parser = expat.ParserCreate()
     parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler = start, end, data
     try:
-        parser.Parse(_TEXT.sub(lambda m: m[0].replace("\r", _CR), text.strip(" \t\r\n\f")), True)
+        parser.Parse(_kept(text.strip(" \t\r\n\f")), True)
     except expat.ExpatError:
         return dict.fromkeys(out) | {"error": "InvalidXml"}
     return out

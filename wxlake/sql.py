@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .functions import segmenter
+from .functions.geotext import longitude_of
 from .functions.times import NO_TIME
 
 
@@ -42,7 +43,32 @@ def pvtec(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         yield pa.array(rows, kind)
 
 
+_CODE = "struct<raw: string, action: string, office: string, phenomenon: string, significance: string, etn: int>"
+
+
+@F.udtf(returnType=f"segment_index: int, ugc: string, ugcs: array<string>, headline: string, codes: array<{_CODE}>, polygon: array<struct<lat: float, lon: float>>, body: string")
+class Segments:
+    """Segments of a bulletin, one row each; none if its text is rejected or null."""
+
+    def eval(self, text: str) -> Iterator[tuple]:
+        found = segmenter.parse(text)
+        for i, s in enumerate(found["parts"] or []):
+            codes = [tuple(c[n] for n in ("raw", "action", "office", "phenomenon", "significance", "etn")) for c in s["pvtec"]]
+            points = [(p["lat"] / 100, longitude_of(p["lon"], found["cccc"]) / 100) for p in s["lat_lon"]["points"]] if s["lat_lon"] else None
+            yield i + 1, s["ugc"], s["ugcs"], s["headline"], codes, points, "\n".join(s["lines"])
+
+
+FUNCTIONS = {"parse_bulletin": segmenter.parsed, "parse_ugc": ugc, "parse_pvtec": pvtec}
+
+
 def register(spark: SparkSession) -> None:
-    """Make parse_bulletin(text), parse_ugc(text) and parse_pvtec(text) known to spark.sql."""
-    for name, function in (("parse_bulletin", segmenter.parsed), ("parse_ugc", ugc), ("parse_pvtec", pvtec)):
+    """Make parse_bulletin(text), parse_ugc(text), parse_pvtec(text) and the table function parse_segments(text), for lateral joins,
+    known to spark.sql."""
+    for name, function in FUNCTIONS.items():
         spark.udf.register(name, function)
+    spark.udtf.register("parse_segments", Segments)
+
+
+def unregister(spark: SparkSession) -> None:
+    for name in (*FUNCTIONS, "parse_segments"):
+        spark.sql(f"DROP TEMPORARY FUNCTION IF EXISTS {name}")
