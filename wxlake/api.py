@@ -102,7 +102,7 @@ def polygon_timeline(spark: SparkSession, path: str, at: str | None = None) -> D
 def lead_time_metrics(spark: SparkSession, path: str, event_at: str, lat: float, lon: float) -> DataFrame:
     event = spark.createDataFrame([(1, event_at, lat, lon)], "event int, t string, lat double, lon double")
     event = event.select("event", F.to_timestamp(F.replace(F.rtrim(F.col("t"), F.lit("Z")), F.lit("T"), F.lit(" "))).alias("event_time"), "lat", "lon")
-    records = reports.records(files.messages_at(ship(spark), path).where("input_error is null"), event_at)
+    records = reports.records(files.messages_at(ship(spark), path).where("input_error is null"), event_at, ("lat_lon",))
     return reports.lead_times(records, event)
 
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from datetime import datetime
-from functools import lru_cache
+from functools import cache, lru_cache
 
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -52,7 +52,7 @@ _SEGMENT = T.StructType(
     ]
 )
 _INTS = {"sequence_number", "error_offset"}
-BULLETIN = T.StructType([*(T.StructField(n, T.IntegerType() if n in _INTS else T.StringType()) for n in wire.NAMES), T.StructField("mnd_header", T.StringType()), T.StructField("parts", T.ArrayType(_SEGMENT))])
+BULLETIN = T.StructType([*(T.StructField(n, T.IntegerType() if n in _INTS else T.StringType()) for n in wire.NAMES), T.StructField("mnd_header", T.StringType()), T.StructField("first_code", _struct("phenomenon significance")), T.StructField("parts", T.ArrayType(_SEGMENT))])
 
 _SPACE = " \t\n\r\f"
 _BLOCK = re.compile(r"[A-Z]{2}[CZ](?:[0-9]{3}|ALL)[->0-9]")
@@ -182,20 +182,21 @@ def coded(lines: list[str]) -> tuple[list[dict], list[dict], list[str]]:
     return *found, lines[at:]
 
 
-def completed(segment: dict) -> dict:
-    """A segment with its codes, geometry and tags."""
+def completed(segment: dict, wanted: frozenset[str] | None) -> dict:
+    """A segment with its codes, geometry and tags. Polygon and motion are read whatever is wanted, as a bad one rejects the product."""
     lines = segment["lines"]
     segment["ampersands"] = any(x.strip(_SPACE) == "&&" for x in lines)
     segment["pvtec"], segment["hvtec"], segment["lines"] = coded(lines)
     plain = [x.strip(_SPACE) for x in segment["lines"]]
     segment["headline"] = next(filter(None, plain), None)
     segment["lat_lon"], segment["motion"] = polygon(plain), motion(plain)
-    segment["tags"], segment["text_tags"] = tags.rolled_up(segment["lines"], [c["phenomenon"] for c in segment["pvtec"]])
-    segment["actions"] = tags.actions(segment["pvtec"])
+    if wanted is None or wanted & {"tags", "text_tags"}:
+        segment["tags"], segment["text_tags"] = tags.rolled_up(segment["lines"], [c["phenomenon"] for c in segment["pvtec"]])
+    segment["actions"] = tags.actions(segment["pvtec"]) if wanted is None or "actions" in wanted else None
     return segment
 
 
-def segments(body: str) -> tuple[str | None, list[dict]]:
+def segments(body: str, wanted: frozenset[str] | None = None) -> tuple[str | None, list[dict]]:
     """The first preamble line, and the segments."""
     lines = [x.rstrip("\r") for x in body.split("\n")]
     header, found, own, at = None, [], None, 0
@@ -214,27 +215,38 @@ def segments(body: str) -> tuple[str | None, list[dict]]:
         elif line and header is None:
             header = line
         at += 1
-    return header, [completed(x) for x in found]
+    return header, [completed(x, wanted) for x in found]
 
 
-def parse(raw: str | None) -> dict:
-    """A text's bulletin and segments; one malformed polygon or motion line rejects all of it."""
-    out = wire.read(raw) | {"mnd_header": None, "parts": None}
+def parse(raw: str | None, wanted: frozenset[str] | None = None) -> dict:
+    """A text's bulletin and segments; one malformed polygon or motion line rejects all of it. wanted: fields of segments (all)."""
+    out = wire.read(raw) | {"mnd_header": None, "first_code": None, "parts": None}
     if out["error_kind"] is None:
         try:
-            out["mnd_header"], out["parts"] = segments(out["body"])
+            out["mnd_header"], out["parts"] = segments(out["body"], wanted)
+            out["first_code"] = next((c for s in out["parts"] for c in s["pvtec"]), None)
         except Malformed as e:
             out.update(error_kind="InvalidField", error_field=str(e))
     return out
 
 
-@F.arrow_udf(BULLETIN)
-def parsed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    """parse() of a text column."""
-    kind = to_arrow_type(BULLETIN)
-    for texts in batches:
-        yield pa.array([parse(t) for t in texts.to_pylist()], kind)
+@cache
+def parser(columns: tuple[str, ...] | None = None, parts: tuple[str, ...] | None = None):
+    """parse() of a text column that returns the named fields of bulletins and of their segments, or all of them. Texts are long
+    beside what most reports read of them, so what is not named is neither made nor sent."""
+    fields = [f for f in BULLETIN if f.name != "parts" and (columns is None or f.name in columns)]
+    if parts != ():
+        fields.append(T.StructField("parts", T.ArrayType(T.StructType([f for f in _SEGMENT if parts is None or f.name in parts]))))
+    shape = T.StructType(fields)
+    wanted = None if parts is None else frozenset(parts)
 
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        kind = to_arrow_type(shape)
+        for texts in batches:
+            yield pa.array([parse(t, wanted) for t in texts.to_pylist()], kind)
 
-#: Filters on parsed columns would otherwise be pushed below the call and make it run again for each of them.
-parsed = parsed.asNondeterministic()
+    # Filters on parsed columns would otherwise be pushed below the call and make it run again for each of them.
+    return F.arrow_udf(run, shape).asNondeterministic()
+
+
+parsed = parser()

@@ -12,23 +12,30 @@ from pyspark.sql import functions as F
 
 from ..functions import codes, segmenter, times
 
-def products(df: DataFrame, text: str = "raw") -> DataFrame:
+#: Fields of bulletins that their family and their error are told by.
+_NEEDED = ("nnn", "mnd_header", "first_code", "error_kind")
+
+
+def products(df: DataFrame, text: str = "raw", columns: tuple[str, ...] | None = None, parts: tuple[str, ...] | None = None) -> DataFrame:
     """Add the columns of the text's bulletin: heading and its parts, body, parts (segments), family, error.
 
+    columns and parts name the fields of bulletins and segments that are needed, all unless told; parts=() leaves segments out.
     Errors are data: a rejected text keeps its row with error_kind and error_field, and has no parts. A null text
     counts as bytes that are not UTF-8.
     """
-    out = df.withColumn("_s", segmenter.parsed(text))
-    first = F.try_element_at(F.flatten(F.transform("_s.parts", lambda x: x["pvtec"])), F.lit(1))
-    known = F.when(F.col("_s.error_kind").isNull(), family(F.col("_s.nnn"), first, F.col("_s.mnd_header")))
-    return out.select(*df.columns, *(F.col(f"_s.{n}") for n in segmenter.BULLETIN.names), known.alias("family"))
+    asked = None if columns is None else tuple(sorted({*columns, *_NEEDED}))
+    out = df.withColumn("_s", segmenter.parser(asked, parts)(text))
+    known = F.when(F.col("_s.error_kind").isNull(), family(F.col("_s.nnn"), F.col("_s.first_code"), F.col("_s.mnd_header")))
+    names = [n for n in segmenter.BULLETIN.names if (n == "parts" and parts != ()) or (n not in ("parts", "first_code") and (columns is None or n in columns))]
+    return out.select(*df.columns, *(F.col(f"_s.{n}") for n in names), known.alias("family"))
 
 
 def segments(parsed: DataFrame, keys: list[str]) -> DataFrame:
     """One row a segment of products(), with the key columns; segment_index is 1-based."""
     rows = parsed.select(*keys, F.posexplode("parts").alias("_at", "_p")).withColumn("segment_index", F.col("_at") + 1)
     names = {"ugc": "ugc_raw", "lines": "body_lines", "dollars": "separated_by_dollars", "ampersands": "contains_andand"}
-    return rows.select(*keys, "segment_index", *(F.col(f"_p.{n}").alias(names.get(n, n)) for n in segmenter._SEGMENT.names))
+    found = parsed.schema["parts"].dataType.elementType.names
+    return rows.select(*keys, "segment_index", *(F.col(f"_p.{n}").alias(names.get(n, n)) for n in found))
 
 
 def codes_of(parts: DataFrame, columns: list[str]) -> DataFrame:

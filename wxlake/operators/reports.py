@@ -21,20 +21,29 @@ TERMINAL = ("CAN", "EXP")
 _KEYS = ["path", "message_index", "wrapper_id", "wrapper_issue", "heading", "yygggg", "cccc", "awips_id", "family"]
 
 
-def parsed(messages: DataFrame) -> DataFrame:
-    """Messages with all bulletin and product columns, rejects included."""
+#: Fields of segments that reports of codes read, and their names there.
+_OF_SEGMENT = {"ugc": "ugc_raw", "ugcs": "ugcs", "headline": "headline", "lat_lon": "lat_lon", "motion": "motion", "tags": "tags", "text_tags": "text_tags", "actions": "actions"}
+
+
+def parsed(messages: DataFrame, columns: tuple[str, ...] | None = None, parts: tuple[str, ...] | None = None) -> DataFrame:
+    """Messages with all bulletin and product columns, rejects included; or only those named, as in bulletins.products()."""
     for name, kind in (("wrapper_id", "string"), ("wrapper_issue", "timestamp")):
         if name not in messages.columns:
             messages = messages.withColumn(name, F.lit(None).cast(kind))
-    return b.products(messages)
+    return b.products(messages, columns=columns, parts=parts)
+
+
+def _coded(messages: DataFrame, parts: tuple[str, ...]) -> DataFrame:
+    """Parsed messages with what codes() needs: no texts, and of segments the codes and some fields."""
+    return parsed(messages, ("heading", "yygggg", "cccc", "awips_id", "error_kind"), ("pvtec", *parts))
 
 
 def codes(known: DataFrame) -> DataFrame:
-    """One row a P-VTEC code of parsed messages, with its segment's columns."""
+    """One row a P-VTEC code of parsed messages, with those columns of its segment that were parsed."""
     # Texts without anything like a code yield no rows; they are left out before segments are made.
-    some = known.where(F.col("error_kind").isNull() & F.col("bulletin").contains("/"))
-    keep = [*_KEYS, "segment_index", "ugc_raw", "ugcs", "headline", "lat_lon", "motion", "tags", "text_tags", "actions"]
-    return b.codes_of(b.segments(some, _KEYS), keep)
+    some = known.where(F.col("error_kind").isNull() & F.col("raw").contains("/")) if "raw" in known.columns else known.where(F.col("error_kind").isNull())
+    segments = b.segments(some, _KEYS)
+    return b.codes_of(segments, [*_KEYS, "segment_index", *(n for n in _OF_SEGMENT.values() if n in segments.columns)])
 
 
 def order(issued: str = "issued_at") -> Column:
@@ -69,7 +78,10 @@ def active_at(messages: DataFrame, at: str) -> DataFrame:
     A cancellation or expiry ends its key; an update whose window does not hold the time is passed over, so an
     earlier record that does hold it stays. The key names the areas, so ending some of them leaves the others.
     """
-    return _active(parsed(messages), at)
+    return _active(_coded(messages, _ACTIVE_PARTS), at)
+
+
+_ACTIVE_PARTS = ("ugc", "ugcs", "headline", "tags")
 
 
 def _active(known: DataFrame, at: str) -> DataFrame:
@@ -118,7 +130,7 @@ def with_digests(records: DataFrame, messages: DataFrame) -> DataFrame:
 
 def active_counts(messages: DataFrame, at: str) -> DataFrame:
     """Counters of active_at: name, family (of `families` only) and n."""
-    known = settled(parsed(messages), "parsed")
+    known = settled(_coded(messages, _ACTIVE_PARTS).drop("raw"), "parsed")
     good = F.col("error_kind").isNull()
     future = F.coalesce(b.issued(F.col("yygggg"), times.utc(at)) > times.utc(at), F.lit(False))
     totals = known.agg(F.count("*").alias("scanned"), F.count(F.when(good, 1)).alias("messages"), F.count(F.when(good & future, 1)).alias("future_messages"), F.count(F.when(~good, 1)).alias("failures"))
@@ -136,10 +148,10 @@ def timeline(messages: DataFrame, at: str | None = None) -> DataFrame:
     return with_status(records(messages, at), at)
 
 
-def records(messages: DataFrame, at: str | None = None) -> DataFrame:
-    """Warning records. The issue time is the wrapper's, else the heading's day and time near the query time,
+def records(messages: DataFrame, at: str | None = None, parts: tuple[str, ...] = tuple(_OF_SEGMENT)) -> DataFrame:
+    """Warning records. parts: fields of segments that are needed; columns of the others are left out. The issue time is the wrapper's, else the heading's day and time near the query time,
     else near the code's start, else near its end."""
-    rows = codes(parsed(messages)).where(F.col("vtec.significance") == "W")
+    rows = codes(_coded(messages, parts)).where(F.col("vtec.significance") == "W")
     v = F.col("vtec")
     near = [v["valid_start"], v["valid_end"]]
     anchors = [times.utc(at), *near] if at else near
@@ -173,19 +185,25 @@ def records(messages: DataFrame, at: str | None = None) -> DataFrame:
         F.when(v["action"] == "CAN", F.col("issued_at")).alias("canceled_at"),
         F.when(~v["action"].isin("NEW", *TERMINAL), F.col("issued_at")).alias("updated_at"),
         v["raw"].alias("vtec"),
-        "ugc_raw",
-        F.substring(F.replace("ugc_raw", F.lit("\n"), F.lit("")), -7, 6).alias("ugc_purge_time"),
-        "ugcs",
-        "headline",
-        "tags",
-        "text_tags",
-        "actions",
-        geotext.degrees(F.col("lat_lon.points"), F.col("cccc")).alias("polygon"),
-        F.col("lat_lon.raw").alias("polygon_raw"),
-        F.when(F.col("motion").isNotNull(), F.struct("motion.raw", "motion.time", "motion.direction_degrees", "motion.speed_knots", geotext.degrees(F.col("motion.locations"), F.col("cccc")).alias("locations"))).alias("time_mot_loc"),
+        *(c for name, columns in _of_segment().items() if name in parts for c in columns),
     )
 
 
+def _of_segment() -> dict[str, list]:
+    """Columns of a record by the field of its segment that they are made from."""
+    moved = F.when(F.col("motion").isNotNull(), F.struct("motion.raw", "motion.time", "motion.direction_degrees", "motion.speed_knots", geotext.degrees(F.col("motion.locations"), F.col("cccc")).alias("locations")))
+    return {
+        "ugc": ["ugc_raw", F.substring(F.replace("ugc_raw", F.lit("\n"), F.lit("")), -7, 6).alias("ugc_purge_time")],
+        "ugcs": ["ugcs"],
+        "headline": ["headline"],
+        "tags": ["tags"],
+        "text_tags": ["text_tags"],
+        "actions": ["actions"],
+        "lat_lon": [geotext.degrees(F.col("lat_lon.points"), F.col("cccc")).alias("polygon"), F.col("lat_lon.raw").alias("polygon_raw")],
+        "motion": [moved.alias("time_mot_loc")],
+    }
+
+
 def with_status(rows: DataFrame, at: str | None) -> DataFrame:
     """Add lifecycle_status: of an event's records that are not in the future the last one tells, the others are superseded."""
     if at is None:

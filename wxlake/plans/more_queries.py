@@ -96,7 +96,7 @@ def error_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def counters_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The family histogram as one JSON object, in the order of its keys."""
-    return summaries.counter_map(reports.family_counts(_known(spark, sf_dir)), "family").select(F.to_json("counters").alias("value"))
+    return summaries.counter_map(reports.family_counts(_known(spark, sf_dir, ("error_kind",), ())), "family").select(F.to_json("counters").alias("value"))
 
 
 def split_names(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,7 +167,7 @@ def timeline_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def overlapping_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Areas and times that pairs of warnings of different events share."""
-    m = reports.pair_metrics(reports.overlapping_pairs(reports.records(render.messages(spark, sf_dir), AT)))
+    m = reports.pair_metrics(reports.overlapping_pairs(reports.records(render.messages(spark, sf_dir), AT, ("lat_lon",))))
     square = F.round(F.col("polygon_overlap_area_square_degrees") * 10000).cast("long")
     return m.select("left_record_key", "right_record_key", "time_overlap_seconds", square.alias("shared"))
 
@@ -355,7 +355,7 @@ def stream_recognised(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def repeated_import(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every message as two equal rows and a copy: one row of the three is archived."""
-    known = settled(_known(spark, sf_dir), "parsed")
+    known = settled(_known(spark, sf_dir, ("cccc", "ttaaii", "awips_id", "bulletin", "error_kind"), ()).drop("raw"), "parsed")
     done = archive.imported(known.unionByName(known).unionByName(known.withColumn("path", F.concat(F.lit("zz/"), "path"))))
     return done.groupBy("path", "action").agg(F.count("*").alias("rows"))
 

@@ -18,8 +18,8 @@ AT = "2024-01-20T12:00:00Z"
 text = times.rfc3339
 
 
-def _known(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.parsed(render.messages(spark, sf_dir))
+def _known(spark: SparkSession, sf_dir: str, columns: tuple[str, ...] | None = None, parts: tuple[str, ...] | None = None) -> DataFrame:
+    return reports.parsed(render.messages(spark, sf_dir), columns, parts)
 
 
 def _good(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,12 +40,12 @@ def active_families(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def timeline_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = reports.timeline(render.messages(spark, sf_dir), AT)
+    rows = reports.with_status(reports.records(render.messages(spark, sf_dir), AT, ("ugc",)), AT)
     return rows.select("record_key", "event_id", "lifecycle_status", text(F.col("issued_at")).alias("issued_at"), text(F.col("canceled_at")).alias("canceled_at"), text(F.col("updated_at")).alias("updated_at"), text(F.col("expires_at")).alias("expires_at"), "event_family", "ugc_purge_time")
 
 
 def timeline_without_time(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = reports.timeline(render.messages(spark, sf_dir))
+    rows = reports.with_status(reports.records(render.messages(spark, sf_dir), parts=()), None)
     return rows.select("record_key", "lifecycle_status", text(F.col("issued_at")).alias("issued_at"))
 
 
@@ -55,14 +55,14 @@ def lead_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = F.timestamp_seconds(F.unix_seconds(F.max("ts")) - 3600)
     place = lambda c: (F.first(c) * 10 + 35) / 1000
     points = facts.groupBy(F.col("user_id").alias("event")).agg(last.alias("event_time"), place("lat").alias("lat"), (-place("lon")).alias("lon"))
-    rows = reports.lead_times(reports.records(render.messages(spark, sf_dir), AT), points)
+    rows = reports.lead_times(reports.records(render.messages(spark, sf_dir), AT, ("lat_lon",)), points)
     times_of = [text(F.col(c)).alias(c) for c in ("first_valid_warning_lead_start", "first_valid_warning_interval_start", "first_valid_warning_interval_end")]
     return rows.select("event", "warning_records", "point_warning_records", "event_warning_records", "point_warning_interval_count", "point_warning_duration_seconds", "first_valid_warning_record_key", *times_of, "lead_time_seconds", "missed_event", "false_alarm_interval_count", "false_alarm_duration_seconds", F.array_join("quality_flags", ",").alias("quality_flags"))
 
 
 def pair_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each record of an event with the one before it."""
-    rows = reports.records(render.messages(spark, sf_dir))
+    rows = reports.records(render.messages(spark, sf_dir), parts=("lat_lon",))
     own = F.struct("record_key", "event_id", "valid_start", "valid_end", "expires_at", "canceled_at", "issued_at", "wrapper_issue", "polygon")
     life = Window.partitionBy("event_id").orderBy(reports.order())
     pairs = rows.select(F.lag(own).over(life).alias("left"), own.alias("right")).where("left is not null")
@@ -80,7 +80,7 @@ def rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def family_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.family_counts(_known(spark, sf_dir))
+    return reports.family_counts(_known(spark, sf_dir, ("error_kind",), ()))
 
 
 def event_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,7 +116,7 @@ def scan_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def import_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages imported with a copy of each that differs in nothing but its path."""
-    known = settled(_known(spark, sf_dir), "parsed")
+    known = settled(_known(spark, sf_dir, ("cccc", "ttaaii", "awips_id", "bulletin", "error_kind"), ()).drop("raw"), "parsed")
     done = archive.imported(known.unionByName(known.withColumn("path", F.concat(F.lit("zz/"), "path"))))
     return done.select("path", "action", F.substring_index("relative_path", "/", 4).alias("folder"))
 
