@@ -281,6 +281,13 @@ def test_url_filter(spark):
         url_filter.build(table, most=10)
 
 
+def test_rules_fold_as_hosts_do(spark):
+    rules = spark.createDataFrame([("Éx.NET", "/", "block")], "host string, path string, verdict string")
+    pages = spark.createDataFrame([(1, "http://a.Éx.net/"), (2, "http://éx.net/")], "page_id long, url string")
+    for judged in (url_filter.judge(pages, url_filter.build(rules)), url_filter.join_judge(pages, rules)):
+        assert {r.page_id: r.verdict for r in judged.collect()} == {1: "block", 2: "allow"}
+
+
 def test_equal_digests_are_told_apart(monkeypatch):
     monkeypatch.setattr(url_filter.xxhash, "xxh64_intdigest", lambda b: 7)
     keys, offsets, data, _ = url_filter.entries([("a.com", "", "block"), ("b.com", "", "allow")])

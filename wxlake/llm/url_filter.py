@@ -61,6 +61,10 @@ class Index:
         return _mapped[self.name]
 
 
+#: Hosts fold A-Z only, and so do rules.
+_FOLDED = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
+
+
 def entries(rules: list[tuple[str, str | None, str]]) -> tuple[np.ndarray, np.ndarray, bytes, dict[int, dict[int, list[int]]]]:
     """Sorted keys, offsets of their entries, the entries, and the shapes of (host, path, verdict) rules."""
     best: dict[str, str] = {}
@@ -68,7 +72,7 @@ def entries(rules: list[tuple[str, str | None, str]]) -> tuple[np.ndarray, np.nd
     for host, path, verdict in rules:
         if not host:
             continue
-        text = host.lower() + (path or "")
+        text = host.translate(_FOLDED) + (path or "")
         own = shapes.setdefault(host.count(".") + 1, {}).setdefault(len(host), [])
         if len(path or "") not in own:
             own.append(len(path or ""))
@@ -142,7 +146,7 @@ def join_judge(pages: DataFrame, rules: DataFrame) -> DataFrame:
     """judge() for rule sets of any size: the probes are joined with the rules' texts."""
     path = F.coalesce("path", F.lit(""))
     known = rules.where(F.length("host") > 0).withColumns({"labels": F.size(F.split("host", r"\.")), "n": F.length(path)})
-    texts = known.select(F.concat(F.lower("host"), path).alias("rule"), F.col("verdict").alias("said"))
+    texts = known.select(F.concat(F.translate("host", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), path).alias("rule"), F.col("verdict").alias("said"))
     texts = texts.groupBy("rule").agg(F.when(F.max((F.col("said") == "block").cast("int")) == 1, "block").otherwise("allow").alias("said"))
     shapes = [(r["labels"], r["n"]) for r in known.select("labels", "n").distinct().collect()]  # label counts and path lengths, a handful
     given = common.written(pages.select(F.monotonically_increasing_id().alias("row"), "page_id", host_of("url").alias("host"), path_of("url").alias("path")), "pages")
