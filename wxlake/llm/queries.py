@@ -128,7 +128,53 @@ SELECT s.doc_id, len(sh)::BIGINT AS n_shingles, c.component_id{more}
 FROM sets s JOIN (SELECT u, min(v) AS component_id FROM reach GROUP BY u) c ON c.u = s.doc_id
 """
 
+def _repair_sql() -> str:
+    """Damage and least repair, with a list fold over each conversation's turns. w, n: (cost c, edits a) of the four states."""
+    way = lambda c, a: f"{{'c': {c}, 'a': {a}}}"
+    edit = lambda w, cost, mark: way(f"{w}.c + {cost}", f"{w}.a || '{mark}'")
+    least = lambda *ways: f"list_min([{', '.join(ways)}])"
+    none = way(999999999, "''")
+    stays = "(CASE x.f WHEN 't' THEN 5 WHEN '' THEN 0 ELSE 900000000 END)"
+    kept = lambda w, role: f"CASE WHEN x.r[1] = '{role}' THEN {edit(w, stays, 'K')} ELSE {none} END"
+    reroled = lambda w: edit(w, f"1 + {stays}", "R")
+    fed = {
+        "s0": edit("w.s0", 2, "D"),
+        "s1": least(edit("w.s1", 2, "D"), kept("w.s0", "s")),
+        "s2": least(edit("w.s2", 2, "D"), *(f("w.s" + i) for i in "013" for f in (reroled, lambda w: kept(w, "u")))),
+        "s3": least(edit("w.s3", 2, "D"), reroled("w.s2"), kept("w.s2", "a")),
+    }
+    struct = lambda d: "{" + ", ".join(f"'{k}': {v}" for k, v in d.items()) + "}"
+    second = least("n.s2", *(edit(f"n.s{i}", 5, "I") for i in (0, 1, 3)))
+    opened = struct({"s0": "n.s0", "s1": "n.s1", "s2": second, "s3": least("n.s3", edit(second, 5, "I"))})
+    layer = f"list_transform([{struct(fed)}], lambda n: {opened})[1]"
+    first = struct({"s0": way(0, "''"), "s1": none, "s2": way(5, "'I'"), "s3": way(10, "'II'")})
+    there = "rows[p.i + 1]"
+    role = "CASE p.s WHEN 2 THEN 'assistant' ELSE 'user' END"
+    put = f"CASE e WHEN 'D' THEN p.o WHEN 'I' THEN list_append(p.o, {role} || ':') WHEN 'K' THEN list_append(p.o, {there}.r || ':' || {there}.t) ELSE list_append(p.o, {role} || ':' || {there}.t) END"
+    state = f"CASE e WHEN 'D' THEN p.s WHEN 'K' THEN CASE {there}.r[1] WHEN 's' THEN 1 WHEN 'u' THEN 2 ELSE 3 END ELSE CASE p.s WHEN 2 THEN 3 ELSE 2 END END"
+    replay = f"list_reduce(list_transform(range(1, length(best.a) + 1), lambda k: best.a[k]), lambda p, e: {{'i': p.i + CASE e WHEN 'I' THEN 0 ELSE 1 END, 's': {state}, 'o': {put}}}, {{'i': 0, 's': 0, 'o': []::VARCHAR[]}})"
+    return rf"""
+WITH said AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations),
+crc AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda a, b: CASE WHEN (a & 1) = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, i)) AS tbl),
+kinds AS (SELECT said.*, xor(list_reduce(list_transform(range(1, length(key) + 1), lambda i: ord(substr(key, i, 1))::BIGINT), lambda a, b: xor(a >> 8, tbl[(xor(a, b) & 255) + 1]), 4294967295), 4294967295) % 20 AS kind FROM said, crc),
+hurt AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS copy FROM kinds WHERE kind <> 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i FROM hurt),
+seen AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS times, regexp_replace(text, '[ 	-]+$', '') AS bare, lag(role[1]) OVER (PARTITION BY conv_id ORDER BY i) || role[1] AS pair FROM placed),
+wrong AS (SELECT *, CASE WHEN bare = '' THEN 'b' WHEN times > 1 THEN 'd' WHEN bare[-1] NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault FROM seen),
+told AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated,
+         count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, list({{'r': role, 't': text, 'f': fault}} ORDER BY i) AS rows FROM wrong GROUP BY conv_id),
+folded AS (SELECT *, list_reduce(rows, lambda w, x: {layer}, {first}) AS w FROM told),
+chosen AS (SELECT *, list_min([w.s0, w.s3]) AS best FROM folded),
+mended AS (SELECT *, {replay} AS p FROM chosen)
+SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+       coalesce(best.c, 0)::BIGINT AS cost, coalesce(best.a, '') AS audit, sha256(coalesce(array_to_string(p.o, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN mended m ON c.conv_id IS NOT DISTINCT FROM m.conv_id
+"""
+
+
 ORACLES: dict[str, str] = {
+    "op13_repair": _repair_sql(),
     "op2_url_filter": r"""
 WITH parts AS (
   SELECT page_id, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
