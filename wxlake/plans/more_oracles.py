@@ -91,6 +91,12 @@ UNION ALL SELECT path, {SECOND}, office, 'WI', 'NEW', etn, {when("valid_end")} F
     "lateral_segments": f"""WITH {FACTS} SELECT path, 1 AS segment_index, ugcs, CASE WHEN bad = -1 THEN phenomenon END AS phenomenon, CASE WHEN bad = -1 THEN etn END AS etn, CASE WHEN bad = -1 THEN 'WARNING ' || event_id || ' IN EFFECT' END AS headline,
   4 AS corners, lat::BIGINT AS lat, -lon::BIGINT AS lon FROM coded WHERE bad NOT IN (2, 3, 4)
 UNION ALL SELECT path, {SECOND_AT}, {SECOND}, 'WI', etn, 'WIND ADVISORY', NULL, NULL, NULL FROM coded WHERE bad <> 4 AND event_id % 7 = 0""",
+    "text_digests": """WITH lines AS (SELECT event_id, 'event ' || event_id || ' of ' || user_id || ' ' || event_type AS line FROM events)
+SELECT event_id, lpad(lower(to_hex(list_reduce(list_transform(range(1, length(line) + 1), lambda i: ord(line[i])::HUGEINT), lambda h, b: xor(h, b) * 1099511628211 % 18446744073709551616, 14695981039346656037::HUGEINT)::UBIGINT)), 16, '0') AS digest,
+  CASE WHEN event_id % 3 = 0 THEN 'cbf29ce484222325' END AS digest_of_nothing FROM lines""",
+    "sniffed_kinds": """SELECT 'm/' || event_id AS path, 'auto' AS hint, kind AS input_kind, CASE kind WHEN 'xml_stanza' THEN 'open_interface' WHEN 'framed_stream' THEN 'pid201' ELSE 'plain_text' END AS transport
+FROM events JOIN (VALUES (0, 'bulletin'), (1, 'xml_stanza'), (2, 'xml_stanza'), (3, 'xml_stanza'), (4, 'bulletin'), (5, 'framed_stream'), (6, 'framed_stream'), (7, 'bulletin'), (8, 'framed_stream'), (9, 'bulletin')) v(i, kind) ON event_id % 10 = i""",
+    "measurements": """SELECT event_id::VARCHAR AS path, floor(((event_id % 4000 / 1000)::FLOAT * 100::FLOAT)::DOUBLE + 0.5)::BIGINT AS hail, (CASE WHEN event_id % 5 = 0 THEN event_id % 90 ELSE event_id % 65536 END)::INTEGER AS wind_mph FROM events""",
     "stream_frames": """SELECT 'streams/' || lpad((event_id // 20)::VARCHAR, 9, '0') || '.sbn' AS stream, count(*) AS frames, 3 + count(*) FILTER (event_id % 20 % 5 = 0) AS junk_bytes, 8 AS pending_bytes, 0::BIGINT AS errors FROM events GROUP BY event_id // 20""",
     "stream_archive": _archived(f"strftime(issue, '%Y-%m-%d') AS capture_date, {SNAKE} AS family, count(*) AS records", "GROUP BY 1, 2"),
     "stream_routes": FIRST["routes"],

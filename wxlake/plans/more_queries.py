@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from .. import sql
-from ..functions import codes, geometry, times, vtec
+from ..functions import codes, geometry, hashing, times, vtec
 from ..operators import archive, reports, summaries
 from ..operators import bulletins as b
 from ..session import settled, shared_dir
@@ -261,6 +261,32 @@ def lateral_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def text_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archive digests of a line of text for each event."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    line = F.concat_ws(" ", F.lit("event"), "event_id", F.lit("of"), "user_id", "event_type")
+    return e.select("event_id", hashing.fnv1a(line).alias("digest"), hashing.fnv1a(F.when(F.col("event_id") % 3 == 0, F.lit(""))).alias("digest_of_nothing"))
+
+
+def sniffed_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kinds of files without an ending, told by their bytes, which follow from the event."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id")
+    text = F.element_at(F.array(*map(F.lit, render.SNIFFED)), (F.col("event_id") % len(render.SNIFFED) + 1).cast("int"))
+    files_ = e.select(F.concat(F.lit("m/"), F.col("event_id")).alias("path"), F.encode(text, "UTF-8").alias("content")).withColumn("hint", files.hint_of(F.col("path")))
+    return files.with_kind(files_).select("path", "hint", "input_kind", "transport")
+
+
+def measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hail of three decimals, in hundredths of an inch as rounded in single precision, and winds, of which every fifth does not fit
+    and gives way to the gust behind it."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id")
+    hail = F.format_string("%d.%03d", F.floor(F.col("event_id") % 4000 / 1000), F.col("event_id") % 1000)
+    wind = F.when(F.col("event_id") % 5 == 0, F.concat(F.lit("WIND..."), 65536 + F.col("event_id") % 1000, F.lit("MPH MAX WIND GUST..."), F.col("event_id") % 90, F.lit(" MPH"))).otherwise(F.concat(F.lit("WIND..."), F.col("event_id") % 65536, F.lit("MPH")))
+    text = F.concat(F.lit("NOUS41 KAAA 201530\nPNSAAA\n\nILC031-211630-\n\nMAX HAIL SIZE..."), hail, F.lit(" IN\n"), wind, F.lit("\n$$\n"))
+    known = reports.parsed(e.select(F.col("event_id").cast("string").alias("path"), F.lit(1).alias("message_index"), text.alias("raw")), ("error_kind",), ("tags",))
+    return b.segments(known, ["path"]).select("path", F.round(F.col("tags.hail_inches").cast("double") * 100).cast("long").alias("hail"), "tags.wind_mph")
+
+
 # --- streams
 
 
@@ -392,6 +418,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         message_summaries, segment_summaries, replay_records, action_tags, hydrologic_pairs, line_shapes, product_families, wrapped_messages, wrapped_timeline, scan_totals, scan_errors, error_histogram, counters_json,
         split_names, import_counts, manifest, archived_import, verified, verify_counts, first_fingerprints, timeline_first, overlapping_pairs, ring_facts, recent_products, office_products,
         day_products, prune_plan, pruned_archive, sql_functions, lateral_segments, stream_frames, stream_fragments, stream_archive, stream_status, stream_routes, stream_recognised,
-        repeated_import, colliding_digests, stored_streams,
+        repeated_import, colliding_digests, stored_streams, text_digests, sniffed_kinds, measurements,
     )
 }

@@ -129,6 +129,10 @@ def titled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.concat(F.lit("p/"), _digits(F.col("event_id"), 9)).alias("path"), F.lit(1).alias("message_index"), text.alias("raw"))
 
 
+#: Contents of files whose ending tells nothing.
+SNIFFED = ("NOUS41 KAAA 201530\nPNSAAA\n\nTEXT\n", " \n<message to='a'/>", "<x xmlns='nwws-oi'/>", '<?xml version="1.0"?><y xmlns="nwws-oi"/>', "<other/>", "\x01abc\x03", "junk\x01abc\x03", "a\x03b\x01c", "\x01 only", "text \x01 later")
+
+
 #: Corners of rings, in steps of a tenth of a degree: a square, an L, one that crosses itself, a triangle, and a line.
 RINGS = {
     "square": [(0, 0), (0, 4), (4, 4), (4, 0)],
