@@ -107,3 +107,24 @@ def test_command_line_prints_all_rows_or_none(spark, tmp_path, capsys):
     for form, error in (("text", SystemExit), ("tool-result", ValueError)):
         with pytest.raises(error, match="more than 5"):
             command.main(["inspect", source, "--format", form, "--most", "5"], spark)
+
+
+def test_readers_survive_a_compaction(spark, tmp_path):
+    path = str(tmp_path / "archive")
+    text = "NOUS41 KAAA 201530\nPNSAAA\n\nTEXT {}\n"
+    for i in range(6):
+        rows = spark.createDataFrame([(f"p{i}", 1, text.format(i), DAY + timedelta(days=i % 2))], "path string, message_index int, raw string, at timestamp")
+        archive.write(archive.stored(archive.fingerprinted(reports.parsed(rows)), "feed", rows["at"]), path)
+    names = lambda df: sorted(x.source_path for x in df.select("source_path").collect())
+    every = [f"p{i}" for i in range(6)]
+    early = archive.current(spark, path)
+    files = len(early.inputFiles())
+    assert archive.compact(spark, path, "2024-01-20") == 3 and archive.compact(spark, path, "2024-01-20") == 0 and archive.compact(spark, path, "2030-01-01") == 0
+    assert names(early) == every == names(archive.current(spark, path))  # one that was planned before, and one after
+    day = tmp_path / "archive" / "capture_date=2024-01-21"
+    left = next(day.rglob("*.parquet"))
+    (left.parent / "compacted-abc-00000.parquet").write_bytes(left.read_bytes())  # an unfinished compaction
+    assert names(archive.current(spark, path)) == every
+    assert archive.vacuum(spark, path) == 4 and names(archive.current(spark, path)) == every
+    assert archive.compact(spark, path, "2024-01-21") == 3 and archive.vacuum(spark, path) == 3
+    assert names(archive.current(spark, path)) == every == names(spark.read.parquet(path)) and files == 6

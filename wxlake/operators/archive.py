@@ -7,11 +7,13 @@ columns, in the form that a directory of files would have.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import codes, hashing
-from ..session import settled
+from ..session import files_below, moved, remove, settled
 
 #: Days that pruning keeps by default, and the most that one request may look back.
 KEEP_DAYS, MOST_DAYS = 30, 92
@@ -197,6 +199,75 @@ def prune(spark, path: str, before: str) -> list[str]:
     return sorted(gone)
 
 
+# --- compaction
+
+#: Folder of the archive with one file for each compaction: the part that it made and the files that it stands for.
+_SWAPS = "_swaps"
+
+
+def _swaps(spark, path: str) -> tuple[set[str], set[str]]:
+    """Compactions that were finished, and the files that they stand for."""
+    names = [f for f in files_below(spark, f"{path}/{_SWAPS}") if f.endswith(".swap")]
+    if not names:
+        return set(), set()
+    gone = {r.value for r in spark.read.text(names).collect()}
+    return {f.rpartition("/")[2].removesuffix(".swap") for f in names}, gone
+
+
+def _within(path: Column) -> Column:
+    """A file's day, family and name, by which it is told: one write gives files of several days the same name."""
+    return F.regexp_extract(path, "[^/]+/[^/]+/[^/]+$", 0)
+
+
+def current(spark, path: str) -> DataFrame:
+    """The archive as it stands: without files that a compaction replaced, and without those of one that did not finish. The names
+    are a filter on file metadata, so such files are not opened. vacuum() keeps the lists short."""
+    done, gone = _swaps(spark, path)
+    rows, name = spark.read.parquet(path), _within(F.col("_metadata.file_path"))
+    made = F.regexp_extract(F.col("_metadata.file_name"), "^compacted-([0-9a-f]+)-", 1)
+    keep = (made == "") | made.isin(*done) if done else made == ""
+    return rows.where(keep & ~name.isin(*gone)) if gone else rows.where(keep)
+
+
+def compact(spark, path: str, day: str, least: int = 2) -> int:
+    """Rewrite the small files of a day (YYYY-MM-DD) as few large ones; how many files were replaced.
+
+    The new files lie beside the old ones, unseen, until one rename tells that they stand for them: readers that began before go
+    on with the old files, later ones take the new, and a compaction that fails leaves nothing but files that nobody reads. Files
+    that are appended meanwhile are not touched. vacuum() deletes old files once no reader can need them.
+    """
+    done, gone = _swaps(spark, path)
+    made = lambda f: f.partition("/compacted-")[2].partition("-")[0]
+    names = ["/".join(f.split("/")[-3:]) for f in files_below(spark, f"{path}/capture_date={day}") if f.endswith(".parquet")]
+    old = [n for n in names if n not in gone and (not made(n) or made(n) in done)]
+    if len(old) < least:
+        return 0
+    tag, staging = uuid.uuid4().hex, f"{path}/_staging-{uuid.uuid4().hex}"
+    rows = spark.read.parquet(path).where((F.col("capture_date").cast("string") == day) & _within(F.col("_metadata.file_path")).isin(*old))
+    rows.withColumn("capture_date", F.lit(day)).hint("rebalance", "family").write.partitionBy("capture_date", "family").parquet(staging)
+    for i, f in enumerate(x for x in files_below(spark, staging) if x.endswith(".parquet")):
+        moved(spark, f, f"{path}/{f.partition(staging.rpartition('/')[2] + '/')[2].rpartition('/')[0]}/compacted-{tag}-{i:05}.parquet")
+    spark.createDataFrame([(n,) for n in old], "value string").coalesce(1).write.text(f"{staging}/list")
+    moved(spark, next(f for f in files_below(spark, f"{staging}/list") if f.endswith(".txt")), f"{path}/{_SWAPS}/{tag}.swap")
+    remove(spark, staging)
+    return len(old)
+
+
+def vacuum(spark, path: str) -> int:
+    """Delete replaced files and what unfinished compactions left; to be run when no reader from before a compaction, and no
+    compaction, is still at work. How many files were deleted."""
+    done, gone = _swaps(spark, path)
+    old = []
+    for f in files_below(spark, path):
+        tag = f.partition("/compacted-")[2].partition("-")[0]
+        if "/".join(f.split("/")[-3:]) in gone or (tag and tag not in done) or "/_staging-" in f:
+            old.append(f)
+    for f in old:
+        remove(spark, f)
+    # A list is still needed for its tag as long as the part that it made is there; the names in it are gone.
+    return len(old)
+
+
 # --- routes
 
 

@@ -97,6 +97,7 @@ SELECT event_id, lpad(lower(to_hex(list_reduce(list_transform(range(1, length(li
     "sniffed_kinds": """SELECT 'm/' || event_id AS path, 'auto' AS hint, kind AS input_kind, CASE kind WHEN 'xml_stanza' THEN 'open_interface' WHEN 'framed_stream' THEN 'pid201' ELSE 'plain_text' END AS transport
 FROM events JOIN (VALUES (0, 'bulletin'), (1, 'xml_stanza'), (2, 'xml_stanza'), (3, 'xml_stanza'), (4, 'bulletin'), (5, 'framed_stream'), (6, 'framed_stream'), (7, 'bulletin'), (8, 'framed_stream'), (9, 'bulletin')) v(i, kind) ON event_id % 10 = i""",
     "measurements": """SELECT event_id::VARCHAR AS path, floor(((event_id % 4000 / 1000)::FLOAT * 100::FLOAT)::DOUBLE + 0.5)::BIGINT AS hail, (CASE WHEN event_id % 5 = 0 THEN event_id % 90 ELSE event_id % 65536 END)::INTEGER AS wind_mph FROM events""",
+    "compacted_archive": _archived(f"strftime(issue, '%Y-%m-%d') AS capture_date, {SNAKE} AS family, count(*) AS records, count(*) AS paths", "GROUP BY 1, 2"),
     "stream_frames": """SELECT 'streams/' || lpad((event_id // 20)::VARCHAR, 9, '0') || '.sbn' AS stream, count(*) AS frames, 3 + count(*) FILTER (event_id % 20 % 5 = 0) AS junk_bytes, 8 AS pending_bytes, 0::BIGINT AS errors FROM events GROUP BY event_id // 20""",
     "stream_archive": _archived(f"strftime(issue, '%Y-%m-%d') AS capture_date, {SNAKE} AS family, count(*) AS records", "GROUP BY 1, 2"),
     "stream_routes": FIRST["routes"],

@@ -228,6 +228,23 @@ def pruned_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path).groupBy(F.col("capture_date").cast("string").alias("capture_date")).agg(F.count("*").alias("records"))
 
 
+def compacted_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An archive that was written in three parts, its days from the 15th on compacted, the earlier of those twice and with a
+    further part between."""
+    path = _folder(spark, "archive")
+    rows = settled(_archive(spark, sf_dir), "archived").withColumn("part", F.pmod(F.xxhash64("source_path"), F.lit(3)))
+    for part in range(2):
+        archive.write(rows.where(F.col("part") == part).drop("part"), path)
+    days = sorted({r.capture_date for r in rows.select("capture_date").distinct().where("capture_date >= '2024-01-15'").collect()})[:3]
+    for day in days:
+        archive.compact(spark, path, day)
+    archive.write(rows.where("part = 2").drop("part"), path)
+    for day in days[:1]:
+        archive.compact(spark, path, day)
+        archive.vacuum(spark, path)
+    return archive.current(spark, path).groupBy(F.col("capture_date").cast("string").alias("capture_date"), "family").agg(F.count("*").alias("records"), F.count_distinct("source_path").alias("paths"))
+
+
 def _asked(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     """SQL over the messages with the parsers as functions; names that it needs are gone from the session afterwards."""
     view = f"wx_{uuid.uuid4().hex}"
@@ -417,7 +434,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         message_summaries, segment_summaries, replay_records, action_tags, hydrologic_pairs, line_shapes, product_families, wrapped_messages, wrapped_timeline, scan_totals, scan_errors, error_histogram, counters_json,
         split_names, import_counts, manifest, archived_import, verified, verify_counts, first_fingerprints, timeline_first, overlapping_pairs, ring_facts, recent_products, office_products,
-        day_products, prune_plan, pruned_archive, sql_functions, lateral_segments, stream_frames, stream_fragments, stream_archive, stream_status, stream_routes, stream_recognised,
+        day_products, prune_plan, pruned_archive, compacted_archive, sql_functions, lateral_segments, stream_frames, stream_fragments, stream_archive, stream_status, stream_routes, stream_recognised,
         repeated_import, colliding_digests, stored_streams, text_digests, sniffed_kinds, measurements,
     )
 }

@@ -75,6 +75,25 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(at, True)
 
 
+def files_below(spark: SparkSession, path: str) -> list[str]:
+    """Paths of all files in a folder and those in it, hidden ones too; none if there is no such folder."""
+    at, fs = _path(spark, path)
+    out: list[str] = []
+    if fs.exists(at):
+        found = fs.listFiles(at, True)
+        while found.hasNext():
+            out.append(found.next().getPath().toString())
+    return out
+
+
+def moved(spark: SparkSession, path: str, to: str) -> None:
+    """Rename a file; its new folder is made if there is none."""
+    (at, fs), (target, _) = _path(spark, path), _path(spark, to)
+    fs.mkdirs(target.getParent())
+    if not fs.rename(at, target):
+        raise OSError(f"cannot rename {path} to {to}")
+
+
 def settled(df: DataFrame, name: str) -> DataFrame:
     """The rows as a Parquet table in the shared folder: what is read several times is made once, and an executor that is
     lost costs no more than its own part."""
