@@ -365,7 +365,9 @@ def fewest_bins(items, size):
     return best[0]
 
 
-def test_plans_are_exact_over_all_sequences():
+@pytest.mark.parametrize("kept", [1, 32])
+def test_plans_are_exact_over_all_sequences(monkeypatch, kept):
+    monkeypatch.setattr(packing, "KEPT", kept)
     assert sum(r for r, _ in packing.plan({11: 1, 10: 1, 7: 3, 6: 1, 5: 1, 4: 1, 3: 1}, 20)) == 3  # the fullest first sequence needs 4
     r = random.Random(5)
     for _ in range(400):

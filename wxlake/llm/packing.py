@@ -20,6 +20,7 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,10 @@ END = 0
 PIECES = "start long, piece int, length long, ids_crc32 long"
 
 
+#: Enumerations of fillings that a search keeps.
+KEPT = 32
+
+
 def pieces(docs: DataFrame, tokenizer: str, size: int = 2048) -> DataFrame:
     """doc_id, piece, start, length and ids_crc32 of the tokens of each document, cut after every `size`."""
     kind = dict(docs.dtypes)["doc_id"]
@@ -191,10 +196,16 @@ def plan(histogram: dict[int, int], size: int = 2048, steps: int = 5_000) -> lis
                 yield repeats, lost * repeats, filling, place
 
     path: list[tuple[int, int, list[int]]] = []
-    stack = [options((-size - 1,), 0)]
+    # Of each open choice: what its fillings come behind, the waste so far, their enumeration, and how many were taken. Enumerations
+    # hold a table of sums each, so only the deepest are kept; the search seldom comes back to others, which begin anew then.
+    stack: list[list] = [[(-size - 1,), 0, None, 0]]
     while stack and steps and used > least:
         steps -= 1
-        option = next(stack[-1], None)
+        here = stack[-1]
+        if here[2] is None:
+            here[2] = islice(options(*here[:2]), here[3], None)
+        option = next(here[2], None)
+        here[3] += 1
         if option is None:
             stack.pop()
             if path:
@@ -210,7 +221,9 @@ def plan(histogram: dict[int, int], size: int = 2048, steps: int = 5_000) -> lis
             best, used = [(r, f) for r, _, f in path] + [(repeats, filling)], sequences
         elif sequences + least_sequences(have, size) < used:
             path.append((repeats, lost, filling))
-            stack.append(options(place, waste))
+            stack.append([place, waste, None, 0])
+            if len(stack) > KEPT:
+                stack[-KEPT - 1][2] = None
             continue
         np.add.at(have, filling, repeats)
     return best
