@@ -260,3 +260,15 @@ def test_queries_take_their_whole_tables(spark):
     for name in ("op1_pii", "op5_language_id", "op7_bpe", "op9_toxicity"):
         assert queries.QUERIES[name](spark, sf).count() == docs
     assert packing.pack(common.table(spark, sf, "documents"), PATH).select("doc_id").distinct().count() == docs
+
+
+def test_near_duplicates_need_neither_sketches_nor_pivots(spark, monkeypatch):
+    """Whatever the bounded steps turn down, the last step finds all links of a table's members."""
+    draw = random.Random(5)
+    texts = []
+    for _ in range(6):
+        base = [f"w{draw.randrange(10_000)}" for _ in range(120)]
+        texts += [" ".join(base[: 115 + draw.randrange(5)]) for _ in range(6)]
+    monkeypatch.setattr(neardup, "_likely", lambda *a, **k: F.lit(False))
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs_of(spark, texts), k=4, table_rows=1, pivots=1).collect()}
+    assert got == {i: i // 6 * 6 for i in range(36)}
