@@ -83,3 +83,21 @@ def test_pairs_come_out_of_their_join_complete(spark, tmp_path):
     rows = reports.records(render.messages(spark, _users(spark, tmp_path, 1, 2, 601)), queries.AT, ("lat_lon",))
     pairs = reports.overlapping_pairs(rows)
     assert pairs._jdf.queryExecution().optimizedPlan().nodeName() == "Union"  # no exchange moves pairs
+
+
+def test_python_workers_get_small_batches(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    held = spark.conf.get(name)
+    try:
+        for given, want in (("10000", "1000"), ("77", "77")):
+            spark.conf.set(name, given)
+            session.ship(spark)
+            assert spark.conf.get(name) == want
+    finally:
+        spark.conf.set(name, held)
+
+
+def test_texts_of_a_batch_keep_their_order(spark):
+    raw = F.concat(F.lit("NOUS41 KAAA 201530\nPNSAAA\n\nTEXT "), F.col("id"), F.lit("\n"))
+    rows = reports.parsed(spark.range(0, 950, 1, 1).select(F.col("id").cast("string").alias("path"), F.lit(1).alias("message_index"), raw.alias("raw")))
+    assert rows.where(F.substring_index("body", "TEXT ", -1) == F.col("path")).count() == 950
