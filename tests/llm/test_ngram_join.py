@@ -7,7 +7,7 @@ import random
 import numpy as np
 import pytest
 
-from wxlake.llm import ngram_join
+from wxlake.llm import neardup, ngram_join
 
 from test_operators import AWKWARD, brute_components, docs_of, prose
 
@@ -96,3 +96,38 @@ def test_bitmaps_only_leave_out_what_cannot_be():
     alike = 100 * both >= 85 * (n[a] + n[b] - both)
     found = ngram_join.possible(n, rr, bits, a, b, 85)
     assert alike.any() and not (alike & ~found).any() and found.sum() < len(found) / 2
+
+
+def _pairs(rows) -> set[tuple[int, int]]:
+    """Pairs of different roots that meet in rows (key, i, j, x, id, root) as the comparison takes them."""
+    met: dict[tuple, list] = {}
+    for r in rows:
+        met.setdefault((r.key, r.i, r.j), []).append(r)
+    return {(min(a.id, b.id), max(a.id, b.id)) for (_, i, j), own in met.items() for a in own for b in own if a.root != b.root and (i == j or a.x != b.x)}
+
+
+def test_blocks_of_a_large_group_meet_what_differs_only(spark, monkeypatch):
+    """Of 200 members 190 are in one component: rows grow with the members, not with their blocks, and no pair is lost."""
+    monkeypatch.setattr(ngram_join, "ROWS", 10)
+    keys = spark.createDataFrame([(1, i) for i in range(200)] + [(2, i) for i in range(180, 230)] + [(3, i) for i in range(5)], "key long, id long")
+    roots = spark.createDataFrame([(i, 0) for i in range(190)] + [(200, 200), (201, 200)], "node long, root long")
+    rows = ngram_join._dealt(keys, roots).collect()
+    assert sum(r.key == 1 for r in rows) <= 2 * 200 and not any(r.key == 3 for r in rows)
+    of = {i: 0 for i in range(190)} | {200: 200, 201: 200}
+    wanted = {(a, b) for lo, hi in ((0, 200), (180, 230)) for a in range(lo, hi) for b in range(a + 1, hi) if of.get(a, a) != of.get(b, b)}
+    assert _pairs(rows) == wanted
+
+
+def test_tables_of_one_band_are_one_group(spark):
+    """Tables of near copies share a first band: they are compared once for it, and no pair of a table is lost."""
+    r = random.Random(5)
+    rows = {(r.randrange(60), 100 * x + t, x) for x in range(3) for t in range(20) for _ in range(40)}
+    rows |= {(1000 + 2 * t + i, 500 + t, 9) for t in range(50) for i in range(2)}  # a common band that small tables take apart
+    groups = neardup._groups(spark.createDataFrame(list(rows), "id long, key long, x long")).collect()
+    held: dict[int, set[int]] = {}
+    for g in groups:
+        held.setdefault(g.key, set()).add(g.id)
+    for table in {k for _, k, _ in rows}:
+        own = {i for i, k, _ in rows if k == table}
+        assert any(own <= members for members in held.values())
+    assert len(groups) <= 3 * 60 + 100 and max(map(len, held.values())) <= 60
