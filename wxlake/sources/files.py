@@ -178,19 +178,21 @@ def messages_at(spark: SparkSession, path: str, hint: str | None = None) -> Data
     return rows if hint else messages(inputs(spark, path, None, ~framed)).unionByName(rows)
 
 
-def inspected(rows: DataFrame, per_frame: bool = False) -> DataFrame:
-    """Parse messages() and apply the rules of their wrappers and files.
+def inspected(rows: DataFrame, per_frame: bool = False, columns: tuple[str, ...] | None = None, parts: tuple[str, ...] | None = None) -> DataFrame:
+    """Parse messages() and apply the rules of their wrappers and files. columns and parts name what is needed of the parsed bulletins, as in
+    bulletins.products(); with columns named, texts and wrappers are left out.
 
     A stanza's station and type must equal the heading's, while its identifier may differ. Unless per_frame, one bad
     frame rejects all messages of its file.
     """
     from ..operators import reports
 
-    out = reports.parsed(rows)
+    out = reports.parsed(rows, columns and tuple({*columns, "ttaaii", "cccc", "error_kind", "error_field"}), parts)
     clash = F.when(F.col("wrapper.ttaaii") != F.col("ttaaii"), "ttaaii").when(F.col("wrapper.cccc") != F.col("cccc"), "cccc")
     found = F.when(F.col("input_error").isNotNull(), F.struct(F.lit("Input").alias("kind"), F.col("input_error").alias("field"))).when(F.col("error_kind").isNull() & clash.isNotNull(), F.struct(F.lit("Mismatch").alias("kind"), clash.alias("field")))
     out = out.withColumn("_found", found)
     out = out.withColumns({"error_kind": F.coalesce("_found.kind", "error_kind"), "error_field": F.coalesce("_found.field", "error_field")}).drop("_found")
+    out = out if columns is None else out.drop("raw", "wrapper")
     if per_frame:
         return out
     out = settled(out, "inspected")  # read for the bad frames and for the join
@@ -202,5 +204,13 @@ def inspected(rows: DataFrame, per_frame: bool = False) -> DataFrame:
 
 
 def split_frames(files: DataFrame) -> DataFrame:
-    """One row a file: frames, junk and pending bytes, before any parsing."""
-    return files.withColumn("f", frames(F.col("content"))).select("path", F.size("f.chunks").alias("frames"), F.col("f.junk").alias("junk_bytes"), F.col("f.pending").alias("pending_bytes"))
+    """One row a file: frames, junk and pending bytes as framed() has them, before any parsing; natively, as no frame is needed. A record that
+    an end byte closes is a frame if it has a start byte."""
+    wide = F.decode(F.coalesce("content", F.lit(b"")), "ISO-8859-1")  # a byte a character
+    rows = files.select("path", F.split(wide, "\x03").alias("r"), F.length(wide).cast("long").alias("long"), F.instr(wide, "\x01").cast("long").alias("at"))
+    closed = F.transform(F.slice("r", 1, F.size("r") - 1), lambda x, i: F.when(x.contains("\x01"), i + 1))
+    rows = rows.withColumn("ends", F.array_compact(closed))
+    junk = F.when(F.col("at") > 0, F.col("at") - 1).otherwise(F.col("long"))
+    last = F.array_max("ends")
+    rest = F.length(F.array_join(F.slice("r", last + 1, F.size("r") - last), "\x03")).cast("long")
+    return rows.select("path", F.size("ends").alias("frames"), junk.alias("junk_bytes"), F.when(F.size("ends") > 0, rest).otherwise(F.col("long") - junk).alias("pending_bytes"))
