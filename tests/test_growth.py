@@ -6,7 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from wxlake.functions import segmenter
+from wxlake.functions import hashing, segmenter
 from wxlake.operators import archive, reports, summaries
 from wxlake.plans import more_queries, render
 from wxlake.sources import files
@@ -69,3 +69,39 @@ def test_imports_and_feeds_carry_texts_once(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(more_queries, "settled", None)  # the feed is not written before its own files are
     feed = more_queries._redelivered(spark, str(tmp_path))
     assert sorted((r.batch, r["count"]) for r in feed.groupBy("batch").count().collect()) == [(0, 40), (1, 20), (2, 40)]
+
+
+def test_outlines_say_what_whole_segments_say():
+    """Texts whose decisive lines alone are looked at have the same error, title and segments."""
+    r = random.Random(11)
+    lines = ["ILC031-211630-", "ILC031-033-", "211630-", "ILC001>003-211630-", "  TXZ001>002-211630-\r", "$$", " $$ \t", "$$ x", "LAT...LON 3000 8000 3010 8000", " LAT...LON 3000 8000", "     3010 8010 3020 8020", "3000 \r 8000", "LAT...LON 9900 8000", "LAT...LON 3000 18101", "LAT...LON", "TIME...MOT...LOC 1200Z 300DEG 5KT 3000 8000", "TIME...MOT...LOC 1200Z 400DEG 05KT 3000 8000", "x LAT...LON", "TEXT", "", "\f", "\x1cILC031-211630-"]
+    errors = set()
+    for _ in range(5000):
+        body = "".join(r.choice(lines) + r.choice(["\n", "\r\n", "\r\r\n"]) for _ in range(r.randrange(14)))
+        told = []
+        for read in (segmenter.outlined, lambda b: segmenter.segments(b, frozenset(("dollars",)), False)):
+            try:
+                header, found = read(body)
+                told.append((header, [s["dollars"] for s in found]))
+            except segmenter.Malformed as e:
+                told.append(str(e))
+        assert told[0] == told[1], body
+        errors.add(told[0] if isinstance(told[0], str) else None)
+    assert errors == {None, "LAT...LON", "TIME...MOT...LOC"}
+
+
+def test_digests_come_with_the_parsed_fields(spark):
+    texts = [None, "", "WUUS53 KAAA 201530\nTORAAA\n\nTEXT\n", "123\r\nWUUS53 KAAA 201530\r\nTÖRAAA\r\n", "\x01\r\r\nWUUS53 KAAA 201530\r\r\nTEXT\r\r\n\x03", "x" * 5000 + "\n"]
+    rows = spark.createDataFrame([(str(i), 1, t) for i, t in enumerate(texts)], "path string, message_index int, raw string")
+    known = reports.parsed(rows, (*archive.IMPORTED, "raw_digest"), archive.COUNTED)
+    assert _plan(archive.digested(known)).count("ArrowEvalPython") == 1
+    whole = reports.parsed(rows).select("path", hashing.fnv1a(F.col("bulletin")), F.sha2("bulletin", 256), hashing.fnv1a(F.col("raw")))
+    assert sorted(map(tuple, known.select("path", "digest", "text_digest", "raw_digest").collect())) == sorted(map(tuple, whole.collect()))
+
+
+def test_imported_rows_meet_their_texts_choice_in_one_join(spark):
+    rows = spark.createDataFrame([(f"p/{i % 7}", 1, "f", f"{i % 3:016x}", f"{i % 5}") for i in range(60)], "path string, message_index int, folder string, digest string, text_digest string")
+    done = archive.imported(rows)
+    assert _plan(done).count("Join") == 1
+    got = done.collect()
+    assert len(got) == 60 and len({r.relative_path for r in got}) == 15 == sum(r.action == "archived" for r in got)
