@@ -105,3 +105,12 @@ def test_imported_rows_meet_their_texts_choice_in_one_join(spark):
     assert _plan(done).count("Join") == 1
     got = done.collect()
     assert len(got) == 60 and len({r.relative_path for r in got}) == 15 == sum(r.action == "archived" for r in got)
+
+
+def test_no_pattern_is_searched_for_in_each_rows_path(spark, tmp_path):
+    path = f"{tmp_path}/archive"
+    for i in range(3):
+        spark.range(3).select("id", F.lit("2024-01-20").alias("capture_date"), F.lit("flood").alias("family")).coalesce(1).write.mode("append").partitionBy("capture_date", "family").parquet(path)
+    assert archive.compact(spark, path, "2024-01-20") == 3
+    left = archive.current(spark, path)
+    assert sorted(r.id for r in left.collect()) == [0, 0, 0, 1, 1, 1, 2, 2, 2] and "[^/]+" not in _plan(left)
