@@ -114,3 +114,19 @@ def test_no_pattern_is_searched_for_in_each_rows_path(spark, tmp_path):
     assert archive.compact(spark, path, "2024-01-20") == 3
     left = archive.current(spark, path)
     assert sorted(r.id for r in left.collect()) == [0, 0, 0, 1, 1, 1, 2, 2, 2] and "[^/]+" not in _plan(left)
+
+
+def test_an_import_reads_written_rows_where_they_are(spark, monkeypatch):
+    """Rows that were written with numbers are not written again; the archive's texts are met within the same aggregate."""
+    rows = [(f"p/{i:02}", 1, "f", f"{i % 3:016x}", f"{i % 6}") for i in range(24)]
+    known = archive.numbered(spark.createDataFrame(rows, "path string, message_index int, folder string, digest string, text_digest string"))
+    # Of digest 0 the archive has text 3, of digest 1 a text that does not come again; another folder does not count.
+    index = spark.createDataFrame([("f", f"{0:016x}", "3", 0), ("f", f"{1:016x}", "x", 4), ("g", f"{2:016x}", "2", 7)], "folder string, digest string, text_digest string, number int")
+    monkeypatch.setattr(archive, "settled", None)
+    done = archive.imported(known, index)
+    assert _plan(done).count("Join") == 1
+    got = {r.path: (r.action, r.relative_path) for r in done.collect()}
+    assert len(got) == 24 and "_row" not in done.columns
+    new = {f"p/{i:02}": n for i, n in ((0, "0000-1"), (1, "0001-5"), (4, "0001-6"), (2, "0002"), (5, "0002-1"))}
+    assert {p: r.removeprefix("f/").removesuffix(".txt")[12:] for p, (a, r) in got.items() if a == "archived"} == new
+    assert {r for p, (_, r) in got.items() if int(p[2:]) % 6 == 3} == {f"f/{0:016x}.txt"}

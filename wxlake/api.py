@@ -116,7 +116,7 @@ def archive_import(spark: SparkSession, source: str, store: str) -> DataFrame:
     known = archive.with_digest(_inspected(spark, source)).withColumn("shard", F.substring("digest", 1, 2))
     old = None
     if exists(spark, place):
-        known = settled(known, "digests")
+        known = archive.numbered(known)
         old = spark.read.schema("folder string, digest string, text_digest string, number int, shard string").parquet(place)
         old = old.join(F.broadcast(known.select("shard").distinct()), "shard", "left_semi")  # 256 rows at most; prunes folders
     done = settled(archive.imported(known, old), "imported")
