@@ -130,3 +130,12 @@ def test_an_import_reads_written_rows_where_they_are(spark, monkeypatch):
     new = {f"p/{i:02}": n for i, n in ((0, "0000-1"), (1, "0001-5"), (4, "0001-6"), (2, "0002"), (5, "0002-1"))}
     assert {p: r.removeprefix("f/").removesuffix(".txt")[12:] for p, (a, r) in got.items() if a == "archived"} == new
     assert {r for p, (_, r) in got.items() if int(p[2:]) % 6 == 3} == {f"f/{0:016x}.txt"}
+
+
+def test_records_are_verified_in_one_pass_behind_their_import(spark, tmp_path):
+    spark.range(40).select(F.col("id").alias("event_id"), F.timestamp_seconds(F.lit(1_704_067_200) + F.col("id") * 600).alias("ts"), (F.col("id") % 3).alias("user_id"), F.lit("error").alias("event_type"), F.lit(1.0).alias("value")).write.parquet(f"{tmp_path}/events.parquet")
+    status = more_queries.verified(spark, str(tmp_path))
+    plan = _plan(status)
+    assert plan.count("ArrowEvalPython") == 1 and plan.count("Join") == 1  # the import's own join, and no other for the names
+    got = {r.path: r.status for r in status.collect()}
+    assert got["src/000000017.txt"] == got["src/000000034.txt"] == "error" and list(got.values()).count("error") == sum(int(p[4:13]) % 17 == 0 for p in got)
