@@ -139,3 +139,18 @@ def test_records_are_verified_in_one_pass_behind_their_import(spark, tmp_path):
     assert plan.count("ArrowEvalPython") == 1 and plan.count("Join") == 1  # the import's own join, and no other for the names
     got = {r.path: r.status for r in status.collect()}
     assert got["src/000000017.txt"] == got["src/000000034.txt"] == "error" and list(got.values()).count("error") == sum(int(p[4:13]) % 17 == 0 for p in got)
+
+
+def test_every_day_is_compacted_each_time(spark, tmp_path, monkeypatch):
+    """Six days from the 15th on and two before it: no day is left out of a compaction, and one job rewrites them all."""
+    at = F.timestamp_seconds(F.lit(1_705_104_000) + F.col("id") * 1800)  # 2024-01-13, 48 a day
+    spark.range(8 * 48).select(F.col("id").alias("event_id"), at.alias("ts"), (F.col("id") % 3).alias("user_id"), F.lit("error").alias("event_type"), F.lit(1.0).alias("value")).coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    told, compact = [], archive.compact
+    monkeypatch.setattr(more_queries, "_folder", lambda spark, name: f"{tmp_path}/{name}")
+    monkeypatch.setattr(archive, "compact", lambda spark, path, days: told.append((sorted([days] if isinstance(days, str) else days), compact(spark, path, days))))
+    more_queries.compacted_archive(spark, str(tmp_path)).collect()
+    days = [f"2024-01-{d}" for d in range(15, 21)]
+    assert [d for d, _ in told] == [days, days] and all(n >= 2 * len(days) for _, n in told)
+    for day in days:
+        assert {f.name[:10] for f in (tmp_path / "archive" / f"capture_date={day}").rglob("*.parquet")} == {"compacted-"}
+    assert compact(spark, f"{tmp_path}/archive", days[:2], least=99) == 0
