@@ -153,3 +153,20 @@ def test_fingerprints_expire(spark, tmp_path):
     # The archive's own day still holds texts of that day: what a repeated batch must not write again.
     assert got == sorted(set(want) - {"p5", "p8"})
     assert sum(took[-4:]) < 3 * sum(took[:4])
+
+
+def test_recognised_messages_move_what_the_archive_keeps(spark, tmp_path, monkeypatch):
+    """One text a row and no parsed segment but their separators goes to the state, and the first batch is not written before its archive."""
+    from datetime import datetime
+
+    from wxlake.operators import archive
+
+    feed, out, written = str(tmp_path / "feed"), str(tmp_path / "out"), []
+    _messages(spark, [(f"p{i}", i % 3, datetime(2024, 1, 20, 12)) for i in range(6)]).write.parquet(feed)
+    rows = jobs.recognised(spark.readStream.schema(spark.read.parquet(feed).schema).parquet(feed), "1 hour")
+    assert not {"raw", "body"} & set(rows.columns) and "bulletin" in rows.columns
+    assert [f.name for f in rows.schema["parts"].dataType.elementType] == list(archive.COUNTED)
+    settled = jobs.settled
+    monkeypatch.setattr(jobs, "settled", lambda df, name: written.append(name) or settled(df, name))
+    jobs.captured(jobs.started(rows, jobs.archiving(out, "feed"), str(tmp_path / "check")))
+    assert spark.read.parquet(out).count() == 3 and len(written) <= 1  # that of the empty batch behind it, which moves the watermark
